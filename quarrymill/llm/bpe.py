@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import pieces, utf8
+from .chunks import ChunkEncoder
+
 #: Words whose ids a worker keeps; beyond it the store starts anew, which changes speed only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: The symbol that ends a word is told apart from the same symbol inside a word by this shift.
 _END = 0x10000
 #: The pre-tokenisation patterns of the two public vocabularies (white space written out as a property).
@@ -61,26 +65,31 @@ class BacktrackingBPE:
         vocab: dict[str, int] = model["vocab"]
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.symbols = {i: self._marked(t) for t, i in vocab.items()}
-        self.pair: dict[tuple[int, int], int] = {}
+        self.pair: dict[int, int] = {}
         self.rank = dict.fromkeys(self.symbols, -1)
         self.parts: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             ids = vocab[left], vocab[right]
-            self.pair[ids] = rank
+            self.pair[ids[0] << 32 | ids[1]] = rank
             made = vocab[(left.removesuffix(self.suffix) if self.suffix else left) + right]
             if made not in self.parts:
                 self.parts[made], self.rank[made] = ids, rank
-        self._reversed = ahocorasick.Automaton()
-        for i, s in self.symbols.items():
-            if len(s) == 1 or i in self.parts:
-                self._reversed.add_word(s[::-1], (i, len(s)))
-        self._reversed.make_automaton()
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
+        self._reversed = ahocorasick.Automaton()
+        for i, s in self.symbols.items():
+            if (len(s) == 1 or i in self.parts) and self._reachable(i):
+                self._reversed.add_word(s[::-1], i)
+        self._reversed.make_automaton()
+        own = {s: i for i, s in self.symbols.items() if s[::-1] in self._reversed}
+        #: Of each token: its symbols, and the longest token that is a proper prefix of it.
+        self._length = {i: len(s) for s, i in own.items()}
+        self._shorter = {i: next((own[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in own), -1) for s, i in own.items()}
+        self._chunks = ChunkEncoder(lambda x: np.frombuffer(self.encode(x), "<u4"), bool(self.suffix))
         texts = [b""] * self.size
         for t, i in chain(vocab.items(), self.special.items()):
             texts[i] = t.encode() if self.spaced or i not in self.symbols else self._raw(t)
@@ -111,17 +120,22 @@ class BacktrackingBPE:
 
     def fits(self, left: int, right: int) -> bool:
         """No merge ever crosses the border between the two tokens. Of equal ranks, the one on the left merges first."""
-        known = self._fits.get((left, right))
+        key = left << 32 | right
+        known = self._fits.get(key)
         if known is None:
-            known = True
+            known, rank, pair = True, self.rank, self.pair.get
+            inner = self._edge(right, 0, self._left)
             for a, a_until in self._edge(left, 1, self._right):
-                for b, b_until in self._edge(right, 0, self._left):
-                    r = self.pair.get((a, b))
-                    if r is not None and self.rank[a] < r < a_until and self.rank[b] < r <= b_until:
+                for b, b_until in inner:
+                    r = pair(a << 32 | b)
+                    if r is not None and rank[a] < r < a_until and rank[b] < r <= b_until:
                         known = False
-            if len(self._fits) > 2_000_000:
+                        break
+                if not known:
+                    break
+            if len(self._fits) > 1_000_000:
                 self._fits.clear()
-            self._fits[left, right] = known
+            self._fits[key] = known
         return known
 
     def _reachable(self, token: int) -> bool:
@@ -136,7 +150,7 @@ class BacktrackingBPE:
                     self.rank[x] < m < min(x_until, r) and self.rank[y] < m <= min(y_until, r)
                     for x, x_until in self._edge(a, 1, self._right)
                     for y, y_until in self._edge(b, 0, self._left)
-                    if (m := self.pair.get((x, y))) is not None and (x, y) != (a, b)
+                    if (m := self.pair.get(x << 32 | y)) is not None and (x, y) != (a, b)
                 )
                 self._whole[token] = self._reachable(a) and self._reachable(b) and not early
         return self._whole[token]
@@ -144,38 +158,37 @@ class BacktrackingBPE:
     def symbols_to_ids(self, s: str) -> list[int]:
         """Exact BPE of one pre-token, given as symbols."""
         n = len(s)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self._reversed.iter(s[::-1]):
-            if self._reachable(found[0]):
-                starts[n - 1 - end].append(found)
+        longest = dict(reversed(list(self._reversed.iter(s[::-1]))))  # of the matches at a place, the first is the longest
+        if len(longest) < n:  # symbols that the vocabulary lacks are left out, as the library does without an unknown token
+            kept = "".join(c for i, c in enumerate(s) if n - 1 - i in longest)
+            return self.symbols_to_ids(kept) if kept else []
+        length, shorter, fits = self._length, self._shorter, self._fits
         dead: set[int] = set()
         out: list[int] = []
-        steps: list[tuple[int, int]] = []
-        at = choice = 0
-        while at < n:
-            options = starts[at]
-            for j in range(choice, len(options)):
-                token, length = options[j]
-                if at + length not in dead and (not out or self.fits(out[-1], token)):
-                    out.append(token)
-                    steps.append((at, j))
-                    at += length
-                    choice = 0
+        at, last, token = 0, -1, longest[n - 1]
+        while True:
+            while token >= 0:
+                to = at + length[token]
+                if to not in dead and (last < 0 or (known if (known := fits.get(last << 32 | token)) is not None else self.fits(last, token))):
                     break
+                token = shorter[token]
             else:
-                if not steps:  # a symbol that the vocabulary lacks: it is left out, as the library does without an unknown token
-                    return [t for part in (s[:at], s[at + 1 :]) if part for t in self.symbols_to_ids(part)]
                 dead.add(at)
-                out.pop()
-                at, choice = steps.pop()
-                choice += 1
-        return out
+                token = out.pop()
+                last = out[-1] if out else -1
+                at -= length[token]
+                token = shorter[token]
+                continue
+            out.append(token)
+            if to == n:
+                return out
+            at, last, token = to, token, longest[n - 1 - to]
 
     def _word(self, word: str) -> bytes:
         symbols = "".join(map(self._bytes.__getitem__, word.encode()))
         if self.suffix:
             symbols = symbols[:-1] + chr(ord(symbols[-1]) + _END)
-        ids = np.array(self.symbols_to_ids(symbols), "<u4").tobytes()
+        ids = array("I", self.symbols_to_ids(symbols)).tobytes()
         if len(self._cache) >= CACHE_WORDS:
             self._cache.clear()
         self._cache[word] = ids
@@ -183,7 +196,7 @@ class BacktrackingBPE:
 
     def normalized(self, text: str) -> str:
         if self.lower:
-            text = regex.sub(r"\p{White_Space}+", " ", unicodedata.normalize("NFC", text))
+            text = unicodedata.normalize("NFC", text)  # white space needs no change, as the pattern drops it
             text = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
         return text
 
@@ -204,6 +217,10 @@ class BacktrackingBPE:
         parts = self._special.split(text)
         return b"".join(np.array([self.special[x]], "<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts))
 
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts, and the number of each text's."""
+        return self._chunks.encode(data, offsets)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Token texts through the offset table; with a blank between them where the vocabulary has no decoder."""
         table = self.__dict__.get("_table")
@@ -234,13 +251,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [np.frombuffer(bpe.encode(t or ""), "<u4") for t in part.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)])
-                more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))), pa.array(np.diff(ends), pa.int64())]
+            for part, texts in pieces(batch, text):
+                ids, counts = bpe.encode_all(*utf8(texts))
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(counts, pa.int64())]
                 if decoded:
-                    more.append(pa.array([bpe.decode(x).decode() for x in ids], pa.string()))
+                    more.append(pa.array([bpe.decode(ids[i:j]).decode() for i, j in zip(ends, ends[1:], strict=False)], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *own])
 
     return base.mapInArrow(run, schema)
@@ -252,11 +268,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                ids = bpe.encode(text.as_py() or "")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4"))).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, texts in pieces(batch):
+                ids, counts = bpe.encode_all(*utf8(texts))
+                ends = np.cumsum(counts).tolist()
+                own, back = [], []
+                for i, j in zip([0, *ends], ends, strict=False):
+                    own.append(hashlib.sha256(ids[i:j]).hexdigest())
+                    back.append(hashlib.sha256(bpe.decode(ids[i:j])).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
