@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, packing
-from ._store import table
+from . import bpe, chat, langid, licenses, line_dedup, minhash, packing, quality
+from ._store import table, written
 
 
 def _vocabulary(name: str) -> str:
@@ -16,6 +17,17 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove repeated chunks of lines from every document."""
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.length("text").cast("long").alias("n_kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
@@ -47,9 +59,17 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows, path), path)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by the base rule and by cutoffs learned from the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = written(quality.measure(docs).drop("text"))
+    out = quality.judge(measured, written(quality.cutoffs(measured, table(spark, sf_dir, "labels"))))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: what takes (spark, sf_dir) and returns a DataFrame."""
-    return {f.__name__: f for f in (op3_bpe, op5_licenses, op6_packed_ids, op7_language_id, op9_chat)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op5_licenses, op6_packed_ids, op7_language_id, op9_chat, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
