@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, line_dedup, minhash, packing, quality
+from . import bpe, chat, langid, licenses, line_dedup, minhash, packing, quality, substrings
 from ._store import table, written
 
 
@@ -33,6 +33,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove repeated strings of 400 bytes from every document."""
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["first"])
+    return out.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every document for licence text."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -69,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: what takes (spark, sf_dir) and returns a DataFrame."""
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op5_licenses, op6_packed_ids, op7_language_id, op9_chat, op10_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op4_substrings, op5_licenses, op6_packed_ids, op7_language_id, op9_chat, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
