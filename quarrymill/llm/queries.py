@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, line_dedup, minhash, packing, quality, substrings
+from . import bpe, chat, decontaminate, langid, licenses, line_dedup, minhash, packing, quality, substrings
 from ._store import table, written
 
 
@@ -57,6 +57,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold or paraphrase benchmark items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one full of control strings, and read them back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -76,7 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: what takes (spark, sf_dir) and returns a DataFrame."""
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op4_substrings, op5_licenses, op6_packed_ids, op7_language_id, op9_chat, op10_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op4_substrings, op5_licenses, op6_packed_ids, op7_language_id, op8_decontaminate, op9_chat, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
