@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from ._text import mix, pieces, spans, text_array, utf8
 
-#: Labelled rows of a language that are learned from, and bytes of each.
-SAMPLE_ROWS = 1500
+#: Labelled rows of a language that are learned from (1000: up to there Spark limits the groups before the shuffle), and bytes of each.
+SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 20_000
 #: Slots of the hashed n-grams (a power of two) and the longest n-gram.
 SLOTS = 1 << 16
 LONGEST = 4
-#: Words beyond this count are weighed together with their repeats in rounds of EM.
+#: Rounds of EM.
 ROUNDS = 12
 #: A word's log-likelihood ratio to its best language is held above this.
 FLOOR = -12.0
