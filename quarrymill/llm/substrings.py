@@ -8,8 +8,8 @@ Every byte goes that lies in a string of LENGTH bytes which also starts anywhere
 * Only anchors that occur twice or more matter. Regions of one anchor with equal bytes are one class; a class with two
   members is repeated as a whole.
 * What is left are regions that are unlike any other as a whole but may share strings with them. Their bytes, and those of
-  one member of each other class of the anchor, go into suffix arrays, block by block, with all regions of an anchor
-  in one block. An anchor with more classes than ``HOT`` is split by content first: strings at about the same place
+  one member of each other class of the anchor, are gathered in blocks, with all regions of an anchor in one block. Parts
+  whose middle bytes no other region has at that place are left out, the others go into the block's suffix array. An anchor with more classes than ``HOT`` is split by content first: strings at about the same place
   around the anchor share the bytes in their middle, and go where the hash of these says.
 * A suffix array is sorted in two stages: suffixes smaller than their successors are sorted directly, down to
   LENGTH bytes; scanning the buckets of first bytes from left to right puts all others in their places. The common
@@ -94,7 +94,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _regions(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """key, doc_id, row, first, bytes of each wanted region, or of its slices if the anchor is hot."""
+    """key, doc_id, row, first, a, bytes of each wanted region, or of its slices if the anchor is hot."""
     lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("g", "first", "a", "b", "hot")).alias("w"))
     joined = docs.select("doc_id", "row", "text").join(lists.withColumnsRenamed({"doc_id": "_d", "row": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("doc_id", "row", "text", "w")
 
@@ -107,19 +107,19 @@ def _regions(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     for w in want:
                         g, s1, p, s2 = w["g"], w["first"], w["first"] + w["a"], w["first"] + w["b"]
                         if not w["hot"]:
-                            rows.append((g, doc, row, s1, data[s1 : s2 + length]))
+                            rows.append((g, doc, row, s1, w["a"], data[s1 : s2 + length]))
                             continue
                         for j in range((p - s2) // SLICE, (p - s1) // SLICE + 1):
                             low, high = max(s1, p - SLICE * j - SLICE + 1), min(s2, p - SLICE * j)
                             if low <= high:
                                 core = data[p - SLICE * j : p - SLICE * j - SLICE + 1 + length]
                                 key = hash_bytes(core, g, j)
-                                rows.append((key, doc, row, low, data[low : high + length]))
+                                rows.append((key, doc, row, low, p - low, data[low : high + length]))
                 if rows:
-                    key, doc, row, first, held = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.array(held, pa.binary())], names=["key", "doc_id", "row", "first", "bytes"])
+                    *numbers, held = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(held, pa.binary())], names=["key", "doc_id", "row", "first", "a", "bytes"])
 
-    return joined.mapInArrow(run, "key long, doc_id long, row long, first long, bytes binary")
+    return joined.mapInArrow(run, "key long, doc_id long, row long, first long, a long, bytes binary")
 
 
 def hash_bytes(data: bytes, *more: int) -> int:
@@ -222,6 +222,39 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return np.minimum(np.minimum(out, depth), n - order)
 
 
+def shared_slices(key: np.ndarray, a: np.ndarray, held: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Region, least and largest start of the ranges of starts that can have an equal string in another place.
+
+    Strings that start at about the same place before their anchor, within SLICE bytes, have the same middle if they are
+    equal. So of each slice of a region the middle is hashed, and a slice whose middle no other has is left out.
+    """
+    sizes = np.array([len(x) for x in held])
+    base = np.cumsum(sizes) - sizes
+    b = sizes - length
+    j0, j1 = (a - b) // SLICE, a // SLICE
+    n = j1 - j0 + 1
+    of = np.repeat(np.arange(len(held)), n)
+    j = np.repeat(j0, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    sums = prefix_hash(np.frombuffer(b"".join(held), np.uint8), False)
+    core = base[of] + a[of] - SLICE * j
+    h = span_hash(sums, core, core + length - SLICE + 1)
+    h = mix(mix(h ^ key[of].view(_U)) ^ j.astype(_U))
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    keep = np.zeros(len(h), bool)
+    keep[order[1:]] |= same
+    keep[order[:-1]] |= same
+    of, j = of[keep], j[keep]
+    low, high = np.maximum(0, a[of] - SLICE * j - SLICE + 1), np.minimum(b[of], a[of] - SLICE * j)
+    order = np.lexsort((low, of))
+    of, low, high = of[order], low[order], high[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (low[1:] != high[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(of)) - 1 if len(of) else first
+    return of[first], low[first], high[last]
+
+
 def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     """Of each region, its starts whose strings of ``length`` bytes occur twice or more among all regions."""
     sizes = np.array([len(x) for x in regions])
@@ -245,14 +278,16 @@ def _among(regions: DataFrame, length: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         held = table.column("bytes").to_pylist()
-        docs, rows, firsts, ends, source = [], [], [], [], []
-        for k, starts in enumerate(repeated_starts(held, length)):
+        of, low, high = shared_slices(table.column("key").to_numpy(), table.column("a").to_numpy(), held, length)
+        firsts, ends, source = [], [], []
+        parts = [held[k][x : y + length] for k, x, y in zip(of.tolist(), low.tolist(), high.tolist(), strict=True)]
+        for k, x, starts in zip(of.tolist(), low.tolist(), repeated_starts(parts, length) if parts else [], strict=True):
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > length)
-                for a, b in zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True):
+                for p, q in zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True):
                     source.append(k)
-                    firsts.append(a)
-                    ends.append(b + length)
+                    firsts.append(x + p)
+                    ends.append(x + q + length)
         base = table.column("first").to_numpy()[source] if source else np.zeros(0, np.int64)
         docs, rows = (table.column(c).take(pa.array(source, pa.int64())) for c in ("doc_id", "row"))
         return pa.table({"doc_id": docs, "row": rows, "first": base + np.array(firsts, np.int64), "end": base + np.array(ends, np.int64)})
