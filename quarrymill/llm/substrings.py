@@ -298,12 +298,12 @@ def _among(regions: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, row, s: the sorted ranges to remove (first, end; they may overlap) of every text that has one."""
     found = written(anchors(docs, length))
-    often = found.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g")
+    often = written(found.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g"))  # a table of its own, so Spark can split a hot key of the join
     again = written(found.join(often, "g"))
     classes = written(again.groupBy("g", "a", "b", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "first")).alias("m")))
     many = classes.where("n > 1").select("g", "a", "b", "r")
     whole = again.join(many, ["g", "a", "b", "r"]).select("doc_id", "row", "first", (F.col("first") + F.col("b") + length).alias("end"))
-    mixed = classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("g", (F.col("c") > HOT).alias("hot"))
+    mixed = written(classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("g", (F.col("c") > HOT).alias("hot")))
     wanted = classes.join(mixed, "g").select("m.doc_id", "m.row", "m.first", "g", "a", "b", "hot")
     regions = written(_regions(wanted, docs, length))
     total = regions.agg(F.sum(F.length("bytes"))).first()[0] or 0

@@ -34,7 +34,7 @@ def _load() -> None:
         import_module(f"quarrymill.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("q_text", "q_rows", "q_joins", "q_aggs", "q_windows", "q_scores")
 
 
 def queries() -> dict[str, Query]:
