@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import written
 from .quality import bound
 
 #: Lines that the rolling hash spans; the mean number of lines of a chunk (a power of two).
@@ -76,7 +77,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text that stays, and n_lines, n_removed_lines, n_removed_chunks of each row."""
     places = _keyed(docs).groupBy("_doc", "_row", "h", "g").agg(F.array_distinct(F.sort_array(F.collect_list("pos"))).alias("at"))
-    found = places.join(repeated(docs), ["h", "g"])
+    found = places.join(written(repeated(docs)), ["h", "g"])  # a table of its own, so Spark can split a hot key
     gone = F.when(F.col("_doc") == F.col("owner"), F.slice("at", F.lit(2), F.size("at"))).otherwise(F.col("at"))
     gone = found.select("_doc", "_row", gone.alias("at")).where(F.size("at") > 0).groupBy("_doc", "_row").agg(F.flatten(F.collect_list("at")).alias("_gone"))
     base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")

@@ -219,7 +219,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         out[rest] += lead
         active = active[equal]
         out[active] += 8
-    return np.minimum(np.minimum(out, depth), n - order)
+    before = np.append(order[:1], order[:-1])
+    return np.minimum(np.minimum(out, depth), n - np.maximum(order, before))
 
 
 def shared_slices(key: np.ndarray, a: np.ndarray, held: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
