@@ -43,6 +43,11 @@ def out_of_fold(df: DataFrame, group: str, features: str, target: str, k: int, k
     return reduce(DataFrame.unionByName, out).drop("_f", "_fold")
 
 
+def _grams(column: str, n: int) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.length(column) - (n - 1), F.lit(1)))
+    return F.transform(places, lambda i: F.substring(column, i, F.lit(n)))
+
+
 def char_latent(df: DataFrame, column: str, vocabulary: int, size: int) -> DataFrame:
     """df with latent: TF-IDF of 2- to 4-grams of characters, reduced by a distributed SVD."""
     from pyspark.ml.feature import IDF, CountVectorizer
@@ -50,7 +55,7 @@ def char_latent(df: DataFrame, column: str, vocabulary: int, size: int) -> DataF
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    grams: Column = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(column, i, F.lit(n))) for n in (2, 3, 4))))
+    grams: Column = F.flatten(F.array(*(_grams(column, n) for n in (2, 3, 4))))
     counted = CountVectorizer(inputCol="_g", outputCol="_c", vocabSize=vocabulary).fit(held := df.withColumn("_g", grams)).transform(held)
     weighed = IDF(inputCol="_c", outputCol="_w").fit(counted).transform(counted)
     rows = weighed.select("_w").rdd.map(lambda r: Vectors.fromML(r[0]))

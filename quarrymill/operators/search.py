@@ -23,6 +23,10 @@ def index(docs: DataFrame, key: str, fields: Mapping[str, float], stop: Sequence
     return rows.select(key, "field", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("field", key, "len", "term").agg(F.count("*").alias("tf"))
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def search(docs: DataFrame, key: str, fields: Mapping[str, float], query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score: BM25 of the best field times its boost, for documents of which one field holds all terms.
 
@@ -36,7 +40,7 @@ def search(docs: DataFrame, key: str, fields: Mapping[str, float], query: str, k
     out = None
     for field, boost in fields.items():
         words = analyze(F.coalesce(field, F.lit("")))
-        rows = docs.select(key, words.alias("_t")).select(key, F.size("_t").alias("len"), *(F.size(F.filter("_t", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+        rows = docs.select(key, words.alias("_t")).select(key, F.size("_t").alias("len"), *(F.size(F.filter("_t", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
         stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
         hit = reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
         parts = [F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) for i in range(len(terms))]

@@ -34,7 +34,7 @@ def _load() -> None:
         import_module(f"quarrymill.plans.{module}")
 
 
-MODULES = ("q_text", "q_rows", "q_joins", "q_aggs", "q_windows", "q_scores")
+MODULES = ("q_text", "q_rows", "q_joins", "q_aggs", "q_windows", "q_scores", "q_graph", "q_search", "q_checks", "q_sources")
 
 
 def queries() -> dict[str, Query]:
