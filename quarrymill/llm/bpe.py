@@ -33,7 +33,7 @@ from ._text import pieces, utf8
 from .chunks import ChunkEncoder
 
 #: Words whose ids a worker keeps; beyond it the store starts anew, which changes speed only.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: The symbol that ends a word is told apart from the same symbol inside a word by this shift.
 _END = 0x10000
 #: The pre-tokenisation patterns of the two public vocabularies (white space written out as a property).
@@ -133,7 +133,7 @@ class BacktrackingBPE:
                         break
                 if not known:
                     break
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             self._fits[key] = known
         return known

@@ -68,7 +68,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     path = _vocabulary("byte_bpe_50k.json")
-    return chat.read_back(chat.formatted(rows, path), path)
+    return chat.read_back(written(chat.formatted(rows, path)), path)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
