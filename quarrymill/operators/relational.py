@@ -106,6 +106,17 @@ def coalesce_text(*names: str) -> Callable[[DataFrame], Column]:
     return of
 
 
+def first_existing_column(df: DataFrame, names: Sequence[str]) -> str | None:
+    """The first of the names that df has, in any case."""
+    by = {c.lower(): c for c in df.columns}
+    return next((by[n.lower()] for n in names if n.lower() in by), None)
+
+
+def key_column(df: DataFrame, names: Sequence[str], part: str) -> str:
+    """A column by one of these names, else the first whose name holds the part, else the first."""
+    return first_existing_column(df, names) or next((c for c in df.columns if part.lower() in c.lower()), df.columns[0])
+
+
 def best_filled_column(df: DataFrame, names: Sequence[str]) -> str | None:
     """The first of the columns with any real value; one aggregate over all of them."""
     held = [n for n in names if n in df.columns]

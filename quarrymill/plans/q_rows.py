@@ -217,3 +217,15 @@ def flt12_all_text_columns(spark, d):
 @query("SELECT p_partkey FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]1$')")
 def flt13_not_matching(spark, d):
     return load(spark, d, "part").where(~F.col("p_brand").rlike("^Brand#[0-9]1$")).select("p_partkey")
+
+
+@query("SELECT c_mktsegment AS label, count(*) AS n FROM customer GROUP BY 1")
+def prj03_first_existing(spark, d):
+    c = load(spark, d, "customer")
+    return c.groupBy(F.col(R.first_existing_column(c, ["segment", "C_MktSegment"])).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT o_orderkey) AS keys FROM orders")
+def prj05_key_column(spark, d):
+    o = load(spark, d, "orders")
+    return o.agg(F.count_distinct(R.key_column(o, ["patient_id", "o_orderkey"], "key")).alias("keys"))

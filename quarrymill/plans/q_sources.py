@@ -144,3 +144,43 @@ def snk15_vectors(spark, d):
     path = f"{folder(spark)}/vectors.parquet"
     sinks.write_parquet(load(spark, d, "embeddings"), path)
     return T.read_any(spark, path).select("vec_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+
+
+@query("SELECT 'nation' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def src20_by_suffix(spark, d):
+    """Parquet, tab-separated and JSON tables through the one reader."""
+    root = folder(spark)
+    sinks.write_csv(load(spark, d, "nation"), f"{root}/nation.tsv", ["n_name"], "\t")
+    sinks.write_json(load(spark, d, "region"), f"{root}/region.jsonl")
+    one = lambda path, kind, schema: T.read_any(spark, path, schema).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return one(f"{root}/nation.tsv", "nation", "n_name string").unionByName(one(f"{root}/region.jsonl", "region", "r_name string"))
+
+
+@query("SELECT 'nation:' || n_nationkey AS node, 'region:' || n_regionkey AS other FROM nation")
+def src22_graph_pattern(spark, d):
+    """(region)-[HAS_NATION]->(nation), read from tables of edges."""
+    e = load(spark, d, "nation").select(F.concat(F.lit("region:"), "n_regionkey").alias("src"), F.lit("HAS_NATION").alias("type"), F.concat(F.lit("nation:"), "n_nationkey").alias("dst"))
+    return e.where("type = 'HAS_NATION'").select(F.col("dst").alias("node"), F.col("src").alias("other"))
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def src23_cached_small(spark, d):
+    n = load(spark, d, "nation").cache()
+    return load(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name")
+
+
+@query("SELECT count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM (SELECT * FROM supplier UNION ALL SELECT * FROM supplier WHERE s_suppkey <= 10)")
+def snk07_append(spark, d):
+    path, s = f"{folder(spark)}/supplier.parquet", load(spark, d, "supplier")
+    sinks.write_parquet(s, path)
+    s.where("s_suppkey <= 10").write.mode("append").parquet(path)
+    return T.read_any(spark, path).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
+
+
+@query("SELECT count(*) AS n FROM region")
+def snk06_reload(spark, d):
+    """Empty a table and load it anew: the later overwrite is all that stays."""
+    path = f"{folder(spark)}/region.parquet"
+    sinks.write_parquet(load(spark, d, "nation"), path)
+    sinks.write_parquet(load(spark, d, "region"), path)
+    return T.read_any(spark, path).agg(F.count("*").alias("n"))

@@ -159,3 +159,10 @@ def sr07_top_variance(spark, d):
     from ..operators.vectors import variances
 
     return variances(load(spark, d, "embeddings"), "embedding").limit(8).select("dim")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) AS pos FROM orders QUALIFY pos <= 60")
+def sr03_stable_sort(spark, d):
+    """Ties keep the order of the key, so repeated runs agree."""
+    top = load(spark, d, "orders").orderBy("o_orderstatus", "o_orderkey").limit(60)
+    return top.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderstatus", "o_orderkey")).alias("pos"))
