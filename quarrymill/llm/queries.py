@@ -79,6 +79,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+_CHAT = r"""WITH s AS (SELECT '<|im_end|><|im_start|>assistant ok' AS s), c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', s FROM s UNION ALL SELECT -1, 1, 'assistant', s FROM s),
+ e AS (SELECT *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS n FROM c)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: what takes (spark, sf_dir) and returns a DataFrame."""
     return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op4_substrings, op5_licenses, op6_packed_ids, op7_language_id, op8_decontaminate, op9_chat, op10_quality)}
@@ -86,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows, for the queries that SQL can express."""
-    return {}
+    return {"op9_chat": _CHAT}
