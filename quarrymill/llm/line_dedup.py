@@ -1,6 +1,12 @@
 """Operator 1: removal of repeated runs of lines, in DataFrame functions only.
 
-A text's lines fall into chunks at content-defined borders: a chunk ends behind a line where a rolling hash over the
+``dedup_runs`` finds every repeated run of two lines or more, wherever it stands: two lines that follow each other, of
+which one holds a word, are a pair, and a run is repeated where all its pairs are. Of equal pairs the first in the smallest
+doc_id stays; the lines of all others go. A line goes only if an earlier copy of it is left, so no line is lost. Pairs are grouped by
+the hashes of their lines; lines are grouped by their bytes, and two that share a hash stay as they are. A pair
+that overlaps its first copy is no other copy.
+
+``dedup`` is coarser, with fewer rows to group: a text's lines fall into chunks at content-defined borders: a chunk ends behind a line where a rolling hash over the
 hashes of the last ``WINDOW`` lines has a given remainder, so a passage falls into the same chunks wherever it
 stands, whatever is before it. Chunks of two lines or more that hold a word are counted over all documents, grouped by hash
 and by their bytes, so chunks are equal only if their bytes are. Of equal chunks the first in the smallest doc_id
@@ -94,3 +100,53 @@ def dedup(docs: DataFrame) -> DataFrame:
         }
     )
     return out.select(*base.columns, "n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def _lined(docs: DataFrame) -> DataFrame:
+    """Row keys and lines of the texts with two lines or more: _doc, _row, lines."""
+    return docs.where(F.col("text").contains("\n")).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_row"), F.split("text", "\n").alias("lines"))
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """Pairs of lines that follow each other and hold a word, one row each: _doc, _row, pos, a, b (the lines' hashes)."""
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), x.rlike(r"[^\x20\x09-\x0D]").alias("w")))
+
+    def paired(x: Column) -> Column:
+        both = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda p, q: F.struct(p["h"].alias("a"), q["h"].alias("b"), (p["w"] | q["w"]).alias("w")))
+        return F.filter(F.transform(both, lambda p, i: F.struct(i.alias("pos"), p["a"].alias("a"), p["b"].alias("b"), p["w"].alias("w"))), lambda p: p["w"])
+
+    return _lined(docs).select("_doc", "_row", F.explode(bound(hashed, paired)).alias("_p")).select("_doc", "_row", "_p.pos", "_p.a", "_p.b")
+
+
+def _ambiguous(docs: DataFrame) -> DataFrame:
+    """h of lines that differ in their bytes and share the hash; as good as always empty."""
+    lines = _lined(docs).select(F.explode("lines").alias("line")).select(F.xxhash64("line").alias("h"), "line")
+    return lines.groupBy("h", "line").agg(F.lit(1).alias("_one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """docs with the text that stays, and n_lines, n_removed_lines, n_removed_chunks (runs that are gone) of each row."""
+    pairs, odd = _pairs(docs), written(_ambiguous(docs))
+    if not odd.isEmpty():
+        for c in ("a", "b"):
+            pairs = pairs.join(odd.withColumnRenamed("h", c), c, "left_anti")
+    often = written(pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("_doc").alias("owner")).where("n > 1").select("a", "b", "owner"))
+    found = pairs.join(often, ["a", "b"]).groupBy("_doc", "_row", "a", "b", "owner").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    gone = F.when(F.col("_doc") == F.col("owner"), F.filter("at", lambda p: p > F.get("at", F.lit(0)) + 1)).otherwise(F.col("at"))
+    gone = found.select("_doc", "_row", gone.alias("at")).where(F.size("at") > 0).groupBy("_doc", "_row").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_gone"))
+    base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
+    keyed = base.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_row", F.xxhash64("text"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    joined = keyed.join(gone, ["_doc", "_row"], "left").withColumn("n_lines", n.cast("long"))
+    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.flatten(F.transform("_gone", lambda p: F.array(p, p + 1))))
+    joined = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    text = bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform("_left", lambda i: F.get(lines, i)), "\n"))
+    runs = F.size(F.filter("_gone", lambda p, k: (k == 0) | (p - F.get("_gone", k - 1) > 2)))
+    out = joined.withColumns(
+        {
+            "n_removed_lines": F.when(F.col("_left").isNull(), 0).otherwise(F.col("n_lines") - F.size("_left")).cast("long"),
+            "n_removed_chunks": F.when(F.col("_left").isNull(), 0).otherwise(runs).cast("long"),
+            "text": F.when(F.col("_left").isNull(), F.col("text")).otherwise(text),
+        }
+    )
+    return out.select(*base.columns, "n_lines", "n_removed_lines", "n_removed_chunks")

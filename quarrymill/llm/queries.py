@@ -18,8 +18,8 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Remove repeated chunks of lines from every document."""
-    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    """Remove repeated runs of lines from every document."""
+    kept = line_dedup.dedup_runs(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.length("text").cast("long").alias("n_kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
