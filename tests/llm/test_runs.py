@@ -9,6 +9,7 @@ import re
 
 from test_operators import SCHEMA, prose, rows
 
+import corpus_pipeline
 from quarrymill.llm import line_dedup
 
 
@@ -59,3 +60,13 @@ def test_lines_that_share_a_hash_stay(spark, monkeypatch):
     odd = docs.selectExpr("xxhash64('two') AS h").limit(1)
     monkeypatch.setattr(line_dedup, "_ambiguous", lambda _: odd)
     assert sorted(r.text for r in line_dedup.dedup_runs(docs).collect()) == ["one\ntwo", "one\ntwo", "one\ntwo\nthree\nfour"]
+
+
+def test_pipeline_keeps_documents_with_words_of_their_own(spark):
+    rng = random.Random(22)
+    shared, header = "\n".join(prose(rng, 20) for _ in range(80)), prose(rng, 8) + "\n" + prose(rng, 7)
+    own = {2: prose(rng, 400), 3: prose(rng, 45), 4: "four words are left"}
+    held = [(0, shared), (1, header), (2, shared + "\n" + own[2]), (3, header + "\n" + own[3]), (4, own[4] + "\n" + shared), (5, shared)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in held], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert got == {d: (t, len(t)) for d, t in [*held[:2], *own.items()]}
