@@ -51,8 +51,16 @@ def jn05_semi(spark, d):
 
 @query("SELECT p_partkey FROM part p WHERE p_size > 20 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size <= 20 AND q.p_partkey < 500 AND (q.p_name = p.p_name OR q.p_retailprice = p.p_retailprice))")
 def jn06_anti_or(spark, d):
-    p = load(spark, d, "part")
-    q = p.where("p_size <= 20 AND p_partkey < 500")
+    return _without_equals(load(spark, d, "part"), "p_size <= 20 AND p_partkey < 500")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 20 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 20) AND p_retailprice NOT IN (SELECT p_retailprice FROM part WHERE p_size <= 20)")
+def jn06_anti_or_all(spark, d):
+    return _without_equals(load(spark, d, "part"), "p_size <= 20")
+
+
+def _without_equals(p, which):
+    q = p.where(which)
     rest = p.where("p_size > 20").join(q.select("p_name").distinct(), "p_name", "left_anti")
     return rest.join(q.select("p_retailprice").distinct(), "p_retailprice", "left_anti").select("p_partkey")
 
@@ -102,16 +110,33 @@ def jn13_word_border(spark, d):
 
 @query("SELECT p_partkey, s AS term FROM part, (SELECT DISTINCT lower(substr(p_name, 1, 3)) AS s FROM part WHERE p_partkey < 10) WHERE contains(lower(p_name), s)")
 def jn14_substring(spark, d):
-    p = load(spark, d, "part")
-    terms = p.where("p_partkey < 10").select(F.lower(F.substring("p_name", 1, 3)).alias("term")).distinct()
+    return _with_terms(load(spark, d, "part"), "p_partkey < 10")
+
+
+@query("SELECT p_partkey, s AS term FROM part, (SELECT DISTINCT lower(substr(p_name, 1, 3)) AS s FROM part) WHERE contains(lower(p_name), s)")
+def jn14_substring_all(spark, d):
+    return _with_terms(load(spark, d, "part"), "true")
+
+
+def _with_terms(p, which):
+    terms = p.where(which).select(F.lower(F.substring("p_name", 1, 3)).alias("term")).distinct()
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p_name") - 2, F.lit(1))), lambda i: F.substring(F.lower("p_name"), i, F.lit(3))))
     return R.terms_join(p.select("p_partkey", "p_name"), grams, terms, "term", ["p_partkey", "term"])
 
 
 @query("SELECT DISTINCT a.p_partkey, b.k FROM part a, (SELECT p_partkey AS k, p_name AS n1, p_brand AS n2 FROM part WHERE p_partkey <= 20) b WHERE a.p_name = b.n1 OR a.p_brand = b.n2")
 def jn15_synonyms(spark, d):
-    p = load(spark, d, "part")
-    b = p.where("p_partkey <= 20").select(F.col("p_partkey").alias("k"), F.explode(F.array("p_name", "p_brand")).alias("term"))
+    return _with_synonyms(load(spark, d, "part"), "p_partkey <= 20")
+
+
+@query("SELECT DISTINCT a.p_partkey, b.k FROM part a, (SELECT p_partkey AS k, p_name AS n1, p_brand AS n2 FROM part WHERE p_partkey % 100 = 0) b WHERE a.p_name = b.n1 OR a.p_brand = b.n2")
+def jn15_synonyms_all(spark, d):
+    """The queries are the ids divisible by 100, so they grow with the table."""
+    return _with_synonyms(load(spark, d, "part"), "p_partkey % 100 = 0")
+
+
+def _with_synonyms(p, which):
+    b = p.where(which).select(F.col("p_partkey").alias("k"), F.explode(F.array("p_name", "p_brand")).alias("term"))
     return R.terms_join(p.select("p_partkey", "p_name", "p_brand"), F.array("p_name", "p_brand"), b, "term", ["p_partkey", "k"])
 
 
@@ -147,21 +172,30 @@ def jn18_nearest(spark, d):
 
 @query()
 def jn19_fuzzy(spark, d):
-    """Names within a ratio of 0.75 of a query word by the longest matching blocks; the queries are a stated few, names distinct."""
-    names = load(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
-    sought = names.orderBy("name").limit(8).select(F.col("name").alias("query"))
+    """Names within a ratio of 0.75 of a query by the longest matching blocks; the queries are the names of ids divisible by 100, and both are distinct."""
+    p = load(spark, d, "part")
+    names = p.select(F.lower("p_name").alias("name")).distinct()
+    sought = p.where("p_partkey % 100 = 0").select(F.lower("p_name").alias("query")).distinct()
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
     near = F.abs(F.length("name") - F.length("query")) * 4 <= F.length("name") + F.length("query")
-    return names.crossJoin(F.broadcast(sought)).where(near).withColumn("ratio", ratio("query", "name")).where("ratio >= 0.75 AND ratio < 1")
+    return names.crossJoin(sought).where(near).withColumn("ratio", ratio("query", "name")).where("ratio >= 0.75 AND ratio < 1")
 
 
 @query("SELECT DISTINCT a.s_suppkey, b.c_custkey FROM supplier a, customer b WHERE a.s_suppkey <= 30 AND (a.s_suppkey = b.c_custkey OR lower(right(a.s_name, 3)) = lower(right(b.c_name, 3)))")
 def jn20_either_key(spark, d):
-    a, b = load(spark, d, "supplier").where("s_suppkey <= 30"), load(spark, d, "customer")
+    return _either_key(load(spark, d, "supplier").where("s_suppkey <= 30"), load(spark, d, "customer"))
+
+
+@query("SELECT DISTINCT a.s_suppkey, b.c_custkey FROM supplier a, customer b WHERE a.s_suppkey = b.c_custkey OR lower(right(a.s_name, 3)) = lower(right(b.c_name, 3))")
+def jn20_either_key_all(spark, d):
+    return _either_key(load(spark, d, "supplier"), load(spark, d, "customer"))
+
+
+def _either_key(a, b):
     end = lambda c: F.lower(F.right(c, F.lit(3)))
     return R.either_key_join(a, b, [(a.s_suppkey, b.c_custkey), (end("s_name"), end("c_name"))], [F.col("s_suppkey"), F.col("c_custkey")])
 

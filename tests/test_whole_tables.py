@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+
+import duckdb
 import pyarrow.parquet as pq
 import pytest
+from test_queries import plain
 
 from quarrymill.plans import registry
 
@@ -38,3 +42,29 @@ def test_components(spark, parts):
         n[c] = n.get(c, 0) + 1
         best[c] = min(best.get(c, (2,)), (0 if p["p_size"] > 20 else 1, len(p["p_name"]), p["p_name"], p["p_partkey"]))
     assert {(r.component, r.name, r.n) for r in QUERIES["er02_representative_all"](spark, FOLDER).collect()} == {(c, best[c][2], n[c]) for c in n}
+
+
+def rows_of(spark, name):
+    df = QUERIES[name](spark, FOLDER)
+    return sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["ds08_set_links_all", "ds29_rerank_all", "jn06_anti_or_all", "jn14_substring_all", "jn15_synonyms_all", "jn20_either_key_all", "vl09_seed_checks_all"])
+def test_whole_tables(spark, name):
+    con = duckdb.connect()
+    for n in ("part", "region", "lineitem", "supplier", "customer"):
+        con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{FOLDER}/{n}.parquet'")
+    cursor = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    assert rows_of(spark, name) == sorted(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in cursor.fetchall())
+
+
+def test_grades_reach_all_parts(spark, parts):
+    assert {r.p_partkey for r in QUERIES["ds08_fisher_grades"](spark, FOLDER).select("p_partkey").collect()} == {p["p_partkey"] for p in parts}
+
+
+def test_fuzzy(spark, parts):
+    names, sought = {p["p_name"].lower() for p in parts}, {p["p_name"].lower() for p in parts if p["p_partkey"] % 100 == 0}
+    ratio = lambda q, n: difflib.SequenceMatcher(None, q, n).ratio()
+    want = {(q, n, r) for q in sought for n in names if 4 * abs(len(q) - len(n)) <= len(q) + len(n) and 0.75 <= (r := ratio(q, n)) < 1}
+    assert len(sought) > 8 and {(r["query"], r["name"], r["ratio"]) for r in QUERIES["jn19_fuzzy"](spark, FOLDER).collect()} == want
