@@ -11,7 +11,7 @@
   cosine with an item is ``COSINE`` or more are candidates.
 * A candidate is confirmed on words: the longest common subsequence of the item and the window, widened by half its length on
   both sides, holds ``SHARE`` of the item's words, and ``ANSWER`` of the words of its answer (what follows the last
-  question mark, else its last sentence), which tells a paraphrase from text that only shares the topic. Before the
+  question mark that has a word behind it, else its last sentence), which tells a paraphrase from text that only shares the topic. Before the
   subsequence is computed, its upper bound is, the words that both have.
 
 Words are runs of digits, letters and characters beyond ASCII, in lower case. Items of less than ``LEAST_WORDS`` words
@@ -22,6 +22,7 @@ out is bounded; a larger benchmark takes more passes over the documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,12 +128,11 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
 
 
 def _answer(text: str) -> str:
-    """What follows the last question mark, else the last sentence."""
-    text = text.strip()
-    cut = text.rfind("?", 0, len(text) - 1)
+    """What follows the last question mark that has a word behind it, else the last sentence."""
+    body = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$", "", text)
+    cut = body.rfind("?")
     if cut >= 0:
         return text[cut + 1 :]
-    body = text.rstrip(".!? \n")
     cut = max(body.rfind(". "), body.rfind(".\n"), body.rfind("! "), body.rfind("\n"))
     return text[cut + 1 :]
 
@@ -180,7 +180,9 @@ class Items:
         """Shares of the item's and of its answer's words in the longest common subsequence with the words."""
         own, answer = self.words[item], self.answers[item]
         share = common_subsequence(words, own) / len(own)
-        return share, (common_subsequence(words, answer) / len(answer) if answer and share >= SHARE else 0.0)
+        if share < SHARE:
+            return share, 0.0
+        return share, common_subsequence(words, answer) / len(answer) if answer else 1.0
 
 
 def _search(docs: DataFrame, items: Items) -> DataFrame:
