@@ -9,13 +9,16 @@
   projected to ``SKETCH`` dimensions, which keep cosines.
 * Items of about the same length are looked for with windows of that length, a quarter of it apart. Windows whose
   cosine with an item is ``COSINE`` or more are candidates.
+* The cosine loses windows that the words would confirm, so candidates also come from rare words, without loss: of an item's n
+  words at most n - m can be missing from a match of m = SHARE n words, so any match holds r of the item's rarest n - m + r
+  words. Windows with r of them are candidates too.
 * A candidate is confirmed on words: the longest common subsequence of the item and the window, widened by half its length on
   both sides, holds ``SHARE`` of the item's words, and ``ANSWER`` of the words of its answer (what follows the last
   question mark that has a word behind it, else its last sentence), which tells a paraphrase from text that only shares the topic. Before the
   subsequence is computed, its upper bound is, the words that both have.
 
 Words are runs of digits, letters and characters beyond ASCII, in lower case. Items of less than ``LEAST_WORDS`` words
-are matched only as a whole, word by word. Null text counts as empty and matches nothing; items without words
+are matched only as a whole, word by word, and looked for as such at every word. Null text counts as empty and matches nothing; items without words
 match nothing. Repeated rows are searched each by itself. Items are broadcast ``ITEMS_AT_ONCE`` at a time, so what is sent
 out is bounded; a larger benchmark takes more passes over the documents.
 """
@@ -23,6 +26,7 @@ out is bounded; a larger benchmark takes more passes over the documents.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, pieces, utf8, word_hashes
+from ._text import ALNUM, mix, pieces, utf8, word_hashes
 
 SLOTS = 1 << 13
 RANK = 16
@@ -45,6 +49,8 @@ LEAST_WORDS = 8
 #: Words of a window at most; a longer item is looked for by its parts of this length.
 LONGEST = 96
 ITEMS_AT_ONCE = 5000
+#: The r of candidates by rare words, as a share of an item's words. It trades the frequency of words looked for against the number of candidates and changes no result.
+RARE = 0.3
 #: Words of a block; windows are whole blocks.
 STEP = 4
 #: Texts worked on at a time, in bytes.
@@ -153,7 +159,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Items:
     """A block of benchmark items, their parts and words; sent to the executors."""
 
-    def __init__(self, rows: list[tuple[int, str]], space: np.ndarray) -> None:
+    def __init__(self, rows: list[tuple[int, str]], space: np.ndarray, held: np.ndarray) -> None:
         self.space = space
         self.ids, self.words, self.answers, texts = [], [], [], []
         for item, text in rows:
@@ -165,12 +171,31 @@ class Items:
                 self.answers.append(answer.tolist())
                 texts.append(words)
         parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.short: dict[int, dict[int, list[int]]] = {}
+        #: Of each item: width of its windows, what they are widened by, unit vector, and words of its rare ones that any match holds.
+        self.width, self.around, self.least = (np.ones(len(texts), np.int64) for _ in range(3))
+        self.unit = np.zeros((len(texts), space.shape[1]), np.float32)
+        postings: list[tuple[np.ndarray, int]] = []
         for i, words in enumerate(texts):
+            if len(words) < LEAST_WORDS:
+                self.short.setdefault(len(words), {}).setdefault(int(_runs(words, len(words))[0]), []).append(i)
+                continue
+            rare, self.least[i] = _rare(words, held)
+            postings.append((rare, i))
             for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2) if len(words) > LONGEST else [0]:
                 part = words[at : at + LONGEST]
                 width = max(4, 4 * round(2 ** (round(2 * np.log2(max(len(part), 4))) / 2) / 4))
                 v = space[_slots(part)].sum(0)
-                parts.setdefault(width, []).append((i, v / max(np.linalg.norm(v), 1e-9)))
+                v = v / max(np.linalg.norm(v), 1e-9)
+                parts.setdefault(width, []).append((i, v))
+                if at == 0:
+                    self.width[i], self.unit[i], self.around[i] = width, v, width // 2 if len(words) <= LONGEST else len(words)
+        word = np.concatenate([w for w, _ in postings]) if postings else np.zeros(0, np.uint64)
+        item = np.concatenate([np.full(len(w), i) for w, i in postings]) if postings else np.zeros(0, np.int64)
+        order = np.argsort(word, kind="stable")
+        #: Rare words, and the items of each: item[start[k] : start[k + 1]].
+        self.rare, first = np.unique(word[order], return_index=True)
+        self.rare_start, self.rare_item = np.append(first, len(word)), item[order]
         #: Window length: items of the parts, and their unit vectors.
         self.parts = {w: (np.array([i for i, _ in x]), np.stack([v for _, v in x])) for w, x in parts.items()}
         self.vocabulary = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
@@ -185,6 +210,66 @@ class Items:
         return share, common_subsequence(words, answer) / len(answer) if answer else 1.0
 
 
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words at each place."""
+    out = words[: max(0, len(words) - n + 1)]
+    for k in range(1, n):
+        out = mix(out) ^ words[k : len(out) + k]
+    return mix(out)
+
+
+def _rare(words: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, int]:
+    """The item's rarest words, by the documents that hold them, and how many places of them any match holds."""
+    own, count = np.unique(words, return_counts=True)
+    missing = len(words) - int(np.ceil(SHARE * len(words) - 1e-9))
+    order = np.argsort(held[_slots(own)], kind="stable")
+    places = np.cumsum(count[order])
+    k = int(np.searchsorted(places, min(len(words), missing + max(1, round(RARE * len(words))))))
+    return own[order[: k + 1]], int(places[k]) - missing
+
+
+def _short_hits(items: Items, words: np.ndarray, of: np.ndarray, first: np.ndarray, best: dict) -> None:
+    """Items of few words, as a whole, wherever they stand."""
+    for n, known in items.short.items():
+        hashes = _runs(words, n)
+        at = np.flatnonzero(np.isin(hashes, np.fromiter(known, np.uint64, len(known))) & (of[: len(hashes)] == of[n - 1 :]))
+        _, seen = np.unique(np.stack([of[at].astype(np.uint64), hashes[at]]), axis=1, return_index=True)
+        for p in np.sort(at[seen]).tolist():
+            for i in known[int(hashes[p])]:
+                if items.words[i] == words[p : p + n].tolist():
+                    best[int(of[p]), i] = 1.0, 1.0, 1.0, int(p - first[of[p]])
+
+
+def _rare_windows(items: Items, words: np.ndarray, of: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first block and item of the windows that hold enough of an item's rare words when widened."""
+    none = np.zeros(0, np.int64)
+    if not len(items.rare):
+        return none, none, none
+    k = np.minimum(np.searchsorted(items.rare, words), len(items.rare) - 1)
+    at = np.flatnonzero(items.rare[k] == words)
+    start, n = items.rare_start[k[at]], np.diff(items.rare_start)[k[at]]
+    place = np.repeat(at, n)
+    item = items.rare_item[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], place[order]
+    to = np.arange(len(item)) + items.least[item] - 1
+    end = np.minimum(to, max(0, len(item) - 1))
+    reach = items.width[item] + 2 * items.around[item]
+    ok = (to < len(item)) & (item[end] == item) & (of[place[end]] == of[place]) & (place[end] - place < reach)
+    item, x, y = item[ok], place[ok], place[end[ok]]
+    doc = of[x]
+    x, y = x - first[doc], y - first[doc]
+    blocks = items.width[item] // STEP
+    step = np.maximum(1, blocks // 4)
+    low = -(-np.maximum(0, y - items.width[item] - items.around[item] + 1) // (STEP * step))
+    high = np.minimum((x + items.around[item]) // (STEP * step), np.maximum(0, -(-(rows[doc] - blocks) // step)))
+    low = np.minimum(low, high)  # windows at a text's end are widened to the end
+    n = high - low + 1
+    window = np.repeat(low * step, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * np.repeat(step, n)
+    found = np.unique(np.stack([np.repeat(doc, n), window, np.repeat(item, n)]), axis=1)
+    return found[0], found[1], found[2]
+
+
 def _search(docs: DataFrame, items: Items) -> DataFrame:
     """doc_id, item_id, cosine, share, answer, first word of the confirmed windows of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -205,6 +290,7 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                 sums = np.zeros((len(home) + 1, SKETCH), np.float32)
                 np.cumsum(np.add.reduceat(items.space[_slots(words)], start, 0), 0, out=sums[1:])
                 best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+                _short_hits(items, words, of, first, best)
                 for width, (owner, units) in items.parts.items():
                     blocks = width // STEP
                     step = max(1, blocks // 4)
@@ -218,7 +304,16 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                         v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
                         cosines = v @ units.T
                         where, which = np.nonzero(cosines >= COSINE)
-                        _confirm(items, words, first, d, start[a], np.minimum(start[e - 1] + STEP, first[d + 1]), owner, where, which, cosines, width, best)
+                        _confirm(items, words, first, d, start[a], np.minimum(start[e - 1] + STEP, first[d + 1]), owner[which], where, cosines[where, which], width, best)
+                doc, block, item = _rare_windows(items, words, of, first, rows)
+                for width in np.unique(items.width[item]).tolist():
+                    mine = items.width[item] == width
+                    d, b, i = doc[mine], block[mine], item[mine]
+                    a = head[d] + b
+                    e = np.minimum(a + width // STEP, head[d] + rows[d])
+                    v = sums[e] - sums[a]
+                    cosines = np.einsum("ij,ij->i", v, items.unit[i]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)
+                    _confirm(items, words, first, d, start[a], np.minimum(start[e - 1] + STEP, first[d + 1]), i, np.arange(len(i)), cosines, width, best)
                 if best:
                     keys = list(best)
                     cos, share, answer, place = zip(*best.values(), strict=True)
@@ -230,15 +325,14 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, cosine double, share double, answer double, first_word long")
 
 
-def _confirm(items, words, first, doc, a, e, owner, where, which, cosines, width, best) -> None:
+def _confirm(items, words, first, doc, a, e, candidates, where, cosines, width, best) -> None:
     """Keep, of each document and item, the best window that the word checks confirm."""
     if not len(where):
         return
     low = np.maximum(a - width // 2, first[doc])
     high = np.minimum(e + width // 2, first[doc + 1])
     held: dict[int, tuple[list[int], dict[int, int]]] = {}
-    for w, k in zip(where.tolist(), which.tolist(), strict=True):
-        item = int(owner[k])
+    for w, item, cosine in zip(where.tolist(), candidates.tolist(), cosines.tolist(), strict=True):
         key = int(doc[w]), item
         if key in best and best[key][1] >= 0.999:
             continue
@@ -251,21 +345,16 @@ def _confirm(items, words, first, doc, a, e, owner, where, which, cosines, width
                 bag[x] = bag.get(x, 0) + 1
             held[w] = own, bag
         own, bag = held[w]
-        wanted = items.bags[item]
-        need = SHARE * min(len(items.words[item]), LONGEST)
-        if sum(min(c, bag.get(x, 0)) for x, c in wanted.items()) < need:
-            continue
         n = len(items.words[item])
         if n > LONGEST:
             lo, hi = max(first[doc[w]], a[w] - n), min(first[doc[w] + 1], e[w] + n)
             own = words[lo:hi].tolist()
-        if n < LEAST_WORDS:
-            ok = any(own[i : i + n] == items.words[item] for i in range(len(own) - n + 1))
-            share, answer = (1.0, 1.0) if ok else (0.0, 0.0)
-        else:
-            share, answer = items.confirm(item, own)
+            bag = Counter(own)
+        if sum(min(c, bag.get(x, 0)) for x, c in items.bags[item].items()) < SHARE * n - 1e-9:
+            continue
+        share, answer = items.confirm(item, own)
         if share >= SHARE and answer >= ANSWER and (key not in best or share > best[key][1]):
-            best[key] = float(cosines[w, k]), share, answer, int(a[w] - first[doc[w]])
+            best[key] = cosine, share, answer, int(a[w] - first[doc[w]])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -277,7 +366,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     while True:
         rows = block.offset(at).limit(ITEMS_AT_ONCE).collect()
         if rows or found is None:
-            hits = _search(docs, Items([(r.item_id, r.text) for r in rows], space))
+            hits = _search(docs, Items([(r.item_id, r.text) for r in rows], space, count))
             found = hits if found is None else found.unionByName(hits)
         at += ITEMS_AT_ONCE
         if len(rows) < ITEMS_AT_ONCE:

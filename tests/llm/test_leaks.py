@@ -25,3 +25,26 @@ def test_items_that_end_in_a_question(spark):
     items = [(i, "He said. " + prose(rng, 20) + end) for i, end in enumerate(('?"', "?)", "?!", "??", "?", "? ...", '"'))]
     docs = [(i, prose(rng, 60) + " " + t + " " + prose(rng, 60)) for i, t in items] + [(100 + i, prose(rng, 150)) for i in range(20)]
     assert found(spark, docs, items) == {(i, i) for i, _ in items}
+
+
+def test_short_items_are_found_wherever_they_stand(spark):
+    rng = random.Random(32)
+    items = [(i, f"Zq{i} " + " ".join(f"short{rng.randint(0, 9)}" for _ in range(i % 7))) for i in range(56)]
+    docs = [(i, prose(rng, 50 + i % 9) + " " + t.upper() + " " + prose(rng, 50)) for i, t in items] + [(100, ""), (101, items[13][1].split()[0])]
+    want = {(i, i) for i, _ in items}
+    for d, t in docs[-2:]:
+        want |= {(d, i) for i, x in items if x.strip().lower() == t.lower() and t}
+    assert found(spark, docs, items) == want
+
+
+def test_paraphrases_at_the_share_are_found(spark):
+    rng = random.Random(33)
+    items, docs = [], []
+    for i in range(240):
+        words = prose(rng, rng.randint(15, 59) if i % 8 else rng.randint(100, 260)).split()
+        items.append((i, " ".join(words) + "?" + " Yes."))
+        words.append("Yes.")
+        other = rng.sample(range(len(words) - 1), int(len(words) * (0.4, 0.35, 0.3)[i % 3]))
+        text = " ".join(f"swap{rng.randint(0, 10**6)}" if k in other else w for k, w in enumerate(words))
+        docs.append((i, prose(rng, rng.randint(0, 90)) + " " + text + " " + prose(rng, rng.randint(0, 90))))
+    assert {(i, i) for i, _ in items} - found(spark, docs, items) == set()
