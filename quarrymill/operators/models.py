@@ -73,7 +73,9 @@ def char_latent(df: DataFrame, column: str, vocabulary: int, size: int) -> DataF
 def triple_scores(triples: DataFrame, size: int = 16, rounds: int = 60, seed: int = 13, limit: int = 50_000) -> DataFrame:
     """head, tail, score: DistMult trained with negative samples; scores are scaled to 0..1 within each tail.
 
-    Training takes ``limit`` triples at most, the first in order of their hash; all pairs of its heads and tails are scored.
+    Training takes ``limit`` triples at most, the first in order of their hash; all pairs of heads and tails of the whole table are
+    scored. What the sample lacks gets the mean direction of its neighbours, at the trained vectors' length: heads first, then tails, twice.
+    What no neighbour reaches that way gets a vector drawn by its hash, as before training.
     """
     spark = triples.sparkSession
     rows = triples.orderBy(F.xxhash64("head", "relation", "tail"), "head", "tail").limit(limit).collect()
@@ -93,12 +95,33 @@ def triple_scores(triples: DataFrame, size: int = 16, rounds: int = 60, seed: in
             r -= (g * u * w).sum(0) * 0.1
     left = spark.createDataFrame([(x, (a[i] * r).tolist()) for x, i in h.items()] or [], "head string, u array<double>")
     right = spark.createDataFrame([(x, b[i].tolist()) for x, i in t.items()] or [], "tail string, w array<double>")
+    if len(rows) == limit:
+        left, right = _folded(triples, left, right, float(np.linalg.norm(a * r, axis=1).mean()), float(np.linalg.norm(b, axis=1).mean()), size)
     raw = left.crossJoin(right).select("head", "tail", F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("raw"))
     w = Window.partitionBy("tail")
     span = F.max("raw").over(w) - F.min("raw").over(w)
     return raw.select("head", "tail", F.round(F.when(span > 0, (F.col("raw") - F.min("raw").over(w)) / span).otherwise(0.5), 6).alias("score"))
 
 
+def _folded(triples: DataFrame, left: DataFrame, right: DataFrame, long_u: float, long_w: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """left and right with a vector for every head and tail of the triples."""
+    edges = triples.select("head", "tail").distinct()
+
+    def grown(known: DataFrame, key: str, v: str, others: DataFrame, other: str, w: str, length: float) -> DataFrame:
+        new = edges.join(known, key, "left_anti").join(others, other).groupBy(key).agg(F.array(*(F.avg(F.col(w)[k]) for k in range(size))).alias(v))
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return known.unionByName(new.withColumn("_n", norm).where("_n > 0").select(key, F.transform(v, lambda x: x / F.col("_n") * length).alias(v)))
+
+    def drawn(known: DataFrame, key: str, v: str, length: float) -> DataFrame:
+        unit = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.pmod(F.xxhash64(key, k), F.lit(1_000_003)) / F.lit(1_000_003.0) - 0.5)
+        return known.unionByName(edges.select(key).distinct().join(known, key, "left_anti").select(key, F.transform(unit, lambda x: x * (length * (12 / size) ** 0.5)).alias(v)))
+
+    for _ in range(2):
+        left = grown(left, "head", "u", right, "tail", "w", long_u)
+        right = grown(right, "tail", "w", left, "head", "u", long_w)
+    return drawn(left, "head", "u", long_u), drawn(right, "tail", "w", long_w)
+
+
 def ward(points: np.ndarray, sizes: Sequence[int]) -> list[tuple[int, int, float]]:
     """Merges of Ward's method over a few weighted points: (a, b, height); new clusters are numbered on from the points."""
     held = {i: (p.astype(float), float(n)) for i, (p, n) in enumerate(zip(points, sizes, strict=True))}
