@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,12 @@ NON_SPACE = ~_SPACE
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+#: Of each table: words as they are compared, everything else a blank.
+_SPLIT = {t.tobytes(): bytes((b + 32 if 0x41 <= b <= 0x5A else b) if t[b] else 0x20 for b in range(256)) for t in (NON_SPACE, ALNUM)}
+#: Words that a worker keeps the hashes of, and the bytes of the longest that is kept.
+STORE_WORDS = 1 << 17
+STORE_BYTES = 64
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -113,7 +121,36 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return mix((sums[ends] - sums[starts]) * powers(_INV, len(sums))[starts] + (ends - starts).astype(_U))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+class _Stored(dict):
+    """Hashes of the words met so far. It starts anew when full, which changes speed only."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= STORE_BYTES:
+            if len(self) >= STORE_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_stored = _Stored()
+
+
+def words_of(texts: pa.Array, table: np.ndarray) -> Iterator[list[bytes]]:
+    """The words (runs of the table's bytes) of each text of a large_string array, A-Z in lower case."""
+    data, offsets = utf8(texts)
+    raw = data.tobytes().translate(_SPLIT[table.tobytes()])
+    at = offsets.tolist()
+    for a, b in zip(at, at[1:], strict=False):
+        yield raw[a:b].split()
+
+
+def hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (64 bits of BLAKE2) and text index of each word of some texts, in order."""
+    count = [len(x) for x in words]
+    return np.fromiter(map(_stored.__getitem__, chain.from_iterable(words)), _U, sum(count)), np.repeat(np.arange(len(count)), count)
+
+
+def word_hashes(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text index of each word, in order."""
-    starts, ends, of = spans(data, offsets, table)
-    return span_hash(prefix_hash(data, fold), starts, ends), of
+    return hashed(list(words_of(texts, table)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, pieces, utf8, word_hashes
+from ._text import ALNUM, pieces, word_hashes
 
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -129,7 +129,7 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str]) -> None:
         words = sorted({w for t in [*phrases, *(x for v in templates.values() for x in v)] for w in t.split()})
         data = pa.array(words, pa.large_string())
-        hashes, _ = word_hashes(*utf8(data), ALNUM)
+        hashes, _ = word_hashes(data, ALNUM)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order + 1
         of = {w: i + 1 for i, w in enumerate(words)}
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
         _scanners[key] = scanner
         for batch in batches:
             for part, texts in pieces(batch):
-                hashes, of = word_hashes(*utf8(texts), ALNUM)
+                hashes, of = word_hashes(texts, ALNUM)
                 tokens, n = scanner.tokens(hashes), len(texts)
                 n_words = np.bincount(of, minlength=n)
                 firsts = np.cumsum(n_words) - n_words
