@@ -8,6 +8,10 @@ neighbouring pair is compatible, so the first complete sequence found is the exa
 is given up at most once, which keeps the time linear in the word's length. Decoding takes token texts from
 one byte string through a table of offsets.
 
+Classes, cases and normal forms of characters are this Python's, which may know another version of Unicode than the tokenizers library
+does. So a character beyond ASCII is held against the library when a worker first meets it, inside and beside words, and a text with
+one that both treat differently is encoded by the library.
+
 Null text counts as empty: no token, empty decoded text. Repeated rows are encoded alike, row by row; other
 columns of the input pass through ``encode`` untouched, and columns of its own names are replaced.
 """
@@ -80,6 +84,7 @@ class BacktrackingBPE:
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
+        self._path, self._agreed = path, {chr(i): True for i in range(128)}
         self._reversed = ahocorasick.Automaton()
         for i, s in self.symbols.items():
             if (len(s) == 1 or i in self.parts) and self._reachable(i):
@@ -210,8 +215,33 @@ class BacktrackingBPE:
             get, word = self._cache.get, self._word
             return b"".join([got if (got := get(w)) is not None else word(w) for w in words])
 
+    def _library(self, specials: bool = True):  # noqa: ANN202
+        """The tokenizers library with the same file."""
+        held = self.__dict__.setdefault("_libraries", {})
+        if specials not in held:
+            from tokenizers import Tokenizer
+
+            library = held[specials] = Tokenizer.from_file(self._path)
+            library.no_truncation()
+            library.no_padding()
+            library.encode_special_tokens = not specials
+        return held[specials]
+
+    def _known(self, text: str) -> bool:
+        """This class normalises and splits every character of the text as the library does."""
+        agreed = self._agreed
+        new = [c for c in set(text) if c not in agreed]
+        for c in new:
+            probe, library = f"a{c}a 1{c}1 !{c}! {c}{c} a{c}!{c}1{c}a", self._library()
+            want = library.normalizer.normalize_str(probe) if library.normalizer else probe
+            words = ["".join(map(self._bytes.__getitem__, w.encode())) for w in self._split.findall(self.normalized(probe))]
+            agreed[c] = words == [w for w, _ in library.pre_tokenizer.pre_tokenize_str(want)]
+        return all(map(agreed.__getitem__, set(text)))
+
     def encode(self, text: str, specials: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. specials: the strings of special tokens become their ids."""
+        if not text.isascii() and not self._known(text):
+            return np.array(self._library(specials).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not specials or not self._special or "<|" not in text:
             return self._plain(text)
         parts = self._special.split(text)

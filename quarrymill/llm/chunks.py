@@ -19,6 +19,7 @@ from ._text import NON_SPACE, prefix_hash, span_hash
 STORE_CHUNKS = 1_000_000
 #: Bytes of the longest chunk that is kept.
 STORE_BYTES = 64
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 def awkward(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -46,7 +47,7 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.at, self.count, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.pool, self.filled = np.zeros(1 << 18, np.uint32), 0
 
@@ -61,6 +62,18 @@ class ChunkEncoder:
         self.used += 1
         return self.used - 1
 
+    def _alike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunks: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Of each chunk: its bytes are those of the other one."""
+        n = (ends - starts)[chunks]
+        out = n == (ends - starts)[others]
+        at = np.flatnonzero(out & (chunks != others))
+        n, low = n[at], (_LOWER[data] if self.fold else data)
+        firsts = np.cumsum(n) - n
+        within = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(firsts.astype(np.int32), n)
+        differ = low[np.repeat(starts[chunks[at]].astype(np.int32), n) + within] != low[np.repeat(starts[others[at]].astype(np.int32), n) + within]
+        out[at[np.searchsorted(firsts, np.flatnonzero(differ), "right") - 1]] = False
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's."""
         texts = len(offsets) - 1
@@ -79,19 +92,25 @@ class ChunkEncoder:
             keep = ~odd[of] | first[starts]
             starts, of = starts[keep], of[keep]
         ends = np.append(starts[1:], len(data))
-        direct = odd[of] | (ends - starts > STORE_BYTES)
+        direct = odd[of] | (ends - starts > STORE_BYTES) | (ends >= 1 << 31)
         hashes = span_hash(prefix_hash(data, self.fold), starts, ends)
-        codes, keys = pd.factorize(hashes[~direct])
         where = np.flatnonzero(~direct)
+        codes, keys = pd.factorize(hashes[where])
         sample = np.empty(len(keys), np.int64)
         sample[codes[::-1]] = where[::-1]
+        if len(where):  # bytes decide; a chunk that only shares the hash is encoded by itself
+            alike = self._alike(data, starts, ends, where, sample[codes])
+            if not alike.all():
+                direct[where[~alike]] = True
+                where, codes = where[alike], codes[alike]
         raw, get = data.tobytes(), self.index.get
         known = np.empty(len(keys), np.int64)
-        for k, key in enumerate(keys.tolist()):
+        for k, (a, b) in enumerate(zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)):
+            chunk = raw[a:b]
+            key = chunk.lower() if self.fold else chunk
             found = get(key)
             if found is None:
-                i = sample[k]
-                found = self.index[key] = self._add(self.encode_one(raw[starts[i] : ends[i]].decode()))
+                found = self.index[key] = self._add(self.encode_one(chunk.decode()))
             known[k] = found
         slots = np.empty(len(starts), np.int64)
         slots[where] = known[codes]
