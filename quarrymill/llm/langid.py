@@ -2,28 +2,32 @@
 
 Each language has a model of hashed byte n-grams, learned from labelled texts. The words of a document are drawn from
 a mixture: expectation-maximisation over the words' likelihoods gives the share of each language. Then languages leave
-the set, the smallest share first, as long as the likelihood lost is less than the penalty for one parameter
-(half the logarithm of the number of words); the main language of the set that remains is the prediction.
-
-Learning takes ``SAMPLE_ROWS`` labelled rows of each language at most, those with the smallest hashes of doc_id, and
-the first ``SAMPLE_BYTES`` of each; the rows to be predicted are never cut. Null text or text without a letter is
-``und`` with score 0. Rows with null lang teach nothing; without any labelled row everything is ``und``.
+the set, first all that hold less than half a word, then the smallest share, as long as the likelihood lost is less than the
+penalty (half the logarithm of the number of words for each language that leaves); the main language of the set that remains is the
+prediction, the first in the alphabet of equal ones, and ``languages`` has the whole set with its shares.
+
+Learning takes about ``SAMPLE_ROWS`` labelled rows of each of the ``MOST_LANGUAGES`` languages with the most rows, whole, chosen by a
+hash of doc_id (rows of one doc_id are all in or all out); all other work is on all rows and whole texts. Words are scored once and
+kept by each worker, ``STORE_WORDS`` of them at a time. Null text or text without a letter is ``und`` with score 0. Rows with null lang
+teach nothing; without any labelled row, as in an empty table, everything is ``und``. Repeated rows get equal predictions; other
+columns of the input are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import mix, pieces, spans, text_array, utf8
 
-#: Labelled rows of a language that are learned from (1000: up to there Spark limits the groups before the shuffle), and bytes of each.
+#: Labelled rows of a language that are learned from, about, and languages that are learned (both bound the sample and the model).
 SAMPLE_ROWS = 1000
-SAMPLE_BYTES = 20_000
+MOST_LANGUAGES = 100
 #: Slots of the hashed n-grams (a power of two) and the longest n-gram.
 SLOTS = 1 << 16
 LONGEST = 4
@@ -31,9 +35,13 @@ LONGEST = 4
 ROUNDS = 12
 #: A word's log-likelihood ratio to its best language is held above this.
 FLOOR = -12.0
+#: Words that a worker keeps the likelihoods of; beyond it the store starts anew, which changes speed only. Bytes of the longest that is kept.
+STORE_WORDS = 1 << 16
+STORE_BYTES = 64
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+_SPLIT = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if _LETTER[b] else 0x20 for b in range(256))
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,16 +66,17 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The bounded sample of labelled rows."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """lang and text of the bounded sample of labelled rows: those whose hash is below a threshold from the language's count."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    return rows.select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= SAMPLE_ROWS).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    return rows.select("lang", "text", place.alias("_p")).join(F.broadcast(sizes), "lang").where(F.col("_p") * F.col("_n") < SAMPLE_ROWS).select("lang", "text")
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities of each slot in each (slots by languages).
 
-    The executors count; for each language one vector of counts reaches the driver from each task.
+    The executors count and add up; a count for each language and slot reaches the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,85 +90,127 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                     starts, ends, _ = spans(data, offsets, _LETTER)
                     slots, _ = _grams(data, starts, ends) if len(starts) else (np.zeros(0, np.int64), None)
                     counts[lang] = counts.get(lang, np.zeros(SLOTS, np.int64)) + np.bincount(slots, minlength=SLOTS)
-        if counts:
-            yield pa.RecordBatch.from_pydict({"lang": list(counts), "counts": pa.array([x.astype("<i8").tobytes() for x in counts.values()], pa.binary())})
+        for lang, count in counts.items():
+            used = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(count[used], pa.int64())], names=["lang", "slot", "n"])
 
-    total: dict[str, np.ndarray] = {}
-    for row in sample(docs).coalesce(8).mapInArrow(run, "lang string, counts binary").collect():
-        total[row.lang] = total.get(row.lang, 0) + np.frombuffer(bytes(row.counts), "<i8")
-    langs = sorted(total)
+    found = sample(docs).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows of each language at most
+    langs = sorted(found.column("lang").unique().to_pylist())
     if not langs:
         return [], np.zeros((SLOTS, 0), np.float32)
-    table = np.stack([total[x] for x in langs], 1) + 0.1
+    table = np.full((SLOTS, len(langs)), 0.1)
+    of = {x: k for k, x in enumerate(langs)}
+    table[found.column("slot").to_numpy(), [of[x] for x in found.column("lang").to_pylist()]] += found.column("n").to_numpy()
     return langs, np.log(table / table.sum(0)).astype(np.float32)
 
 
-def _mixture(scores: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Main language and its share for each of n texts. scores: a row of log-likelihoods for each word, of: its text."""
-    langs = scores.shape[1]
-    like = np.exp(np.maximum(scores - scores.max(1, keepdims=True), FLOOR))
-    words = np.bincount(of, minlength=n)
-    have = np.flatnonzero(words)
-    cuts = (np.cumsum(words) - words)[have]
-    allowed = np.ones((len(have), langs), bool)
-    local = np.repeat(np.arange(len(have)), words[have])
-
-    def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mixture(like: np.ndarray, count: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The share of each language in each of n texts. like: a row of likelihoods for each word, count: how often it occurs, of: its text, ascending."""
+    langs = like.shape[1]
+    words = np.bincount(of, count, n)
+    shares = np.zeros((n, langs))
+    texts = np.flatnonzero(words)
+    allowed = np.ones((len(texts), langs), bool)
+
+    def fit(which: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares and log-likelihoods of some of the texts over the allowed languages."""
+        inside = np.zeros(n, bool)
+        inside[texts[which]] = True
+        rows = np.flatnonzero(inside[of])
+        like_, times, local = like[rows], count[rows, None], np.searchsorted(texts[which], of[rows])
+        cuts = np.flatnonzero(np.diff(local, prepend=-1))
         share = allowed / allowed.sum(1, keepdims=True)
-        for _ in range(ROUNDS):
-            each = like * share[local]
-            each /= each.sum(1, keepdims=True)
-            share = np.add.reduceat(each, cuts, 0) / words[have][:, None]
-        level = np.add.reduceat(np.log((like * share[local]).sum(1)), cuts)
-        return share, level
-
-    share, level = fit(allowed)
-    penalty = 0.5 * np.log(np.maximum(words[have], 2))
-    for _ in range(langs - 1):
-        smaller = allowed.copy()
-        smaller[np.arange(len(have)), np.where(allowed, share, np.inf).argmin(1)] = False
-        smaller[allowed.sum(1) < 2] = allowed[allowed.sum(1) < 2]
-        new_share, new_level = fit(smaller)
-        better = (smaller != allowed).any(1) & (level - new_level < penalty)
-        if not better.any():
+        for _ in range(ROUNDS if (allowed.sum(1) > 1).any() else 0):
+            each = like_ * share[local]
+            each *= times / each.sum(1, keepdims=True)
+            share = np.add.reduceat(each, cuts, 0) / words[texts[which]][:, None]
+        return share, np.add.reduceat(np.log((like_ * share[local]).sum(1)) * times[:, 0], cuts)
+
+    which = np.arange(len(texts))
+    share, level = fit(which, allowed) if len(which) else (shares[:0], shares[:0, 0])
+    while True:
+        which = which[allowed[which].sum(1) > 1]
+        if not len(which):
             break
-        allowed[better], share[better], level[better] = smaller[better], new_share[better], new_level[better]
-    main, score = np.full(n, -1), np.zeros(n)
-    main[have], score[have] = share.argmax(1), np.clip(share.max(1), 0, 1)
-    return main, score
+        least = np.zeros((len(which), langs), bool)
+        least[np.arange(len(which)), np.where(allowed[which], share[which], np.inf).argmin(1)] = True
+        few = allowed[which] & (share[which] * words[texts[which]][:, None] < 0.5)
+        few &= ~(few | ~allowed[which]).all(1, keepdims=True)
+        smaller = allowed[which] & ~np.where(few.any(1, keepdims=True), few, least)
+        new_share, new_level = fit(which, smaller)
+        gone = allowed[which].sum(1) - smaller.sum(1)
+        better = level[which] - new_level < gone * 0.5 * np.log(np.maximum(words[texts[which]], 2))
+        which, smaller, new_share, new_level = which[better], smaller[better], new_share[better], new_level[better]
+        allowed[which], share[which], level[which] = smaller, new_share, new_level
+    shares[texts] = np.where(allowed, share, 0)
+    return shares
+
+
+class Words:
+    """Likelihoods of words in each language, relative to the best one; -1 stands for words without a letter."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table = table
+        self._reset()
+
+    def _reset(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.like = np.zeros((0, self.table.shape[1]))
+
+    def rows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The row in ``like`` and the text of each word that has a letter."""
+        if len(self.row) >= STORE_WORDS:
+            self._reset()
+        fresh = list({w for words in texts for w in words if w not in self.row})
+        real = [w for w in fresh if lettered(w)]
+        if real:
+            ends = np.cumsum([len(w) for w in real])
+            starts = np.concatenate([[0], ends[:-1]])
+            slots, owner = _grams(np.frombuffer(b"".join(real), np.uint8), starts, ends)
+            scores = np.stack([np.bincount(owner, self.table[slots, k], len(real)) for k in range(self.table.shape[1])], 1)
+            self.row.update(zip(real, range(len(self.like), len(self.like) + len(real)), strict=True))
+            self.like = np.concatenate([self.like, np.exp(np.maximum(scores - scores.max(1, keepdims=True), FLOOR))])
+        self.row.update(dict.fromkeys(set(fresh) - set(real), -1))
+        size = [len(x) for x in texts]
+        at = np.fromiter(map(self.row.__getitem__, chain.from_iterable(texts)), np.int64, sum(size))
+        of = np.repeat(np.arange(len(texts)), size)
+        if any(len(w) > STORE_BYTES for w in fresh):
+            for w in fresh:
+                if len(w) > STORE_BYTES:
+                    del self.row[w]
+        return at[at >= 0], of[at >= 0]
+
+
+def lettered(word: bytes) -> bool:
+    """The word holds a letter of some script, not only signs beyond ASCII."""
+    return any(0x61 <= b <= 0x7A for b in word[:4]) or any(c.isalpha() for c in word.decode("utf-8", "ignore"))
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score of every row. The model is broadcast: ``SLOTS`` numbers for each language."""
+    """doc_id, lang_pred, score and languages (lang and share, the largest first) of every row. The model is broadcast: ``SLOTS`` numbers for each of ``MOST_LANGUAGES`` languages at most."""
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
-        names = np.array([*langs, "und"], object)
+        store = Words(table)
         for batch in batches:
             for part, texts in pieces(batch, most=1 << 19):
+                n = len(texts)
                 data, offsets = utf8(texts)
-                main, score = np.full(len(texts), -1), np.zeros(len(texts))
-                starts, ends, of = spans(data, offsets, _LETTER)
-                real = _lettered(data, starts, ends)
-                starts, ends, of = starts[real], ends[real], of[real]
-                if langs and len(starts):
-                    slots, owner = _grams(data, starts, ends)
-                    scores = np.stack([np.bincount(owner, table[slots, k], len(starts)) for k in range(len(langs))], 1)
-                    main, score = _mixture(scores, of, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[main].tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-
+                raw, at = data.tobytes().translate(_SPLIT), offsets.tolist()
+                shares = np.zeros((n, len(langs)))
+                if langs:
+                    rows, of = store.rows([raw[a:b].split() for a, b in zip(at, at[1:], strict=False)])
+                    if len(rows):
+                        pairs, count = np.unique(of * len(store.like) + rows, return_counts=True)
+                        shares = mixture(store.like[pairs % len(store.like)], count.astype(float), pairs // len(store.like), n)
+                sets = [sorted(((langs[k], min(1.0, float(x[k]))) for k in np.flatnonzero(x)), key=lambda y: (-y[1], y[0])) for x in shares]
+                named = [x[0] if x else ("und", 0.0) for x in sets]
+                columns = [pa.array([x for x, _ in named], pa.string()), pa.array([x for _, x in named], pa.float64()), pa.array([[{"lang": a, "share": b} for a, b in x] for x in sets], kind)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "lang_pred", "score", "languages"])
 
-def _lettered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of each word: it holds a letter of some script, not only signs beyond ASCII."""
-    ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 0x80))])
-    sure = ascii_letters[ends] > ascii_letters[starts]
-    raw = data.tobytes()
-    for i in np.flatnonzero(~sure).tolist():
-        sure[i] = any(c.isalpha() for c in raw[starts[i] : ends[i]].decode("utf-8", "ignore"))
-    return sure
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang string, share double>>")
 
 
 def split_of(doc_id: str = "doc_id") -> F.Column:
@@ -171,4 +222,4 @@ def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows that are not held out, and predict every row."""
     langs, table = learn(docs.where(F.coalesce(split_of() != 2, F.lit(True))))
     out = predict(docs, langs, table)
-    return out.select("doc_id", F.coalesce(split_of() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(split_of() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
