@@ -72,18 +72,26 @@ def merge_lists(df: DataFrame, key: str, order: str, lists: Sequence[str], first
     return out
 
 
-def greedy_select(df: DataFrame, order: Sequence[Column], key: str, k: int, eligible: Column) -> DataFrame:
+def greedy_select(df: DataFrame, order: Sequence[tuple[str, bool]], key: str, k: int, eligible: Column) -> DataFrame:
     """Every row with action select, skip_duplicate, skip_missing or not_reached, as a walk down the order would decide until k are selected.
 
-    Only rows among the first that can still matter are numbered in one place: the first of each key are found by key, and the
-    walk's end is the k-th of them.
+    The walk stops at the k-th pick. On the way, a row whose key was picked before is a duplicate, whether it is eligible or
+    not; any other row that is not eligible is missing. order: columns, each with True for descending; null comes last, and no two rows are equal in all of them.
+    The picks are found by key, and the k-th of them is one row that all others are compared with.
     """
-    first = Window.partitionBy(key, "_ok").orderBy(*order)
-    rows = df.withColumn("_ok", F.coalesce(eligible, F.lit(False))).withColumn("_first", F.col("_ok") & (F.row_number().over(first) == 1))
-    ends = rows.where("_first").orderBy(*order).limit(k).withColumn("_pick", F.lit(True)).select(*[c for c in df.columns], "_pick")
-    marked = rows.join(ends.select(F.struct(*df.columns).alias("_s"), "_pick"), F.struct(*df.columns).eqNullSafe(F.col("_s")), "left").drop("_s")
-    action = F.when(F.col("_pick"), "select").when(~F.col("_ok"), "skip_missing").when(~F.col("_first"), "skip_duplicate").otherwise("not_reached")
-    return marked.withColumn("action", action).drop("_ok", "_first", "_pick")
+    by = [(F.desc_nulls_last if down else F.asc_nulls_last)(c) for c, down in order]
+    before = Window.partitionBy(key).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_ok", F.coalesce(eligible, F.lit(False)))
+    rows = rows.withColumn("_seen", F.coalesce(F.max("_ok").over(before), F.lit(False)))
+    first = rows.where("_ok AND NOT _seen").orderBy(*by).offset(k - 1).limit(1)
+    last = first.agg(F.count("*").alias("_full"), *(F.max(c).alias(f"_last_{c}") for c, _ in order))  # one row, also where less than k are selected
+    behind = F.lit(False)
+    for c, down in reversed(order):
+        here, end = F.col(c), F.col(f"_last_{c}")
+        later = here.isNull() & end.isNotNull() | F.coalesce(here < end if down else here > end, F.lit(False))
+        behind = later | here.eqNullSafe(end) & behind
+    action = F.when((F.col("_full") > 0) & behind, "not_reached").when(F.col("_seen"), "skip_duplicate").when(~F.col("_ok"), "skip_missing").otherwise("select")
+    return rows.crossJoin(F.broadcast(last)).withColumn("action", action).drop("_ok", "_seen", "_full", *(f"_last_{c}" for c, _ in order))
 
 
 def when_chain(rules: Sequence[tuple[Column, object]], otherwise: object, last_wins: bool = False) -> Column:

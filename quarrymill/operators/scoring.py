@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import blend, percentile_score
+from ..functions.numeric import blend
+from . import shared
+from .stats import percentile_scores
 
 
 def top_k_rates(pairs: DataFrame, sample: str, entity: str, prediction: str, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
@@ -22,13 +24,8 @@ def top_k_rates(pairs: DataFrame, sample: str, entity: str, prediction: str, ks:
 
 def composite(scores: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """scores with a percentile column for each weighted column (a leading '-' reverses it), and their blend as composite."""
-    parts = {}
-    for name, weight in weights.items():
-        column = name.lstrip("-")
-        value = -F.col(column) if name.startswith("-") else F.col(column)
-        scores = scores.withColumn(f"pct_{column}", percentile_score(value))
-        parts[f"pct_{column}"] = weight
-    return scores.withColumn("composite", blend(parts))
+    values = {f"pct_{name.lstrip('-')}": -F.col(name[1:]) if name.startswith("-") else F.col(name) for name in weights}
+    return percentile_scores(shared.kept(scores), values).withColumn("composite", blend(dict(zip(values, weights.values(), strict=True))))
 
 
 def gate_adjusted(score: Column, violations: Column, failed: Column, step: float = 0.04, fail: float = 0.25, missing: int = 3) -> Column:

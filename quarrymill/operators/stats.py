@@ -7,9 +7,9 @@ functions at the end; they run on the driver or, for tables of many tests, in a
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,34 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return held.agg(F.count("*").alias("n"), F.corr("rank_x", "rank_y").alias("rho"))
 
 
-def rank_table(df: DataFrame, c: str) -> DataFrame:
-    """value, rank_value: the average rank of each distinct value."""
+def rank_table(df: DataFrame, c: str, ties: str = "average", parts: int = 64) -> DataFrame:
+    """value, rank_value: the rank of each distinct value from 1; equal values share the mean or, by ties='least', the least of their ranks.
+
+    Values are dealt out to ranges by ``parts`` cut points (the only numbers on the driver), each range is summed up by itself, and
+    the sums of all ranges before it are added; no task sorts the whole table.
+    """
+    cuts = df.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
     counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(c)) - F.col("_n")
-    return counts.select(c, (below + (F.col("_n") + 1) / F.lit(2.0)).alias(f"rank_{c}"))
+    placed = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col(c))) if cuts else F.lit(0))
+    sums = placed.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))  # a row for each range, ``parts`` at most
+    below = F.sum("_n").over(Window.partitionBy("_range").orderBy(c)) - F.col("_n") + F.col("_before")
+    rank = below + ((F.col("_n") + 1) / F.lit(2.0) if ties == "average" else F.lit(1))
+    return placed.join(F.broadcast(before), "_range").select(c, rank.alias(f"rank_{c}"))
+
+
+def percentile_scores(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """df with a column for each value: (average rank - 1) / (n - 1), 0.5 where all values are equal, null for null.
+
+    The values are joined on, so the caller fixes computed ones first (``shared.kept``).
+    """
+    for name, value in values.items():
+        held = df.select(value.alias("_v")).where("_v IS NOT NULL")
+        size = held.agg(F.count("*").alias("_size"), (F.min("_v") == F.max("_v")).alias("_flat"))
+        score = F.when(F.col("_flat"), F.lit(0.5)).otherwise((F.col("rank__v") - 1) / F.nullif(F.col("_size") - 1, F.lit(0)))
+        joined = df.withColumn("_v", value).join(rank_table(held, "_v"), "_v", "left").crossJoin(F.broadcast(size))
+        df = joined.withColumn(name, F.when(F.col("_v").isNotNull(), score)).drop("_v", "rank__v", "_size", "_flat")
+    return df
 
 
 def errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -68,23 +68,16 @@ def _set_links(spark, d, words):
     return out.select("p_partkey", "p_brand", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("""WITH w AS (SELECT DISTINCT p_partkey AS k, unnest(string_split(p_name, ' ')) AS t FROM part WHERE p_partkey <= 100), b AS (SELECT DISTINCT p_brand AS b, unnest(string_split(p_name, ' ')) AS t FROM part), na AS (SELECT k, count(*) AS n FROM w GROUP BY 1), nb AS (SELECT b, count(*) AS n FROM b GROUP BY 1)
- SELECT k AS p_partkey, b AS p_brand, count(*) AS shared, round(count(*) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) AS jaccard FROM w JOIN b USING (t) JOIN na USING (k) JOIN nb USING (b) GROUP BY 1, 2""")
-def ds08_set_links(spark, d):
-    """Links of the first ids only, as its SQL has them."""
-    return _set_links(spark, d, _word_rows(spark, d).where("p_partkey <= 100"))
-
-
 @query("""WITH w AS (SELECT DISTINCT p_partkey AS k, unnest(string_split(p_name, ' ')) AS t FROM part), b AS (SELECT DISTINCT p_brand AS b, unnest(string_split(p_name, ' ')) AS t FROM part), na AS (SELECT k, count(*) AS n FROM w GROUP BY 1), nb AS (SELECT b, count(*) AS n FROM b GROUP BY 1)
  SELECT k AS p_partkey, b AS p_brand, count(*) AS shared, round(count(*) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) AS jaccard FROM w JOIN b USING (t) JOIN na USING (k) JOIN nb USING (b) GROUP BY 1, 2""")
-def ds08_set_links_all(spark, d):
+def ds08_set_links(spark, d):
     return _set_links(spark, d, _word_rows(spark, d))
 
 
 @query()
 def ds08_fisher_grades(spark, d):
     """p-value and grade of each link, by the hypergeometric tail in a pandas UDF; background 20,000."""
-    links = ds08_set_links_all(spark, d).join(_word_rows(spark, d).groupBy("p_partkey").agg(F.count("*").alias("a")), "p_partkey")
+    links = ds08_set_links(spark, d).join(_word_rows(spark, d).groupBy("p_partkey").agg(F.count("*").alias("a")), "p_partkey")
     sizes = load(spark, d, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("term")).distinct().groupBy("p_brand").agg(F.count("*").alias("b"))
     p = models.fisher_udf()(F.col("shared"), F.col("a"), F.col("b"), F.lit(20000))
     return links.join(sizes, "p_brand").withColumn("p_value", p).withColumn("grade", scoring.grade(F.col("p_value"), F.col("jaccard")))
@@ -266,29 +259,22 @@ def ds27_ensemble(spark, d):
     return scoring.weighted_ensemble(m, "event_id", "model", "p", quality).select("event_id", F.round("ensemble", 6).alias("ensemble"))
 
 
-@query("SELECT arg_max(model, (g, h, -o)) AS winner FROM (VALUES ('a', 0.4, 0.3, 1), ('b', 0.4, 0.5, 2), ('c', 0.3, 0.9, 3)) t(model, g, h, o)")
+@query("SELECT p_brand, arg_max(p_type, (round(g, 6), round(h, 6), -o)) AS winner FROM (SELECT p_brand, p_type, avg(p_size) AS g, avg(p_retailprice) AS h, min(p_partkey) AS o FROM part GROUP BY 1, 2) GROUP BY 1")
 def ds28_winner(spark, d):
-    t = spark.createDataFrame([("a", 0.4, 0.3, 1), ("b", 0.4, 0.5, 2), ("c", 0.3, 0.9, 3)], "model string, g double, h double, o int")
-    return t.agg(F.max_by("model", F.struct("g", "h", -F.col("o"))).alias("winner"))
+    """The best kind of each brand by two scores, the smaller id among equals."""
+    t = load(spark, d, "part").groupBy("p_brand", "p_type").agg(F.avg("p_size").alias("g"), F.avg("p_retailprice").alias("h"), F.min("p_partkey").alias("o"))
+    return t.groupBy("p_brand").agg(F.max_by("p_type", F.struct(F.round("g", 6), F.round("h", 6), -F.col("o"))).alias("winner"))
 
 
-@query("""WITH s AS (SELECT p_partkey, avg(p_retailprice / 100 + r_regionkey * (p_size % 5)) AS m FROM (SELECT * FROM part WHERE p_partkey <= 300), region GROUP BY 1) SELECT p_partkey, round(m, 4) AS mean, rank() OVER (ORDER BY round(m, 4)) AS rk FROM s""")
-def ds29_rerank(spark, d):
-    return _mean_over_regions(spark, d, "p_partkey <= 300").withColumn("rk", F.rank().over(Window.orderBy("mean")))
-
-
-def _mean_over_regions(spark, d, which):
-    s = load(spark, d, "part").where(which).crossJoin(load(spark, d, "region"))
+def _mean_over_regions(spark, d):
+    s = load(spark, d, "part").crossJoin(F.broadcast(load(spark, d, "region")))  # five rows
     return s.groupBy("p_partkey").agg(F.round(F.avg(F.col("p_retailprice") / 100 + F.col("r_regionkey") * (F.col("p_size") % 5)), 4).alias("mean"))
 
 
 @query("""WITH s AS (SELECT p_partkey, avg(p_retailprice / 100 + r_regionkey * (p_size % 5)) AS m FROM part, region GROUP BY 1) SELECT p_partkey, round(m, 4) AS mean, rank() OVER (ORDER BY round(m, 4)) AS rk FROM s""")
-def ds29_rerank_all(spark, d):
-    """Ranks of all parts; they come from counts of distinct values."""
-    m = _mean_over_regions(spark, d, "true")
-    counts = m.groupBy("mean").agg(F.count("*").alias("_n"))
-    ranks = counts.select("mean", (F.sum("_n").over(Window.orderBy("mean")) - F.col("_n") + 1).cast("int").alias("rk"))
-    return m.join(ranks, "mean").select("p_partkey", "mean", "rk")
+def ds29_rerank(spark, d):
+    m = _mean_over_regions(spark, d)
+    return m.join(stats.rank_table(m, "mean", "least"), "mean").select("p_partkey", "mean", F.col("rank_mean").cast("int").alias("rk"))
 
 
 @query()

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import folder
 from ..sources import sinks
 from ..sources import tables as T
 from ..sources.tables import load
 from .registry import query
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both reach it; a temporary one only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarrymill-out"
-    return f"{top.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 _NATION = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation"
 
 
@@ -96,18 +88,20 @@ def src16_nested_json(spark, d):
     return rows.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.element_at("tags", 1).alias("first_tag"), F.array_max(F.transform("values", lambda x: x["v"])).alias("most"))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation WHERE n_nationkey < 9")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
 def src17_pipe_tables(spark, d):
-    rows = load(spark, d, "nation").where("n_nationkey < 9").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("| "), x["n_nationkey"].cast("string"), F.lit(" | "), x["n_name"], F.lit(" |"))), "\n").alias("t"))
+    rows = load(spark, d, "nation").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("| "), x["n_nationkey"].cast("string"), F.lit(" | "), x["n_name"], F.lit(" |"))), "\n").alias("t"))
     text = rows.select(F.lit(1).alias("doc"), F.concat(F.lit("# Report\n\n| id | name |\n| --- | --- |\n"), "t", F.lit("\n| ragged |\n\nend")).alias("text"))
     cells = T.pipe_tables(text, "doc", "text").where("row_no > 0")
     return cells.select(F.col("cells")[0].alias("id"), F.col("cells")[1].alias("name"))
 
 
-@query("SELECT 'a' AS x, '1' AS y UNION ALL SELECT 'b', '2'")
+@query("SELECT s_nationkey AS doc, CAST(s_suppkey AS VARCHAR) AS x, s_name AS y FROM supplier")
 def src18_csv_after_heading(spark, d):
-    text = spark.createDataFrame([(1, "intro\n## Links\nx,y\na, 1\nb, 2\nno table\n## Next\nc, 3\n")], "doc int, text string")
-    return T.csv_after_heading(text, "doc", "text", "Links").where("row_no > 0").select(F.col("cells")[0].alias("x"), F.col("cells")[1].alias("y"))
+    """A report for each nation, with its suppliers as CSV below a heading, read back."""
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(", ", "s_suppkey", "s_name"))), "\n")
+    text = load(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("doc")).agg(F.concat(F.lit("intro\n## Links\nx,y\n"), lines, F.lit("\nno table\n## Next\nc, 3\n")).alias("text"))
+    return T.csv_after_heading(text, "doc", "text", "Links").where("row_no > 0").select("doc", F.col("cells")[0].alias("x"), F.col("cells")[1].alias("y"))
 
 
 @query("SELECT count(*) AS n FROM region")
@@ -169,11 +163,11 @@ def src23_cached_small(spark, d):
     return load(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name")
 
 
-@query("SELECT count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM (SELECT * FROM supplier UNION ALL SELECT * FROM supplier WHERE s_suppkey <= 10)")
+@query("SELECT count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM (SELECT * FROM supplier UNION ALL SELECT * FROM supplier WHERE s_acctbal < 0)")
 def snk07_append(spark, d):
     path, s = f"{folder(spark)}/supplier.parquet", load(spark, d, "supplier")
     sinks.write_parquet(s, path)
-    s.where("s_suppkey <= 10").write.mode("append").parquet(path)
+    s.where("s_acctbal < 0").write.mode("append").parquet(path)
     return T.read_any(spark, path).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
 
 

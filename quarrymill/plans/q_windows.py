@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import average_rank, percentile_score
+from ..functions.numeric import average_rank
 from ..operators import relational as R
-from ..operators import scoring
+from ..operators import scoring, stats
 from ..sources.tables import load
 from .registry import query
 
@@ -66,7 +66,7 @@ def wn05_dense_rank(spark, d):
 @query(f"WITH a AS (SELECT l_partkey, round(avg(l_quantity), 2) AS m FROM lineitem GROUP BY 1) SELECT l_partkey, round({_percentile('m')}, 6)::DOUBLE AS score FROM a")
 def wn06_percentile_score(spark, d):
     a = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.avg("l_quantity"), 2).alias("m"))
-    return a.select("l_partkey", F.round(percentile_score(F.col("m")), 6).alias("score"))
+    return stats.percentile_scores(a, {"score": F.col("m")}).select("l_partkey", F.round("score", 6).alias("score"))
 
 
 @query("WITH v AS (SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) / count(*) OVER (PARTITION BY c_mktsegment) <= 0.1 THEN 1 ELSE 0 END AS a, CASE WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) / count(*) OVER (PARTITION BY c_nationkey) <= 0.1 THEN 1 ELSE 0 END AS b FROM customer) SELECT c_custkey, a + b AS votes FROM v")
@@ -95,12 +95,12 @@ def wn10_keep_first(spark, d):
     return R.first_by(p, ["_l", "p_type"], F.desc("p_retailprice"), F.asc("p_partkey")).select("p_partkey", "p_name")
 
 
-@query("""WITH o AS (SELECT p_partkey, p_name, p_size > 5 AS ok, row_number() OVER (PARTITION BY p_name, p_size > 5 ORDER BY p_retailprice DESC, p_partkey) = 1 AS f, p_retailprice FROM part),
- k AS (SELECT *, row_number() OVER (PARTITION BY ok AND f ORDER BY p_retailprice DESC, p_partkey) AS rn FROM o)
- SELECT p_partkey, CASE WHEN ok AND f AND rn <= 30 THEN 'select' WHEN NOT ok THEN 'skip_missing' WHEN NOT f THEN 'skip_duplicate' ELSE 'not_reached' END AS action FROM k""")
+@query("""WITH o AS (SELECT *, p_size > 5 AS ok, coalesce(bool_or(p_size > 5) OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS pos FROM part),
+ k AS (SELECT *, sum(CASE WHEN ok AND NOT seen THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS picked FROM o), e AS (SELECT min(pos) AS last FROM k WHERE picked = 30)
+ SELECT p_partkey, CASE WHEN pos > coalesce(last, pos) THEN 'not_reached' WHEN seen THEN 'skip_duplicate' WHEN NOT ok THEN 'skip_missing' ELSE 'select' END AS action FROM k, e""")
 def wn11_greedy_select(spark, d):
     p = load(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    return R.greedy_select(p, [F.desc("p_retailprice"), F.asc("p_partkey")], "p_name", 30, F.col("p_size") > 5).select("p_partkey", "action")
+    return R.greedy_select(p, [("p_retailprice", True), ("p_partkey", False)], "p_name", 30, F.col("p_size") > 5).select("p_partkey", "action")
 
 
 @query("SELECT p_partkey, round((p_size - min(p_size) OVER w) / nullif(max(p_size) OVER w - min(p_size) OVER w, 0)::DOUBLE + 1.0 / rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice), 6)::DOUBLE AS bonus FROM part WINDOW w AS (PARTITION BY p_brand)")

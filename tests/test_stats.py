@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,10 +59,44 @@ def test_dictionary(spark):
 
 def test_greedy_select(spark):
     df = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "b", False), (4, "c", True), (5, "d", True)], "i int, k string, ok boolean")
-    got = {r.i: r.action for r in R.greedy_select(df, [F.asc("i")], "k", 2, F.col("ok")).collect()}
+    got = {r.i: r.action for r in R.greedy_select(df, [("i", False)], "k", 2, F.col("ok")).collect()}
     assert got == {1: "select", 2: "skip_duplicate", 3: "skip_missing", 4: "select", 5: "not_reached"}
 
 
+def test_greedy_select_as_a_walk(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abcdef"), rng.choice((True, False, None)), rng.choice((None, 1, 2, 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, k string, ok boolean, score int")
+    for k in (1, 3, 5, 40):
+        picked, want = set(), {}
+        for i, key, ok, score in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[0])):
+            if len(picked) == k:
+                want[i] = "not_reached"
+            elif key in picked:
+                want[i] = "skip_duplicate"
+            elif not ok:
+                want[i] = "skip_missing"
+            else:
+                want[i] = "select"
+                picked.add(key)
+        assert {r.i: r.action for r in R.greedy_select(df, [("score", True), ("i", False)], "k", k, F.col("ok")).collect()} == want
+
+
+def test_ranks_by_ranges(spark):
+    rng = random.Random(8)
+    values = [rng.choice((rng.randint(0, 5), rng.random(), -0.0, 0.0, None)) for _ in range(400)]
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i int, v double").repartition(4)
+    held = [float(v) for v in values if v is not None]
+    rank = lambda v: sum(x < v for x in held) + (sum(x == v for x in held) + 1) / 2
+    for parts in (1, 3, 64):
+        got = {r.v: r.rank_v for r in stats.rank_table(df.where("v IS NOT NULL"), "v", parts=parts).collect()}
+        assert got == {v: rank(v) for v in held}
+    got = {r.i: r.s for r in stats.percentile_scores(df, {"s": F.col("v")}).collect()}
+    assert got == {i: None if v is None else (rank(float(v)) - 1) / (len(held) - 1) for i, v in enumerate(values)}
+    assert stats.percentile_scores(df.where("false"), {"s": F.col("v")}).count() == 0
+    assert {r.s for r in stats.percentile_scores(df.where("i < 9").withColumn("v", F.lit(2.0)), {"s": F.col("v")}).collect()} == {0.5}
+
+
 def test_ward():
     import numpy as np
 
