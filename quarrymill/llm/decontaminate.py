@@ -1,17 +1,17 @@
 """Operator 8: benchmark decontamination by latent semantic retrieval.
 
 * Words are hashed to ``SLOTS`` slots; the documents that hold a slot give its inverse document frequency.
+  Slots that more than ``STOP`` of the documents hold weigh nothing.
 * The corpus is cut into passages of ``PASSAGE`` words. A randomised SVD of their TF-IDF matrix A takes one pass: each task
   multiplies its rows into A'(A O) for one random matrix O; slot by slot these are summed up, and an SVD on the driver
-  (``SLOTS`` by ``RANK + EXTRA`` numbers, whatever the corpus holds) gives the leading latent directions.
-* These carry what whole languages and frequent passages share, by which any two passages look alike. So a vector's
-  part along each is scaled down to the level of the last of them, the rest of the vector stays, and both are
-  projected to ``SKETCH`` dimensions, which keep cosines.
-* Items of about the same length are looked for with windows of that length, a quarter of it apart. Windows whose
-  cosine with an item is ``COSINE`` or more are candidates.
-* The cosine loses windows that the words would confirm, so candidates also come from rare words, without loss: of an item's n
-  words at most n - m can be missing from a match of m = SHARE n words, so any match holds r of the item's rarest n - m + r
-  words. Windows with r of them are candidates too.
+  (``SLOTS`` by ``RANK + EXTRA`` numbers, whatever the corpus holds) gives the leading ``RANK`` latent directions and their
+  singular values. Texts are folded in as usual: the TF-IDF vector is projected on the directions, each divided by its value.
+* Items of about the same length are looked for with windows of that length, a quarter of it apart. Windows whose latent
+  cosine with an item is ``COSINE`` or more, and those that overlap them, are candidates. Words that no item holds
+  are left out of a window's vector.
+* Most windows need no cosine, as they could not be confirmed: of an item's n words at most n - m can be missing from a match
+  of m = SHARE n words, so any match holds r of the item's rarest n - m + r words. An inverted list of these words leaves out
+  windows that, widened, hold fewer. This bound is exact; it saves time and changes no result.
 * A candidate is confirmed on words: the longest common subsequence of the item and the window, widened by half its length on
   both sides, holds ``SHARE`` of the item's words, and ``ANSWER`` of the words of its answer (what follows the last
   question mark that has a word behind it, else its last sentence), which tells a paraphrase from text that only shares the topic. Before the
@@ -26,8 +26,10 @@ out is bounded; a larger benchmark takes more passes over the documents.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +37,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, mix, pieces, utf8, word_hashes
+from ._text import ALNUM, mix, pieces, words_of
 
 SLOTS = 1 << 13
-RANK = 16
+RANK = 48
 EXTRA = 8
-SKETCH = 48
+#: Share of the documents that a stop word's slot is in.
+STOP = 0.1
 PASSAGE = 64
-COSINE = 0.5
+COSINE = 0.25
 SHARE = 0.6
 ANSWER = 0.5
 LEAST_WORDS = 8
 #: Words of a window at most; a longer item is looked for by its parts of this length.
 LONGEST = 96
+#: Items that are sent to the executors at a time, and characters of them (one item at least).
 ITEMS_AT_ONCE = 5000
-#: The r of candidates by rare words, as a share of an item's words. It trades the frequency of words looked for against the number of candidates and changes no result.
+ITEMS_CHARS = 4 << 20
+#: The r of the bound by rare words, as a share of an item's words. It trades the frequency of words looked for against the number of windows and changes no result.
 RARE = 0.3
 #: Words of a block; windows are whole blocks.
 STEP = 4
@@ -57,12 +62,19 @@ STEP = 4
 _PIECE = 1 << 19
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(*utf8(pc.utf8_lower(texts)), ALNUM)
+def _words(texts: pa.Array) -> list[list[bytes]]:
+    return list(words_of(pc.utf8_lower(texts), ALNUM))
 
 
-def _slots(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slots(words: Iterable[bytes], n: int) -> np.ndarray:
+    return (np.fromiter(map(zlib.crc32, words), np.uint32, n) & np.uint32(SLOTS - 1)).astype(np.int64)
+
+
+def _slotted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and text index of each word."""
+    words = _words(texts)
+    size = [len(x) for x in words]
+    return _slots(chain.from_iterable(words), sum(size)), np.repeat(np.arange(len(size)), size)
 
 
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -72,8 +84,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         count = np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
             for _, texts in pieces(batch):
-                words, of = _words(texts)
-                slots = _slots(words)
+                slots, of = _slotted(texts)
                 for i in range(0, len(texts), 1024):
                     a, b = np.searchsorted(of, (i, i + 1024))
                     seen = np.zeros((min(1024, len(texts) - i), SLOTS), bool)
@@ -90,11 +101,12 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _idf(count: np.ndarray, n: int) -> np.ndarray:
-    return np.log((n + 1) / (count + 1)).astype(np.float32) + np.float32(0.1)
+    """Weights of the slots; 0 for stop words, unless a table is too small to tell."""
+    return np.where((count > STOP * n) & (n >= 100), 0, np.log((n + 1) / (count + 1)) + 0.1).astype(np.float32)
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """SLOTS by SKETCH: what a word adds to the vector of its passage."""
+    """SLOTS by RANK: what a word adds to the latent vector of its passage."""
     spark = docs.sparkSession
     wide = RANK + EXTRA
     weights = spark.sparkContext.broadcast(idf)
@@ -105,17 +117,21 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
         total = np.zeros((SLOTS, wide))
         for batch in batches:
             for _, texts in pieces(batch, most=_PIECE):
-                words, of = _words(texts)
-                if not len(words):
+                slots, of = _slotted(texts)
+                if not len(slots):
                     continue
-                slots = _slots(words)
                 count = np.bincount(of)
                 place = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-                first = np.flatnonzero((place % PASSAGE) == 0)
                 passage = np.cumsum((place % PASSAGE) == 0) - 1
-                norm = np.sqrt(np.add.reduceat(idf[slots] ** 2, first))
-                y = np.add.reduceat(mixed[slots], first, 0) / (norm**2)[:, None]
-                order = np.argsort(slots, kind="stable")
+                weighed = idf[slots] > 0
+                slots, passage = slots[weighed], passage[weighed]
+                if not len(slots):
+                    continue
+                first = np.flatnonzero(np.diff(passage, prepend=-1))
+                passage = np.cumsum(np.diff(passage, prepend=passage[0]) > 0)
+                norm = np.add.reduceat(idf[slots] ** 2, first)
+                y = np.add.reduceat(mixed[slots], first, 0) / norm[:, None]
+                order = np.argsort(slots.astype(np.int16), kind="stable")
                 cuts = np.flatnonzero(np.diff(slots[order], prepend=-1))
                 total[slots[order[cuts]]] += np.add.reduceat(y[passage[order]], cuts, 0)
         total *= idf[:, None]
@@ -127,10 +143,8 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     for r in rows:
         y[r.slot] = r.y
     left, values, _ = np.linalg.svd(y, full_matrices=False)
-    left, level = left[:, :RANK], np.sqrt(np.maximum(values[:RANK], 1e-12))
-    sketch = np.random.default_rng(11).standard_normal((SLOTS, SKETCH)) / np.sqrt(SKETCH)
-    along = left @ ((level[-1] / level - 1)[:, None] * (left.T @ sketch))
-    return (idf[:, None] * (sketch + along)).astype(np.float32)
+    real = values[:RANK] > 1e-9 * max(values[0], 1e-300)
+    return (idf[:, None] * left[:, :RANK][:, real] / np.sqrt(values[:RANK][real])).astype(np.float32)
 
 
 def _answer(text: str) -> str:
@@ -156,51 +170,62 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(b) - row.bit_count()
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
+
+
+class _Vocabulary(dict):
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Items:
     """A block of benchmark items, their parts and words; sent to the executors."""
 
     def __init__(self, rows: list[tuple[int, str]], space: np.ndarray, held: np.ndarray) -> None:
-        self.space = space
         self.ids, self.words, self.answers, texts = [], [], [], []
+        #: Numbers of the items' words, from 1; 0 stands for all others.
+        self.vocabulary = _Vocabulary()
         for item, text in rows:
-            words, _ = _words(pa.array([text or ""], pa.large_string()))
-            if len(words):
-                answer, _ = _words(pa.array([_answer(text)], pa.large_string()))
+            words, answer = (_words(pa.array([x], pa.large_string()))[0] for x in (text or "", _answer(text or "")))
+            if words:
+                for w in words:
+                    self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
                 self.ids.append(item)
-                self.words.append(words.tolist())
-                self.answers.append(answer.tolist())
-                texts.append(words)
-        parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+                self.words.append([self.vocabulary[w] for w in words])
+                self.answers.append([self.vocabulary[w] for w in answer])
+                texts.append(np.array(self.words[-1]))
+        slots = _slots(self.vocabulary, len(self.vocabulary))
+        #: Of each number: what the word adds to a latent vector, and the documents that hold it.
+        self.space = np.concatenate([np.zeros((1, space.shape[1]), np.float32), space[slots]])
+        documents = np.concatenate([[0], held[slots]])
         self.short: dict[int, dict[int, list[int]]] = {}
-        #: Of each item: width of its windows, what they are widened by, unit vector, and words of its rare ones that any match holds.
+        #: Of each item: width of its windows, what they are widened by, words of its rare ones that any match holds, and unit vectors of its parts.
         self.width, self.around, self.least = (np.ones(len(texts), np.int64) for _ in range(3))
-        self.unit = np.zeros((len(texts), space.shape[1]), np.float32)
+        self.units: list[np.ndarray] = [np.zeros((0, space.shape[1]), np.float32)] * len(texts)
         postings: list[tuple[np.ndarray, int]] = []
         for i, words in enumerate(texts):
             if len(words) < LEAST_WORDS:
                 self.short.setdefault(len(words), {}).setdefault(int(_runs(words, len(words))[0]), []).append(i)
                 continue
-            rare, self.least[i] = _rare(words, held)
+            rare, self.least[i] = _rare(words, documents)
             postings.append((rare, i))
-            for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2) if len(words) > LONGEST else [0]:
-                part = words[at : at + LONGEST]
-                width = max(4, 4 * round(2 ** (round(2 * np.log2(max(len(part), 4))) / 2) / 4))
-                v = space[_slots(part)].sum(0)
-                v = v / max(np.linalg.norm(v), 1e-9)
-                parts.setdefault(width, []).append((i, v))
-                if at == 0:
-                    self.width[i], self.unit[i], self.around[i] = width, v, width // 2 if len(words) <= LONGEST else len(words)
-        word = np.concatenate([w for w, _ in postings]) if postings else np.zeros(0, np.uint64)
+            size = min(len(words), LONGEST)
+            self.width[i] = max(4, 4 * round(2 ** (round(2 * np.log2(size)) / 2) / 4))
+            self.around[i] = self.width[i] // 2 if len(words) <= LONGEST else len(words)
+            self.units[i] = _unit(np.stack([self.space[words[at : at + LONGEST]].sum(0) for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2)]))
+        word = np.concatenate([w for w, _ in postings]) if postings else np.zeros(0, np.int64)
         item = np.concatenate([np.full(len(w), i) for w, i in postings]) if postings else np.zeros(0, np.int64)
-        order = np.argsort(word, kind="stable")
-        #: Rare words, and the items of each: item[start[k] : start[k + 1]].
-        self.rare, first = np.unique(word[order], return_index=True)
-        self.rare_start, self.rare_item = np.append(first, len(word)), item[order]
-        #: Window length: items of the parts, and their unit vectors.
-        self.parts = {w: (np.array([i for i, _ in x]), np.stack([v for _, v in x])) for w, x in parts.items()}
-        self.vocabulary = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
+        #: Items of each word that is rare in them: item[start[k] : start[k + 1]] of word k.
+        self.rare_start = np.searchsorted(np.sort(word), np.arange(len(self.vocabulary) + 2))
+        self.rare_item = item[np.argsort(word, kind="stable")]
         self.bags = [dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)) for t in texts]
 
+    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Number and text index of each word."""
+        size = [len(x) for x in texts]
+        return np.fromiter(map(self.vocabulary.__getitem__, chain.from_iterable(texts)), np.int64, sum(size)), np.repeat(np.arange(len(size)), size)
+
     def confirm(self, item: int, words: list[int]) -> tuple[float, float]:
         """Shares of the item's and of its answer's words in the longest common subsequence with the words."""
         own, answer = self.words[item], self.answers[item]
@@ -212,17 +237,18 @@ class Items:
 
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n words at each place."""
+    words = words.astype(np.uint64)
     out = words[: max(0, len(words) - n + 1)]
     for k in range(1, n):
         out = mix(out) ^ words[k : len(out) + k]
     return mix(out)
 
 
-def _rare(words: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, int]:
+def _rare(words: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, int]:
     """The item's rarest words, by the documents that hold them, and how many places of them any match holds."""
     own, count = np.unique(words, return_counts=True)
     missing = len(words) - int(np.ceil(SHARE * len(words) - 1e-9))
-    order = np.argsort(held[_slots(own)], kind="stable")
+    order = np.argsort(documents[own], kind="stable")
     places = np.cumsum(count[order])
     k = int(np.searchsorted(places, min(len(words), missing + max(1, round(RARE * len(words))))))
     return own[order[: k + 1]], int(places[k]) - missing
@@ -243,11 +269,10 @@ def _short_hits(items: Items, words: np.ndarray, of: np.ndarray, first: np.ndarr
 def _rare_windows(items: Items, words: np.ndarray, of: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first block and item of the windows that hold enough of an item's rare words when widened."""
     none = np.zeros(0, np.int64)
-    if not len(items.rare):
+    if not len(items.rare_item):
         return none, none, none
-    k = np.minimum(np.searchsorted(items.rare, words), len(items.rare) - 1)
-    at = np.flatnonzero(items.rare[k] == words)
-    start, n = items.rare_start[k[at]], np.diff(items.rare_start)[k[at]]
+    at = np.flatnonzero(np.diff(items.rare_start)[words])
+    start, n = items.rare_start[words[at]], np.diff(items.rare_start)[words[at]]
     place = np.repeat(at, n)
     item = items.rare_item[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
     order = np.argsort(item, kind="stable")
@@ -266,8 +291,33 @@ def _rare_windows(items: Items, words: np.ndarray, of: np.ndarray, first: np.nda
     low = np.minimum(low, high)  # windows at a text's end are widened to the end
     n = high - low + 1
     window = np.repeat(low * step, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * np.repeat(step, n)
-    found = np.unique(np.stack([np.repeat(doc, n), window, np.repeat(item, n)]), axis=1)
-    return found[0], found[1], found[2]
+    most, kinds = int(rows.max(initial=0)) + 1, len(items.ids)
+    found = np.unique((np.repeat(doc, n) * kinds + np.repeat(item, n)) * most + window)
+    pair, window = found // most, found % most
+    return pair // kinds, window, pair % kinds
+
+
+def _cosines(items: Items, words: np.ndarray, a: np.ndarray, e: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Latent cosine of the words a to e with the item, or with the nearest of its parts. Words that no item holds add nothing."""
+    n = e - a
+    head = np.cumsum(n) - n
+    at = np.repeat(a - head, n) + np.arange(int(n.sum()))
+    v = _unit(np.add.reduceat(items.space[words[at]], head, 0))
+    order = np.argsort(which, kind="stable")
+    out = np.zeros(len(which))
+    for group in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+        out[group] = (v[group] @ items.units[which[group[0]]].T).max(1)
+    return out
+
+
+def _beside(doc: np.ndarray, item: np.ndarray, a: np.ndarray, width: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The best cosine of each window and of those that overlap it: vectors and words need not fit best at the same step."""
+    out = cosines.copy()
+    for k in range(1, 5):
+        both = (doc[k:] == doc[:-k]) & (item[k:] == item[:-k]) & (a[k:] - a[:-k] < width[k:])
+        out[k:][both] = np.maximum(out[k:], cosines[:-k])[both]
+        out[:-k][both] = np.maximum(out[:-k], cosines[k:])[both]
+    return out
 
 
 def _search(docs: DataFrame, items: Items) -> DataFrame:
@@ -278,42 +328,21 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
         items = sent.value
         for batch in batches:
             for part, texts in pieces(batch, most=_PIECE):
-                words, of = _words(texts)
-                if not len(words) or not items.ids:
+                if not items.ids:
+                    continue
+                words, of = items.numbers(_words(texts))
+                if not len(words):
                     continue
                 first = np.searchsorted(of, np.arange(len(texts) + 1))
-                n = np.diff(first)
-                rows = -(-n // STEP)  # blocks of STEP words of each text
-                head = np.cumsum(rows) - rows
-                home = np.repeat(np.arange(len(n)), rows)
-                start = first[home] + STEP * (np.arange(len(home)) - head[home])
-                sums = np.zeros((len(home) + 1, SKETCH), np.float32)
-                np.cumsum(np.add.reduceat(items.space[_slots(words)], start, 0), 0, out=sums[1:])
+                rows = -(-np.diff(first) // STEP)  # blocks of STEP words of each text
                 best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
                 _short_hits(items, words, of, first, best)
-                for width, (owner, units) in items.parts.items():
-                    blocks = width // STEP
-                    step = max(1, blocks // 4)
-                    count = np.where(rows > 0, np.maximum(0, -(-(rows - blocks) // step)) + 1, 0)
-                    doc = np.repeat(np.arange(len(n)), count)
-                    at = head[doc] + step * (np.arange(int(count.sum())) - (np.cumsum(count) - count)[doc])
-                    end = np.minimum(at + blocks, head[doc] + rows[doc])
-                    for i in range(0, len(at), 16384):
-                        a, e, d = at[i : i + 16384], end[i : i + 16384], doc[i : i + 16384]
-                        v = sums[e] - sums[a]
-                        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
-                        cosines = v @ units.T
-                        where, which = np.nonzero(cosines >= COSINE)
-                        _confirm(items, words, first, d, start[a], np.minimum(start[e - 1] + STEP, first[d + 1]), owner[which], where, cosines[where, which], width, best)
                 doc, block, item = _rare_windows(items, words, of, first, rows)
-                for width in np.unique(items.width[item]).tolist():
-                    mine = items.width[item] == width
-                    d, b, i = doc[mine], block[mine], item[mine]
-                    a = head[d] + b
-                    e = np.minimum(a + width // STEP, head[d] + rows[d])
-                    v = sums[e] - sums[a]
-                    cosines = np.einsum("ij,ij->i", v, items.unit[i]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)
-                    _confirm(items, words, first, d, start[a], np.minimum(start[e - 1] + STEP, first[d + 1]), i, np.arange(len(i)), cosines, width, best)
+                a = first[doc] + STEP * block
+                e = np.minimum(a + items.width[item], first[doc + 1])
+                cosines = np.concatenate([np.zeros(0), *(_cosines(items, words, a[i : i + 2048], e[i : i + 2048], item[i : i + 2048]) for i in range(0, len(doc), 2048))])
+                near = np.flatnonzero(_beside(doc, item, a, items.width[item], cosines) >= COSINE)
+                _confirm(items, words, first, doc[near], a[near], e[near], item[near], cosines[near], best)
                 if best:
                     keys = list(best)
                     cos, share, answer, place = zip(*best.values(), strict=True)
@@ -325,26 +354,22 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, cosine double, share double, answer double, first_word long")
 
 
-def _confirm(items, words, first, doc, a, e, candidates, where, cosines, width, best) -> None:
+def _confirm(items, words, first, doc, a, e, candidates, cosines, best) -> None:
     """Keep, of each document and item, the best window that the word checks confirm."""
-    if not len(where):
-        return
-    low = np.maximum(a - width // 2, first[doc])
-    high = np.minimum(e + width // 2, first[doc + 1])
-    held: dict[int, tuple[list[int], dict[int, int]]] = {}
-    for w, item, cosine in zip(where.tolist(), candidates.tolist(), cosines.tolist(), strict=True):
+    low = np.maximum(a - items.width[candidates] // 2, first[doc])
+    high = np.minimum(e + items.width[candidates] // 2, first[doc + 1])
+    held: dict[tuple[int, int], tuple[list[int], dict[int, int]]] = {}
+    for w, (item, cosine) in enumerate(zip(candidates.tolist(), cosines.tolist(), strict=True)):
         key = int(doc[w]), item
         if key in best and best[key][1] >= 0.999:
             continue
-        if w not in held:
+        place = int(low[w]), int(high[w])
+        if place not in held:
             if len(held) > 64:
                 held.clear()
-            own = words[low[w] : high[w]].tolist()
-            bag: dict[int, int] = {}
-            for x in own:
-                bag[x] = bag.get(x, 0) + 1
-            held[w] = own, bag
-        own, bag = held[w]
+            own = words[place[0] : place[1]].tolist()
+            held[place] = own, Counter(own)
+        own, bag = held[place]
         n = len(items.words[item])
         if n > LONGEST:
             lo, hi = max(first[doc[w]], a[w] - n), min(first[doc[w] + 1], e[w] + n)
@@ -361,16 +386,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, share, answer, first_word: each row's items that its text holds or paraphrases."""
     count, n = frequencies(docs)
     space = latent_space(docs, _idf(count, n))
-    found, block = None, benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
-    at = 0
-    while True:
-        rows = block.offset(at).limit(ITEMS_AT_ONCE).collect()
-        if rows or found is None:
-            hits = _search(docs, Items([(r.item_id, r.text) for r in rows], space, count))
-            found = hits if found is None else found.unionByName(hits)
-        at += ITEMS_AT_ONCE
-        if len(rows) < ITEMS_AT_ONCE:
-            return found
+    found = None
+    for rows in _blocks(benchmark):
+        hits = _search(docs, Items(rows, space, count))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Items in bounded blocks, at least one; the driver holds a partition of the benchmark at a time."""
+    rows: list[tuple[int, str]] = []
+    size = blocks = 0
+    for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
+        if rows and (len(rows) >= ITEMS_AT_ONCE or size + len(r.text) > ITEMS_CHARS):
+            yield rows
+            rows, size, blocks = [], 0, blocks + 1
+        rows.append((r.item_id, r.text))
+        size += len(r.text)
+    if rows or not blocks:
+        yield rows
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -48,3 +48,27 @@ def test_paraphrases_at_the_share_are_found(spark):
         text = " ".join(f"swap{rng.randint(0, 10**6)}" if k in other else w for k, w in enumerate(words))
         docs.append((i, prose(rng, rng.randint(0, 90)) + " " + text + " " + prose(rng, rng.randint(0, 90))))
     assert {(i, i) for i, _ in items} - found(spark, docs, items) == set()
+
+
+@pytest.mark.parametrize("swapped", [0.1, 0.2, 0.3, 0.35])
+def test_recall_on_real_items(spark, swapped):
+    """Items of the benchmark with a share of words replaced, in documents of the corpus: 0.9 or more of those that the words confirm are found."""
+    rng = random.Random(34)
+    top = "/root/testdata/sf0.01"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{top}/benchmark.parquet").collect()]
+    around = [r.text.split() for r in spark.read.parquet(f"{top}/documents.parquet").where("length(text) > 1500").orderBy("doc_id").limit(40).collect()]
+    vocabulary = sorted({w for t in around for w in t})
+    docs, sure = [], set()
+    judge = decontaminate.Items(items, decontaminate.np.ones((decontaminate.SLOTS, 1), "float32"), decontaminate.np.ones(decontaminate.SLOTS))
+    for k, (i, text) in enumerate(items):
+        words, host = text.split(), around[k % len(around)]
+        for at in rng.sample(range(len(words)), int(len(words) * swapped)):
+            words[at] = rng.choice(vocabulary)
+        cut = rng.randrange(len(host))
+        docs.append((i, " ".join(host[:cut] + words + host[cut:])))
+        own, _ = judge.numbers(decontaminate._words(decontaminate.pa.array([" ".join(words)], decontaminate.pa.large_string())))
+        share, answer = judge.confirm(k, own.tolist())
+        if share >= decontaminate.SHARE and answer >= decontaminate.ANSWER:
+            sure.add((i, i))
+    assert len(sure) > 25
+    assert len(sure & found(spark, docs, items)) >= 0.9 * len(sure)
