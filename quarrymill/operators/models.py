@@ -70,8 +70,10 @@ def char_latent(df: DataFrame, column: str, vocabulary: int, size: int) -> DataF
     return weighed.withColumn("latent", project(vector_to_array("_w"))).drop("_g", "_c", "_w")
 
 
-def triple_scores(triples: DataFrame, size: int = 16, rounds: int = 60, seed: int = 13, limit: int = 50_000) -> DataFrame:
-    """head, tail, score: DistMult trained with negative samples; scores are scaled to 0..1 within each tail.
+def triple_scores(triples: DataFrame, size: int = 16, rounds: int = 60, seed: int = 13, limit: int = 50_000, kind: str = "distmult") -> DataFrame:
+    """head, tail, score: DistMult or TransE trained with negative samples; scores are scaled to 0..1 within each tail.
+
+    DistMult scores by the sum of head * relation * tail, TransE by the distance (sum of absolute differences) of head + relation from tail, of unit vectors, negated.
 
     Training takes ``limit`` triples at most, the first in order of their hash; all pairs of heads and tails of the whole table are
     scored. What the sample lacks gets the mean direction of its neighbours, at the trained vectors' length: heads first, then tails, twice.
@@ -83,21 +85,30 @@ def triple_scores(triples: DataFrame, size: int = 16, rounds: int = 60, seed: in
     h = {x: i for i, x in enumerate(heads)}
     t = {x: i for i, x in enumerate(tails)}
     rng = np.random.default_rng(seed)
-    a, b, r = rng.normal(0, 0.3, (len(heads), size)), rng.normal(0, 0.3, (len(tails), size)), np.ones(size)
+    a, b, r = rng.normal(0, 0.3, (len(heads), size)), rng.normal(0, 0.3, (len(tails), size)), np.ones(size) if kind == "distmult" else rng.normal(0, 0.3, size)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     pos = np.array([(h[x.head], t[x.tail]) for x in rows])
     for _ in range(rounds if len(pos) else 0):
         neg = np.stack([pos[:, 0], rng.integers(0, len(tails), len(pos))], 1)
         for pairs, label in ((pos, 1.0), (neg, 0.0)):
             u, w = a[pairs[:, 0]], b[pairs[:, 1]]
+            if kind == "transe":
+                gap = u + r - w
+                step = (1 / (1 + np.exp(np.abs(gap).sum(1))) - label)[:, None] / len(pairs) * 2 * -np.sign(gap)
+                np.add.at(a, pairs[:, 0], -step)
+                np.add.at(b, pairs[:, 1], step)
+                r -= step.sum(0) * 0.05
+                a, b = unit(a), unit(b)
+                continue
             g = (1 / (1 + np.exp(-(u * r * w).sum(1))) - label)[:, None] / len(pairs) * 20
             np.add.at(a, pairs[:, 0], -g * r * w)
             np.add.at(b, pairs[:, 1], -g * r * u)
             r -= (g * u * w).sum(0) * 0.1
-    left = spark.createDataFrame([(x, (a[i] * r).tolist()) for x, i in h.items()] or [], "head string, u array<double>")
+    left = spark.createDataFrame([(x, (a[i] * r if kind == "distmult" else a[i] + r).tolist()) for x, i in h.items()] or [], "head string, u array<double>")
     right = spark.createDataFrame([(x, b[i].tolist()) for x, i in t.items()] or [], "tail string, w array<double>")
     if len(rows) == limit:
-        left, right = _folded(triples, left, right, float(np.linalg.norm(a * r, axis=1).mean()), float(np.linalg.norm(b, axis=1).mean()), size)
-    raw = left.crossJoin(right).select("head", "tail", F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("raw"))
+        left, right = _folded(triples, left, right, float(np.linalg.norm(a * r if kind == "distmult" else a + r, axis=1).mean()), float(np.linalg.norm(b, axis=1).mean()), size)
+    raw = left.crossJoin(right).select("head", "tail", F.aggregate(F.zip_with("u", "w", (lambda x, y: x * y) if kind == "distmult" else (lambda x, y: -F.abs(x - y))), F.lit(0.0), lambda s, x: s + x).alias("raw"))
     w = Window.partitionBy("tail")
     span = F.max("raw").over(w) - F.min("raw").over(w)
     return raw.select("head", "tail", F.round(F.when(span > 0, (F.col("raw") - F.min("raw").over(w)) / span).otherwise(0.5), 6).alias("score"))

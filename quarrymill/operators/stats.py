@@ -151,8 +151,8 @@ def log_rank_table(df: DataFrame, time: str, event: str, group: str) -> DataFram
     grid = cells.select("time").distinct().crossJoin(groups).join(cells, ["time", "g"], "left").na.fill(0, ["n", "d"])
     risk = F.sum("n").over(Window.partitionBy("g").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0))
     at = Window.partitionBy("time")
-    grid = grid.withColumn("r", risk).withColumn("R", F.sum("r").over(at)).withColumn("D", F.sum("d").over(at))
-    return grid.select("time", "g", "d", "r", F.col("R").alias("risk_all"), F.col("D").alias("events_all"))
+    grid = grid.withColumn("r", risk)  # names differ in more than their case, which Spark does not tell apart
+    return grid.select("time", "g", "d", "r", F.sum("r").over(at).alias("risk_all"), F.sum("d").over(at).alias("events_all"))
 
 
 def log_rank(df: DataFrame, time: str, event: str, group: str) -> tuple[float, int]:

@@ -38,12 +38,13 @@ def rules(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return row.select(F.explode(pairs).alias("c"), "rows").select("c.name", "c.violations", "rows")
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """name, n_unique, n_null and the smallest values of every column, in one pass over each."""
+def profile(df: DataFrame, samples: int = 5) -> DataFrame:
+    """name, n_unique, n_null, least, most and samples (the smallest distinct values) of every column, in one pass over each."""
     out = []
     for c in df.columns:
         v = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-        out.append(v.agg(F.lit(c).alias("name"), F.count("v").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.min("v").alias("least"), F.max("v").alias("most")))
+        first = v.where("v IS NOT NULL").orderBy("v").limit(samples).agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("samples"))
+        out.append(v.agg(F.lit(c).alias("name"), F.count("v").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.min("v").alias("least"), F.max("v").alias("most")).crossJoin(F.broadcast(first)))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -50,7 +50,7 @@ def vl07_readiness(spark, d):
     return V.readiness(load(spark, d, "labels"), "doc_id", ["quality", "toxic"], 0.95)
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_unique, count(*) - count({c}) AS n_null, min(CAST({c} AS VARCHAR)) AS least, max(CAST({c} AS VARCHAR)) AS most FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_unique, count(*) - count({c}) AS n_null, min(CAST({c} AS VARCHAR)) AS least, max(CAST({c} AS VARCHAR)) AS most, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM customer WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS samples FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
 def vl08_profile(spark, d):
     return V.profile(load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
 

@@ -201,8 +201,8 @@ def ds21_kmeans(spark, d):
     out, scores = vectors.kmeans(load(spark, d, "embeddings"), "embedding", range(2, 9))
     sizes = out.groupBy("cluster").agg(F.count("*").alias("n"))
     best = max(scores, key=lambda s: s[1])
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return sizes.select("cluster", "n", F.round(F.col("n") / total, 6).alias("share"), F.lit(best[0]).alias("k"), F.lit(round(best[1], 6)).alias("silhouette"))
+    whole = sizes.agg(F.sum("n").alias("total"), F.round(F.max("n") / F.greatest(F.min("n"), F.lit(1)), 2).alias("imbalance"))  # one row
+    return sizes.crossJoin(F.broadcast(whole)).select("cluster", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), "imbalance", F.lit(best[0]).alias("k"), F.lit(round(best[1], 6)).alias("silhouette"))
 
 
 @query()
@@ -243,7 +243,7 @@ def ds26_out_of_fold(spark, d):
     """Out-of-fold errors of several models by folds of customers."""
     j = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     df = j.select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("grp"), F.col("l_extendedprice").alias("y"), F.array("l_quantity", "l_discount", "l_tax").alias("x"))
-    oof = models.out_of_fold(df, "grp", "x", "y", 2, ("linear", "forest"))
+    oof = models.out_of_fold(df, "grp", "x", "y", 2, ("linear", "forest", "boosted"))
     return oof.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("y") - F.col("prediction")) * (F.col("y") - F.col("prediction")))), 2).alias("rmse"))
 
 
@@ -279,10 +279,12 @@ def ds29_rerank(spark, d):
 
 @query()
 def ds30_embedding_scores(spark, d):
-    """DistMult scores of (brand, sold_in, nation) triples, scaled within each nation; trained on a bounded table of triples."""
+    """DistMult, TransE and ensemble scores of (brand, sold_in, nation) triples, scaled within each nation; trained on a bounded table of triples."""
     j = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(load(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     triples = j.where("l_quantity > 48").select(F.col("p_brand").alias("head"), F.lit("sold_in").alias("relation"), F.col("s_nationkey").cast("string").alias("tail")).distinct()
-    return models.triple_scores(triples, limit=50_000)
+    distmult = models.triple_scores(triples, limit=50_000).withColumnRenamed("score", "distmult")
+    transe = models.triple_scores(triples, limit=50_000, kind="transe").withColumnRenamed("score", "transe")
+    return distmult.join(transe, ["head", "tail"]).withColumn("score", F.round((F.col("distmult") + F.col("transe")) / 2, 6))
 
 
 @query("WITH v AS (SELECT DISTINCT p_name AS value FROM part) SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS index FROM v")

@@ -31,10 +31,12 @@ def ft02_bm25(spark, d):
     return out.select("doc_id", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(f"""WITH {", ".join(f"{c} AS (SELECT page_id, len(w) AS l, len(list_filter(w, lambda x: x = 'html')) AS a FROM (SELECT page_id, {_TOKENS.replace('text', c)} AS w FROM pages)), {c}_g AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (WHERE a > 0) AS d FROM {c}), {c}_s AS (SELECT page_id, {b} * ln(1 + (n - d + 0.5) / (d + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / al)) AS score FROM {c}, {c}_g WHERE a > 0)" for c, b in (("url", 3.0), ("html", 1.0)))}
+ SELECT page_id, round(max(score), 5)::DOUBLE AS score FROM (SELECT * FROM url_s UNION ALL SELECT * FROM html_s) GROUP BY 1""")
 def ft02_best_field(spark, d):
     """The best of several boosted fields."""
-    return S.search(load(spark, d, "pages"), "page_id", {"url": 3.0, "html": 1.0}, "html")
+    out = S.search(load(spark, d, "pages"), "page_id", {"url": 3.0, "html": 1.0}, "html")
+    return out.select("page_id", F.round("score", 5).alias("score"))
 
 
 @query("SELECT doc_id, CASE WHEN strpos(lower(text), 'license') > 0 THEN substr(text, greatest(strpos(lower(text), 'license') - 20, 1), 47) ELSE substr(text, 1, 40) END AS snippet FROM documents")
@@ -116,3 +118,69 @@ def ap01_bundle(spark, d):
 @query("SELECT doc_id, quality, toxic FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic) AS rn FROM labels) WHERE rn = 1")
 def ap01_latest_labels(spark, d):
     return first_by(load(spark, d, "labels"), ["doc_id"], F.desc("quality"), F.asc("toxic")).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT grp, item_id, score FROM (SELECT s_nationkey AS grp, l_partkey AS item_id, round(sum(l_extendedprice), 2) AS score FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) WHERE grp = 5 ORDER BY score DESC, item_id LIMIT 100 OFFSET 20")
+def ap01_final_candidates(spark, d):
+    """A page of a group's final candidates."""
+    li = load(spark, d, "lineitem").join(load(spark, d, "supplier").where("s_nationkey = 5"), F.col("s_suppkey") == F.col("l_suppkey"))
+    agg = li.groupBy(F.col("s_nationkey").alias("grp"), F.col("l_partkey").alias("item_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
+    return agg.orderBy(F.desc("score"), "item_id").offset(20).limit(100)
+
+
+@query("""WITH s AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS ready, count(*) AS n FROM orders GROUP BY 1)
+ SELECT c_mktsegment AS grp, count(*) AS targets, CAST(sum(coalesce(n, 0)) AS BIGINT) AS structures, CASE WHEN bool_or(coalesce(ready, false)) THEN 'available' WHEN bool_or(coalesce(n, 0) > 0) THEN 'pending' ELSE 'not_loaded' END AS status FROM customer LEFT JOIN s ON o_custkey = c_custkey GROUP BY 1""")
+def ap01_structure_targets(spark, d):
+    """Targets of each group with the status that their structures roll up to."""
+    s = load(spark, d, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("ready"), F.count("*").alias("n"))
+    j = load(spark, d, "customer").join(s, F.col("o_custkey") == F.col("c_custkey"), "left").na.fill(0, ["n"]).na.fill(False, ["ready"])
+    status = F.when(F.bool_or("ready"), "available").when(F.bool_or(F.col("n") > 0), "pending").otherwise("not_loaded")
+    return j.groupBy(F.col("c_mktsegment").alias("grp")).agg(F.count("*").alias("targets"), F.sum("n").alias("structures"), status.alias("status"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND lower(c_name) LIKE '%00001%' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def ap01_structures(spark, d):
+    """Structures of a group whose target matches a text."""
+    text = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = :g AND lower(c_name) LIKE concat('%', :q, '%') ORDER BY o_totalprice DESC, o_orderkey LIMIT :n"
+    return sql(spark, d, text, ["orders", "customer"], g="BUILDING", q="00001", n=50)
+
+
+@query("SELECT o_orderkey, c_name, c_mktsegment, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey = 7")
+def ap01_structure_detail(spark, d):
+    o = load(spark, d, "orders").where("o_orderkey = 7").join(load(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return o.join(load(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("o_orderkey", "c_name", "c_mktsegment", "n_name")
+
+
+@query("SELECT n_name, (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = n_nationkey) AS candidates, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS targets, CASE WHEN n_nationkey < 20 THEN 'complete' ELSE 'partial' END AS status FROM nation")
+def ap01_context(spark, d):
+    """Counts that explain a group; a group without a source of its own is partial."""
+    c = load(spark, d, "lineitem").join(load(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_distinct("l_partkey").alias("candidates"))
+    t = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("targets"))
+    out = load(spark, d, "nation").join(c, "n_nationkey", "left").join(t, "n_nationkey", "left").na.fill(0, ["candidates", "targets"])
+    return out.select("n_name", "candidates", "targets", F.when(F.col("n_nationkey") < 20, "complete").otherwise("partial").alias("status"))
+
+
+@query("SELECT event_id AS artifact_id, event_type AS kind, props FROM events WHERE user_id = 7 AND event_type <> 'view' ORDER BY ts, event_id")
+def ap02_run_artifacts(spark, d):
+    """Artifacts of one run in the order they came."""
+    return load(spark, d, "events").where("user_id = 7 AND event_type <> 'view'").orderBy("ts", "event_id").select(F.col("event_id").alias("artifact_id"), F.col("event_type").alias("kind"), "props")
+
+
+_RUNS = "(SELECT user_id AS run_id, max_by(event_type, event_id) AS status FROM events GROUP BY 1)"
+
+
+def _changed(spark, d, allowed, status):
+    """Runs in one of the allowed states as a change of state leaves them; all others stay, with the reason."""
+    runs = load(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.max_by("event_type", "event_id").alias("status"))
+    ok = F.col("status").isin(*allowed)
+    return runs.select("run_id", F.when(ok, status).otherwise(F.col("status")).alias("status"), F.when(~ok, F.concat(F.lit("cannot change from "), "status")).alias("refused"))
+
+
+@query(f"SELECT run_id, CASE WHEN status IN ('view', 'click') THEN 'cancelled' ELSE status END AS status, CASE WHEN status NOT IN ('view', 'click') THEN 'cannot change from ' || status END AS refused FROM {_RUNS}")
+def ap02_cancel(spark, d):
+    return _changed(spark, d, ("view", "click"), "cancelled")
+
+
+@query(f"SELECT run_id, CASE WHEN status IN ('purchase') THEN 'completed' ELSE status END AS status, CASE WHEN status NOT IN ('purchase') THEN 'cannot change from ' || status END AS refused FROM {_RUNS}")
+def ap02_complete(spark, d):
+    return _changed(spark, d, ("purchase",), "completed")

@@ -178,3 +178,44 @@ def snk06_reload(spark, d):
     sinks.write_parquet(load(spark, d, "nation"), path)
     sinks.write_parquet(load(spark, d, "region"), path)
     return T.read_any(spark, path).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'tables/region.csv' AS member, r_regionkey AS line_no, r_regionkey || ',' || r_name AS line FROM region")
+def src09_archive(spark, d):
+    """Lines of the members of a zip archive that match a pattern."""
+    import io
+    import zipfile
+
+    lines = [f"{r.r_regionkey},{r.r_name}" for r in load(spark, d, "region").orderBy("r_regionkey").collect()]  # five rows
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("tables/region.csv", "\n".join(lines))
+        z.writestr("tables/readme.txt", "left out")
+    path = f"{folder(spark)}/tables.zip"
+    T.put_bytes(spark, path, held.getvalue())
+    return T.archive_members(spark, path, r"\.csv$")
+
+
+@query("SELECT n_nationkey::BIGINT AS row_no, [n_nationkey::DOUBLE, n_regionkey::DOUBLE] AS \"values\" FROM nation")
+def src14_npy(spark, d):
+    """A matrix out of a .npy file."""
+    import io
+
+    import numpy as np
+
+    rows = load(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    held = io.BytesIO()
+    np.save(held, np.array([(r.n_nationkey, r.n_regionkey) for r in rows]))
+    path = f"{folder(spark)}/nation.npy"
+    T.put_bytes(spark, path, held.getvalue())
+    return T.read_npy(spark, path)
+
+
+@query("SELECT 'insert' AS change, s_suppkey + 1000000 AS s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'update', s_suppkey, 0.0 FROM supplier WHERE s_acctbal < 0")
+def snk11_returning(spark, d):
+    """Rows that an insert and an update changed, as the new versions of the table hold them."""
+    s = load(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    new = s.where("s_acctbal < 0").select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), "s_acctbal")
+    inserted = sinks.insert_returning(s, new, f"{folder(spark)}/inserted.parquet")
+    updated = sinks.update_returning(s, F.col("s_acctbal") < 0, {"s_acctbal": F.lit(0.0)}, f"{folder(spark)}/updated.parquet")
+    return inserted.select(F.lit("insert").alias("change"), "*").unionByName(updated.select(F.lit("update").alias("change"), "*"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,3 +61,17 @@ def insert_missing(old: DataFrame, new: DataFrame, *keys: Sequence[str]) -> Data
 def replace_where(old: DataFrame, gone: Column, new: DataFrame) -> DataFrame:
     """old without the rows for which gone holds, and new: delete and rebuild."""
     return old.where(~F.coalesce(gone, F.lit(False))).unionByName(new)
+
+
+def insert_returning(old: DataFrame, new: DataFrame, path: str) -> DataFrame:
+    """Write old and new rows as the next version of a table; what was inserted comes back as it was written."""
+    write_parquet(old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)), allowMissingColumns=True), path)
+    return old.sparkSession.read.parquet(path).where("_new").drop("_new")
+
+
+def update_returning(old: DataFrame, which: Column, values: Mapping[str, Column], path: str) -> DataFrame:
+    """Write old with new values in the rows for which the condition holds as the next version of a table; these rows come back as they were written."""
+    hit = F.coalesce(which, F.lit(False))
+    columns = [F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in old.columns]
+    write_parquet(old.select(*columns, hit.alias("_new")), path)
+    return old.sparkSession.read.parquet(path).where("_new").drop("_new")

@@ -105,6 +105,37 @@ def archive_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, line_no long, line string")
 
 
+def read_npy(spark: SparkSession, path: str, rows: int = 8192) -> DataFrame:
+    """row_no and values (array of double) of the matrices in .npy files, a file for each task and ``rows`` rows at a time."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import numpy as np
+
+        for batch in batches:
+            for data in batch["content"]:
+                matrix = np.load(io.BytesIO(data), allow_pickle=False)
+                for i in range(0, len(matrix), rows):
+                    part = matrix[i : i + rows].astype(float)
+                    yield pd.DataFrame({"row_no": range(i, i + len(part)), "values": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row_no long, values array<double>")
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file on any of Spark's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def pipe_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, table_no, row_no, cells of the Markdown pipe tables in a text column: header row 0, ragged rows and the rule left out."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
