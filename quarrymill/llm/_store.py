@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,20 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's URI in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder stands in for it.
+    Where that is unset, a folder in the warehouse stands in for it, which driver and executors share as well.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.gettempdir()}/quarrymill-shared"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/quarrymill-{uuid.uuid4().hex}"
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    uri = f"{top.rstrip('/')}/quarrymill-{uuid.uuid4().hex}"
+    if _held:
+        _held[-1].append(uri)
+    return uri
+
+
+_held: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, kept: list[str] | None = None) -> Iterator[None]:
+    """Deletes the folders made inside when it ends, but for those in ``kept``. Only for results that are written by then."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for uri in _held.pop():
+            if uri not in (kept or ()):
+                removed(spark, uri)
+            elif _held:
+                _held[-1].append(uri)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read again, which cuts its lineage."""
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``written``, and the folder's URI."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def removed(spark: SparkSession, uri: str) -> None:
@@ -33,6 +56,16 @@ def removed(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with more underscores before those that a column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
