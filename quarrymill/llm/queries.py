@@ -37,7 +37,8 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated strings of 400 bytes from every document."""
     out = substrings.dedup(table(spark, sf_dir, "documents"))
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["first"])
-    return out.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    left = out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
+    return left.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.length("text").cast("long").alias("n_chars"), "text")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token files of all documents and read them back."""
     docs = table(spark, sf_dir, "documents")
-    folder, files = packing.write(docs, _vocabulary("byte_bpe_50k.tiktoken"), 50257, 0)
+    folder, files = packing.write(docs, _vocabulary("byte_bpe_50k.json"), 50257, 0)
     return packing.read_digests(docs, folder, files)
 
 

@@ -5,22 +5,27 @@ Every byte goes that lies in a string of LENGTH bytes which also starts anywhere
 * Each start of such a string chooses an anchor inside the string: the leftmost of its 16-byte grams with the least
   hash. Equal strings choose equal grams, so they meet under the gram's hash. Starts next to each other that
   choose the same anchor form a region.
-* Only anchors that occur twice or more matter. Regions of one anchor with equal bytes are one class; a class with two
-  members is repeated as a whole.
+* Only anchors that occur twice or more matter. Regions of one anchor with equal bytes (by length, place of the anchor and a
+  cryptographic digest of 128 bits, BLAKE2) are one class; a class with two members is repeated as a whole.
 * What is left are regions that are unlike any other as a whole but may share strings with them. Their bytes, and those of
-  one member of each other class of the anchor, are gathered in blocks, with all regions of an anchor in one block. Parts
-  whose middle bytes no other region has at that place are left out, the others go into the block's suffix array. An anchor with more classes than ``HOT`` is split by content first: strings at about the same place
-  around the anchor share the bytes in their middle, and go where the hash of these says.
+  one member of each other class of the anchor, are gathered in blocks, with all classes of an anchor in one block. Parts
+  whose middle bytes no other region has at that place are left out, the others go into the block's suffix array.
+* An anchor with more classes than ``HOT`` is split by content first: strings at about the same place around the anchor share the bytes
+  in their middle, and go where the hash of these says. Such slices form classes in their turn, and those of one middle meet in a block.
+  A middle with more than ``HOT`` classes, as around a passage that very many documents hold, has too many for a block: the single strings of
+  one member of each class are counted by their digests instead. So no block holds more than ``HOT`` classes of a key.
 * A suffix array is sorted in two stages: suffixes smaller than their successors are sorted directly, down to
   LENGTH bytes; scanning the buckets of first bytes from left to right puts all others in their places. The common
   prefixes of neighbours then show the strings that occur twice.
 
 Texts are UTF-8 bytes; null text counts as empty. Repeated rows are documents of their own, so they remove each other
-from LENGTH bytes on. A null doc_id is kept as it is. What is left of a text may not be valid UTF-8, so it is binary.
+from LENGTH bytes on. A null doc_id is kept as it is. An empty table gives an empty result; other columns of the input are dropped. What is left of a text may not be valid UTF-8, so it is binary.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import removed, scratch, written, written_at
 from ._text import mix, pieces, prefix_hash, span_hash, utf8
 
 LENGTH = 400
@@ -36,7 +41,7 @@ LENGTH = 400
 GRAM = 16
 #: Bytes of regions in a block of suffixes.
 BLOCK_BYTES = 1 << 20
-#: Classes of an anchor above which it is split by content, and strings' starts in a slice.
+#: Classes of an anchor above which it is split by content (no result depends on it), and strings' starts in a slice.
 HOT = 2000
 SLICE = 32
 _U = np.uint64
@@ -58,12 +63,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def digests(raw: bytes, starts: list[int], ends: list[int]) -> tuple[pa.Array, pa.Array]:
+    """128 bits of BLAKE2 of each byte range, as two columns."""
+    made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)])
+    both = np.frombuffer(made, np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each region: g (hash of the anchor), doc_id, row (hash of the text), first (its first start), a (bytes before the anchor), b (starts less one), r (hash of its bytes)."""
+    """A row for each region: g (hash of the anchor), doc_id, row (hash of the text), first (its first start), a (bytes before the anchor), b (starts less one), r and q (digest of its bytes), times and stretch (equal regions in a row, as in periodic text, are one row: how many, and from the first to the last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch):
+            for part, texts in pieces(batch, most=1 << 20):
                 data, offsets = utf8(texts)
                 if len(data) < length:
                     continue
@@ -83,43 +95,67 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 firsts = np.flatnonzero(new)
                 lasts = np.append(firsts[1:], len(starts)) - 1
                 s1, s2, p, of = starts[firsts], starts[lasts], chosen[firsts], of[firsts]
+                r, q = (x.to_numpy() for x in digests(data.tobytes(), s1.tolist(), (s2 + length).tolist()))
+                new = np.ones(len(s1) + 1, bool)
+                new[1:-1] = (of[1:] != of[:-1]) | (r[1:] != r[:-1]) | (q[1:] != q[:-1]) | (np.diff(p - s1) != 0) | (np.diff(s2 - s1) != 0) | (np.diff(s1) > length)
+                run = np.flatnonzero(new)
+                times, stretch, run = np.diff(run), s1[run[1:] - 1] - s1[run[:-1]], run[:-1]
+                s1, s2, p, of, r, q = s1[run], s2[run], p[run], of[run], r[run], q[run]
                 take = pa.array(of)
-                r = span_hash(sums, s1, s2 + length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[p].view(np.int64)), part.column("doc_id").take(take), part.column("row").take(take), pa.array(s1 - offsets[of]), pa.array((p - s1).astype(np.int32)), pa.array((s2 - s1).astype(np.int32)), pa.array(r.view(np.int64))],
-                    names=["g", "doc_id", "row", "first", "a", "b", "r"],
+                    [pa.array(grams[p].view(np.int64)), part.column("doc_id").take(take), part.column("row").take(take), pa.array(s1 - offsets[of]), pa.array((p - s1).astype(np.int32)), pa.array((s2 - s1).astype(np.int32)), pa.array(r), pa.array(q), pa.array(times), pa.array(stretch)],
+                    names=["g", "doc_id", "row", "first", "a", "b", "r", "q", "times", "stretch"],
                 )
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "g long, doc_id long, row long, first long, a int, b int, r long")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "g long, doc_id long, row long, first long, a int, b int, r long, q long, times long, stretch long")
 
 
 def _regions(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """key, doc_id, row, first, a, bytes of each wanted region, or of its slices if the anchor is hot."""
+    """key, doc_id, row, first, a, hot, r, q, bytes of each wanted region, or of its slices (with digests) if the anchor is hot."""
     lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("g", "first", "a", "b", "hot")).alias("w"))
     joined = docs.select("doc_id", "row", "text").join(lists.withColumnsRenamed({"doc_id": "_d", "row": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("doc_id", "row", "text", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _ in pieces(batch):
+            for part, _ in pieces(batch, most=1 << 17):  # slices take many times the bytes of their text
                 rows: list[tuple] = []
                 for doc, row, text, want in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text", "w")), strict=True):
                     data = text.encode()
                     for w in want:
                         g, s1, p, s2 = w["g"], w["first"], w["first"] + w["a"], w["first"] + w["b"]
                         if not w["hot"]:
-                            rows.append((g, doc, row, s1, w["a"], data[s1 : s2 + length]))
+                            rows.append((g, doc, row, s1, w["a"], False, 0, 0, data[s1 : s2 + length]))
                             continue
                         for j in range((p - s2) // SLICE, (p - s1) // SLICE + 1):
                             low, high = max(s1, p - SLICE * j - SLICE + 1), min(s2, p - SLICE * j)
                             if low <= high:
                                 core = data[p - SLICE * j : p - SLICE * j - SLICE + 1 + length]
-                                key = hash_bytes(core, g, j)
-                                rows.append((key, doc, row, low, p - low, data[low : high + length]))
-                if rows:
-                    *numbers, held = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(held, pa.binary())], names=["key", "doc_id", "row", "first", "a", "bytes"])
+                                own = data[low : high + length]
+                                rows.append((hash_bytes(core, g, j), doc, row, low, p - low, True, *struct.unpack("<qq", hashlib.blake2b(own, digest_size=16).digest()), own))
+                for i in range(0, len(rows), 1 << 13):
+                    key, doc_id, row, first, a, hot, r, q, held = zip(*rows[i : i + (1 << 13)], strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc_id, row, first, a)), pa.array(hot), pa.array(r, pa.int64()), pa.array(q, pa.int64()), pa.array(held, pa.binary())], names=["key", "doc_id", "row", "first", "a", "hot", "r", "q", "bytes"])
+
+    return joined.mapInArrow(run, "key long, doc_id long, row long, first long, a long, hot boolean, r long, q long, bytes binary")
+
+
+def _singles(slices: DataFrame, length: int) -> DataFrame:
+    """key, doc_id, row, first, n, r, q: each string of the slices, and the members that its slice stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                held = part.column("bytes").to_pylist()
+                n = np.array([len(x) - length + 1 for x in held])
+                of = np.repeat(np.arange(len(held)), n)
+                within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                base = np.cumsum([0, *map(len, held)])[of] + within
+                digest = digests(b"".join(held), base.tolist(), (base + length).tolist())
+                key, doc_id, row, count = (part.column(c).take(pa.array(of)) for c in ("key", "doc_id", "row", "n"))
+                yield pa.RecordBatch.from_arrays([key, doc_id, row, pa.array(part.column("first").to_numpy()[of] + within), count, *digest], names=["key", "doc_id", "row", "first", "n", "r", "q"])
 
-    return joined.mapInArrow(run, "key long, doc_id long, row long, first long, a long, bytes binary")
+    return slices.select("key", "doc_id", "row", "first", "n", "bytes").mapInArrow(run, "key long, doc_id long, row long, first long, n long, r long, q long")
 
 
 def hash_bytes(data: bytes, *more: int) -> int:
@@ -298,25 +334,41 @@ def _among(regions: DataFrame, length: int) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, row, s: the sorted ranges to remove (first, end; they may overlap) of every text that has one."""
-    found = written(anchors(docs, length))
-    often = written(found.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g"))  # a table of its own, so Spark can split a hot key of the join
+    spark = docs.sparkSession
+    found, path = written_at(anchors(docs, length))
+    often = written(found.groupBy("g").agg(F.sum("times").alias("_n")).where("_n > 1").select("g"))  # a table of its own, so Spark can split a hot key of the join
     again = written(found.join(often, "g"))
-    classes = written(again.groupBy("g", "a", "b", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "first")).alias("m")))
-    many = classes.where("n > 1").select("g", "a", "b", "r")
-    whole = again.join(many, ["g", "a", "b", "r"]).select("doc_id", "row", "first", (F.col("first") + F.col("b") + length).alias("end"))
+    removed(spark, path)
+    same = ["g", "a", "b", "r", "q"]
+    classes = written(again.groupBy(*same).agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "row", "first")).alias("m")))
+    whole = again.join(classes.where("n > 1").select(*same), same).select("doc_id", "row", "first", (F.col("first") + F.col("stretch") + F.col("b") + length).alias("end"))
     mixed = written(classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("g", (F.col("c") > HOT).alias("hot")))
     wanted = classes.join(mixed, "g").select("m.doc_id", "m.row", "m.first", "g", "a", "b", "hot")
     regions = written(_regions(wanted, docs, length))
-    total = regions.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    same, place = ["key", "a", "r", "q"], ["key", "doc_id", "row", "first", "a", "bytes"]
+    slices = regions.where("hot")
+    kinds = written(slices.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "first", "bytes")).alias("m")).select(*same, "n", "m.*"))
+    equal = slices.join(kinds.where("n > 1").select(*same), same).select("doc_id", "row", "first", (F.col("first") + F.length("bytes")).alias("end"))
+    split = written(kinds.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("key", (F.col("c") > HOT).alias("many")))
+    left = kinds.join(split, "key")
+    single = written(_singles(left.where("many"), length))
+    often = written(single.groupBy("key", "r", "q").agg(F.sum("n").alias("_n")).where("_n > 1").select("key", "r", "q"))
+    alone = single.join(often, ["key", "r", "q"]).select("doc_id", "row", "first", (F.col("first") + length).alias("end"))
+    met = written(regions.where("NOT hot").select(*place).unionByName(left.where("NOT many").select(*place)))
+    total = met.agg(F.sum(F.length("bytes"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    shared = _among(regions.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))), length)
+    shared = _among(met.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))), length).unionByName(equal).unionByName(alone)
     return whole.unionByName(shared).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("s"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, removed (array of first, end: maximal removed runs) and kept (binary) of every row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    cut = spans(keyed, length).withColumnsRenamed({"doc_id": "_d", "row": "_r"})
+    kept: list[str] = []
+    with scratch(docs.sparkSession, kept):  # the spans stay in the shared folder, all other tables are deleted
+        cut, path = written_at(spans(keyed, length))
+        kept.append(path)
+    cut = cut.withColumnsRenamed({"doc_id": "_d", "row": "_r"})
     joined = keyed.join(cut, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left").select("doc_id", "text", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
