@@ -2,12 +2,16 @@
 
 The words of licence templates form a generalised suffix automaton, one state path for all of them. A text's words
 stream through it; the matching statistics say, for each word, how many words up to it occur in a row in some
-template. Matches of ``LEAST`` words or more are chained: those of one template that stand close together cover a
-span, and a template whose chained matches cover enough of it labels the text. Beside them, three fixed phrases
-are reported wherever they stand.
+template. Matches of ``LEAST`` words or more (of the whole template, if it has fewer) are chained: those of one template that
+stand close together cover a span, and a template whose chained matches cover enough of it labels the text. Beside them, three
+fixed phrases are reported wherever they stand.
+
+Templates are whole texts of short licences, notices of long ones, and one-line notices; ``templates_of`` reads more from
+any folder of licence files.
 
 Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII. Null text counts as empty: no words,
-no labels, score 0. Repeated rows are scanned alike; only doc_id and text are read.
+no labels, score 0. Repeated rows are scanned alike; only doc_id and text are read, other columns are dropped. An empty table gives an
+empty result, and a text of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -16,44 +20,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, pieces, word_hashes
+from ._text import ALNUM, pieces, word_hashes, words_of
+from .license_texts import TEXTS
 
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates: openings and notices of public licences, in their own words.
+#: Templates: one-line notices, and the texts of ``license_texts``.
 TEMPLATES = {
-    "mit": [
-        "released under the mit license",
-        "licensed under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
-        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    ],
-    "apache-2.0": [
-        "licensed under the apache license version 2 0",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    ],
-    "gpl": [
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-        "you should have received a copy of the gnu general public license along with this program",
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        "licensed under the bsd license",
-    ],
+    "mit": ["released under the mit license", "licensed under the mit license"],
+    "apache-2.0": ["licensed under the apache license version 2 0"],
+    "gpl": ["this work is licensed under the gnu general public license version 3"],
+    "bsd": ["licensed under the bsd license"],
     "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "reserved": ["copyright all rights reserved"],
 }
-#: Words of the shortest match that counts.
-LEAST = 3
+for _label, _texts in TEXTS.items():
+    TEMPLATES[_label] = [*TEMPLATES.get(_label, []), *_texts]
+#: Words of the shortest match that counts, in a template of as many words.
+LEAST = 10
 #: Share of a template that its chained matches must cover.
 COVER = 0.8
 #: Words between two matches of a chain, at most.
@@ -142,6 +132,7 @@ class Scanner:
                 self.labels.append(label)
                 self.sizes.append(len(tokens))
         self.automaton.finish()
+        self.shortest = min([LEAST, *self.sizes])
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary ids, 0 for words that no template holds."""
@@ -154,12 +145,14 @@ class Scanner:
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
         found: dict[int, list[tuple[int, int, int]]] = {}
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a < LEAST:
+            if b - a < self.shortest:
                 continue
             stats = self.automaton.statistics(tokens[a:b].tolist())
             for i, (state, length) in enumerate(stats):
-                ends = length >= LEAST and (i + 1 == len(stats) or stats[i + 1][1] != length + 1)
+                ends = length >= self.shortest and (i + 1 == len(stats) or stats[i + 1][1] != length + 1)
                 for name, end in self.automaton.ends[state] if ends else ():
+                    if length < min(LEAST, self.sizes[name]):
+                        continue
                     found.setdefault(name, []).append((a + i + 1 - length, a + i + 1, end - length))
         out = []
         for name, matches in found.items():
@@ -175,6 +168,12 @@ class Scanner:
         return sorted(out)
 
 
+def templates_of(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Templates out of a folder of licence files, each labelled by its file's name; a bounded number of files that the caller chooses."""
+    files = spark.read.option("wholetext", True).text(folder).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "value").collect()
+    return {r.name.lower(): [" ".join(w.decode() for w in next(words_of(pa.array([r.value], pa.large_string()), ALNUM)))] for r in files if r.value.strip()}
+
+
 _scanners: dict[str, Scanner] = {}
 
 
