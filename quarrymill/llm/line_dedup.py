@@ -17,7 +17,7 @@ takes the verdicts back to the documents has one narrow row for each chunk, and
 
 Rows of one doc_id count as one document: each keeps its first copy of a chunk that the doc_id owns. A null doc_id
 comes last. Null text stays null and has no chunks; a text left without lines becomes empty. Other columns pass
-through; columns of the operator's own names are replaced.
+through, whatever their names; those called n_lines, n_removed_lines and n_removed_chunks are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import fresh, written
 from .quality import bound
 
 #: Lines that the rolling hash spans; the mean number of lines of a chunk (a power of two).
@@ -87,16 +87,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = F.when(F.col("_doc") == F.col("owner"), F.slice("at", F.lit(2), F.size("at"))).otherwise(F.col("at"))
     gone = found.select("_doc", "_row", gone.alias("at")).where(F.size("at") > 0).groupBy("_doc", "_row").agg(F.flatten(F.collect_list("at")).alias("_gone"))
     base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    keyed = base.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_row", F.xxhash64("text"))
-    joined = keyed.join(gone, ["_doc", "_row"], "left").withColumn("_c", F.when(F.col("_gone").isNotNull(), chunks(F.col("text"))))
-    kept = F.filter("_c", lambda c, k: ~F.array_contains("_gone", k))
-    lines = F.aggregate(F.filter("_c", lambda c, k: F.array_contains("_gone", k)), F.lit(0), lambda t, c: t + c["n"])
+    doc, row, lost, cut = fresh(base, "_doc", "_row", "_gone", "_c")
+    keyed = base.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(row, F.xxhash64("text"))
+    joined = keyed.join(gone.toDF(doc, row, lost), [doc, row], "left").withColumn(cut, F.when(F.col(lost).isNotNull(), chunks(F.col("text"))))
+    kept = F.filter(cut, lambda c, k: ~F.array_contains(lost, k))
+    lines = F.aggregate(F.filter(cut, lambda c, k: F.array_contains(lost, k)), F.lit(0), lambda t, c: t + c["n"])
     out = joined.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),
             "n_removed_lines": F.coalesce(lines, F.lit(0)).cast("long"),
-            "n_removed_chunks": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_c").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n")),
+            "n_removed_chunks": F.coalesce(F.size(lost), F.lit(0)).cast("long"),
+            "text": F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n")),
         }
     )
     return out.select(*base.columns, "n_lines", "n_removed_lines", "n_removed_chunks")
@@ -135,18 +136,19 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     gone = F.when(F.col("_doc") == F.col("owner"), F.filter("at", lambda p: p > F.get("at", F.lit(0)) + 1)).otherwise(F.col("at"))
     gone = found.select("_doc", "_row", gone.alias("at")).where(F.size("at") > 0).groupBy("_doc", "_row").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_gone"))
     base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    keyed = base.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_row", F.xxhash64("text"))
+    doc, row, lost, rest = fresh(base, "_doc", "_row", "_gone", "_left")
+    keyed = base.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(row, F.xxhash64("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    joined = keyed.join(gone, ["_doc", "_row"], "left").withColumn("n_lines", n.cast("long"))
-    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.flatten(F.transform("_gone", lambda p: F.array(p, p + 1))))
-    joined = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    text = bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform("_left", lambda i: F.get(lines, i)), "\n"))
-    runs = F.size(F.filter("_gone", lambda p, k: (k == 0) | (p - F.get("_gone", k - 1) > 2)))
+    joined = keyed.join(gone.toDF(doc, row, lost), [doc, row], "left").withColumn("n_lines", n.cast("long"))
+    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.flatten(F.transform(lost, lambda p: F.array(p, p + 1))))
+    joined = joined.withColumn(rest, F.when(F.col(lost).isNotNull(), left))
+    text = bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    runs = F.size(F.filter(lost, lambda p, k: (k == 0) | (p - F.get(lost, k - 1) > 2)))
     out = joined.withColumns(
         {
-            "n_removed_lines": F.when(F.col("_left").isNull(), 0).otherwise(F.col("n_lines") - F.size("_left")).cast("long"),
-            "n_removed_chunks": F.when(F.col("_left").isNull(), 0).otherwise(runs).cast("long"),
-            "text": F.when(F.col("_left").isNull(), F.col("text")).otherwise(text),
+            "n_removed_lines": F.when(F.col(rest).isNull(), 0).otherwise(F.col("n_lines") - F.size(rest)).cast("long"),
+            "n_removed_chunks": F.when(F.col(rest).isNull(), 0).otherwise(runs).cast("long"),
+            "text": F.when(F.col(rest).isNull(), F.col("text")).otherwise(text),
         }
     )
     return out.select(*base.columns, "n_lines", "n_removed_lines", "n_removed_chunks")
