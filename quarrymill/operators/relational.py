@@ -54,6 +54,18 @@ def token_contains_join(left: DataFrame, left_text: str, right: DataFrame, phras
     return a.join(b, "_word").where(F.col("_text").contains(F.concat(F.lit(" "), "_phrase", F.lit(" ")))).select(*columns).distinct()
 
 
+def contains_join(whole: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """text, part: pairs of which the text contains the part; by an equi join on the part's first characters, then a comparison. Empty parts are left out."""
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    grams = F.array_distinct(F.concat(of(1), of(2), of(3)))
+    a = whole.select(text, F.explode(grams).alias("_gram"))
+    b = parts.where(F.length(part) > 0).select(part, F.substring(part, 1, 3).alias("_gram"))
+    return a.join(b, "_gram").where(F.col(text).contains(F.col(part))).select(text, part)
+
+
 def set_sizes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Sizes of the key sets: only_left, both, only_right; one full join of distinct keys."""
     x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,16 +63,60 @@ def errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
-def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, tau_b from the table of distinct value pairs: concordant pairs are counted between its cells, not between rows."""
+def signed_pairs(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """The sum of sign(y - y') * c * c' over all pairs with x' < x, for distinct (x, y), by sorting: n log(n) ** 2 steps."""
+    order = np.lexsort((y, x))
+    x, c = x[order], c[order].astype(float)
+    y = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
+    most, total, width, at = int(y.max(initial=0)) + 1, 0.0, 1, np.arange(len(y))
+    while width < len(y):
+        block, right = at // (2 * width), (at // width) % 2 == 1
+        key = block * most + y
+        left = np.flatnonzero(~right)
+        left = left[np.argsort(key[left], kind="stable")]
+        held, sums = key[left], np.concatenate([[0.0], np.cumsum(c[left])])
+        of = np.flatnonzero(right)
+        low, high = (sums[np.searchsorted(held, key[of], side)] for side in ("left", "right"))
+        first, last = (sums[np.searchsorted(held, edge)] for edge in (block[of] * most, (block[of] + 1) * most))
+        total += float((c[of] * ((low - first) - (last - high))).sum())
+        width *= 2
+    same = np.add.reduceat(c, np.flatnonzero(np.diff(x, prepend=np.nan) != 0)) if len(x) else c
+    return total - float((same**2).sum() - (c**2).sum()) / 2  # pairs of equal x, which stand in the order of y
+
+
+def kendall(df: DataFrame, x: str, y: str, cells_of_range: int = 100_000, most: int = 256) -> DataFrame:
+    """n, tau_b from the table of distinct value pairs.
+
+    Both columns are cut into ranges. Pairs of cells in different ranges of both are counted on the grid of ranges, of ``most`` by ``most`` sums on
+    the driver; pairs within a range of x, and pairs within a range of y but in different ranges of x, are counted by sorting, a range at a time.
+    """
+    spark = df.sparkSession
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    a, b = cells.alias("a"), cells.alias("b")
-    pairs = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.coalesce(F.sum(F.signum(F.col("b.y") - F.col("a.y")) * F.col("a.c") * F.col("b.c")), F.lit(0.0)).alias("s"))
-    ties = lambda c: cells.groupBy(c).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
-    n = cells.agg(F.sum("c").alias("n"))
-    j = pairs.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n)
+    size = cells.count()
+    parts = max(2, min(most, -(-size // cells_of_range)))
+    cuts = cells.agg(*(F.percentile_approx(v, [i / parts for i in range(1, parts)], 10_000) for v in "xy")).first()
+    place = lambda v, k: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[k] or [0])))), lambda e: e < F.col(v)))
+    placed = cells.withColumn("a", place("x", 0)).withColumn("b", place("y", 1))
+    grid = np.zeros((parts + 1, parts + 1))
+    for r in placed.groupBy("a", "b").agg(F.sum("c").alias("c")).collect():
+        grid[r.a, r.b] = r.c
+    before = np.cumsum(grid, 0) - grid
+    low = np.cumsum(before, 1) - before
+    high = before.sum(1, keepdims=True) - low - before
+    across = float((grid * (low - high)).sum())
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [signed_pairs(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["c"].to_numpy())]})
+
+    within = placed.groupBy("a").applyInPandas(counted, "s double")
+    beside = placed.groupBy("b", F.col("a").alias("x"), "y").agg(F.sum("c").alias("c")).groupBy("b").applyInPandas(counted, "s double")
+    s = within.unionByName(beside).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    ties = lambda c: cells.groupBy(c).agg(F.sum("c").alias("t")).agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0)).alias(f"t{c}"))
+    n = cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    one = spark.range(1).select(F.lit(across).alias("across"))
+    j = s.crossJoin(one).crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n)  # one row each
     all_ = F.col("n") * (F.col("n") - 1) / 2
-    return j.select("n", (F.col("s") / F.nullif(F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty"))), F.lit(0.0))).alias("tau_b"))
+    return j.select("n", ((F.col("s") + F.col("across")) / F.nullif(F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty"))), F.lit(0.0))).alias("tau_b"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -157,8 +203,6 @@ def log_rank_table(df: DataFrame, time: str, event: str, group: str) -> DataFram
 
 def log_rank(df: DataFrame, time: str, event: str, group: str) -> tuple[float, int]:
     """Statistic and dof over any number of groups; only sums by group and pair of groups reach the driver."""
-    import numpy as np
-
     t = log_rank_table(df, time, event, group).where("risk_all > 1 AND events_all > 0")
     e = t.groupBy("g").agg(F.sum(F.col("d") - F.col("events_all") * F.col("r") / F.col("risk_all")).alias("z")).orderBy("g").collect()
     f = F.col("a.events_all") * (F.col("a.risk_all") - F.col("a.events_all")) / (F.col("a.risk_all") * F.col("a.risk_all") * (F.col("a.risk_all") - 1))

@@ -167,6 +167,7 @@ def jn19_fuzzy(spark, d):
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
     near = F.abs(F.length("name") - F.length("query")) * 4 <= F.length("name") + F.length("query")
+    near &= F.levenshtein("name", "query") * 4 <= F.length("name") + F.length("query")  # what the blocks leave out is deleted or inserted, so no pair is lost
     return names.crossJoin(sought).where(near).withColumn("ratio", ratio("query", "name")).where("ratio >= 0.75 AND ratio < 1")
 
 
@@ -198,8 +199,8 @@ def jn22_coalesced(spark, d):
 @query("SELECT DISTINCT a.t AS a, b.t AS b FROM (SELECT DISTINCT p_type AS t FROM part) a, (SELECT DISTINCT p_type || ' ' || p_brand AS t FROM part) b WHERE contains(a.t, b.t) OR contains(b.t, a.t)")
 def jn23_containment(spark, d):
     p = load(spark, d, "part")
-    a, b = p.select(F.col("p_type").alias("a")).distinct(), p.select(F.concat_ws(" ", "p_type", "p_brand").alias("b")).distinct()  # distinct short names only
-    return a.join(b, F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
+    a, b = p.select(F.col("p_type").alias("a")).distinct(), p.select(F.concat_ws(" ", "p_type", "p_brand").alias("b")).distinct()
+    return R.contains_join(a, "a", b, "b").select("a", "b").unionByName(R.contains_join(b, "b", a, "a").select("a", "b")).distinct()
 
 
 @query("WITH r AS (SELECT r_regionkey AS g, unnest([r_regionkey, r_regionkey + 1, r_regionkey + 10]) AS size FROM region), j AS (SELECT g, p_partkey, row_number() OVER (PARTITION BY g ORDER BY p_retailprice DESC, p_partkey) AS rn FROM r JOIN part ON p_size = size) SELECT g, p_partkey, rn FROM j WHERE rn <= 8")

@@ -97,6 +97,27 @@ def test_ranks_by_ranges(spark):
     assert {r.s for r in stats.percentile_scores(df.where("i < 9").withColumn("v", F.lit(2.0)), {"s": F.col("v")}).collect()} == {0.5}
 
 
+def test_kendall_by_ranges(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice((rng.randint(0, 6), rng.random())), rng.choice((rng.randint(0, 4), rng.random(), 2))) for _ in range(300)]
+    sign = lambda v: (v > 0) - (v < 0)
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i]]
+    s = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for a, b in pairs)
+    free = [sum(a[k] != b[k] for a, b in pairs) for k in (0, 1)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in rows] + [(None, 1.0), (1.0, None)], "x double, y double")
+    for cells in (1, 7, 50, 1000):
+        got = stats.kendall(df, "x", "y", cells).first()
+        assert got.n == 300 and got.tau_b == pytest.approx(s / (free[0] * free[1]) ** 0.5, abs=1e-12)
+    assert stats.kendall(df.where("false"), "x", "y").first().tau_b is None
+
+
+def test_contains_join(spark):
+    a = ["", "a", "ab", "abc", "abcd", "xabcdx", "b c"]
+    df = spark.createDataFrame([(x,) for x in a], "t string")
+    got = {(r.t, r.p) for r in R.contains_join(df, "t", df.select(F.col("t").alias("p")), "p").collect()}
+    assert got == {(x, y) for x in a for y in a if y and y in x}
+
+
 def test_ward():
     import numpy as np
 
