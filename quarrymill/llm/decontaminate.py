@@ -20,7 +20,8 @@
 Words are runs of digits, letters and characters beyond ASCII, in lower case. Items of less than ``LEAST_WORDS`` words
 are matched only as a whole, word by word, and looked for as such at every word. Null text counts as empty and matches nothing; items without words
 match nothing. Repeated rows are searched each by itself. Items are broadcast ``ITEMS_AT_ONCE`` at a time, so what is sent
-out is bounded; a larger benchmark takes more passes over the documents.
+out is bounded; a larger benchmark takes more passes over the documents. Of windows that an item fits equally well the first
+counts. An empty table on either side gives an empty result; other columns of the documents are dropped, and a text of any length is searched whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -174,18 +175,13 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
 
 
-class _Vocabulary(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 class Items:
     """A block of benchmark items, their parts and words; sent to the executors."""
 
     def __init__(self, rows: list[tuple[int, str]], space: np.ndarray, held: np.ndarray) -> None:
         self.ids, self.words, self.answers, texts = [], [], [], []
         #: Numbers of the items' words, from 1; 0 stands for all others.
-        self.vocabulary = _Vocabulary()
+        self.vocabulary: dict[bytes, int] = {}
         for item, text in rows:
             words, answer = (_words(pa.array([x], pa.large_string()))[0] for x in (text or "", _answer(text or "")))
             if words:
@@ -224,7 +220,7 @@ class Items:
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Number and text index of each word."""
         size = [len(x) for x in texts]
-        return np.fromiter(map(self.vocabulary.__getitem__, chain.from_iterable(texts)), np.int64, sum(size)), np.repeat(np.arange(len(size)), size)
+        return np.fromiter(map(self.vocabulary.get, chain.from_iterable(texts), repeat(0)), np.int64, sum(size)), np.repeat(np.arange(len(size)), size)
 
     def confirm(self, item: int, words: list[int]) -> tuple[float, float]:
         """Shares of the item's and of its answer's words in the longest common subsequence with the words."""

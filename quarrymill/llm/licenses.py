@@ -17,13 +17,14 @@ empty result, and a text of any length is scanned whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, pieces, word_hashes, words_of
+from ._text import ALNUM, pieces, words_of
 from .license_texts import TEXTS
 
 #: The base phrases and their labels.
@@ -118,11 +119,8 @@ class Scanner:
 
     def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str]) -> None:
         words = sorted({w for t in [*phrases, *(x for v in templates.values() for x in v)] for w in t.split()})
-        data = pa.array(words, pa.large_string())
-        hashes, _ = word_hashes(data, ALNUM)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], order + 1
         of = {w: i + 1 for i, w in enumerate(words)}
+        self.vocabulary = {w.encode(): i for w, i in of.items()}
         self.phrases = [([of[w] for w in p.split()], label) for p, label in phrases.items()]
         self.automaton, self.labels, self.sizes = SuffixAutomaton(), [], []
         for label, texts in templates.items():
@@ -134,10 +132,11 @@ class Scanner:
         self.automaton.finish()
         self.shortest = min([LEAST, *self.sizes])
 
-    def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        """Vocabulary ids, 0 for words that no template holds."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], 0)
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary id (0 for words that no template holds) and text index of each word."""
+        words = list(words_of(texts, ALNUM))
+        size = [len(x) for x in words]
+        return np.fromiter(map(self.vocabulary.get, chain.from_iterable(words), repeat(0)), np.int64, sum(size)), np.repeat(np.arange(len(size)), size)
 
     def spans(self, tokens: np.ndarray) -> list[tuple[str, int, int, float]]:
         """Covered spans of one text: label, first word, end, share of the template that is covered."""
@@ -190,8 +189,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
         _scanners[key] = scanner
         for batch in batches:
             for part, texts in pieces(batch):
-                hashes, of = word_hashes(texts, ALNUM)
-                tokens, n = scanner.tokens(hashes), len(texts)
+                (tokens, of), n = scanner.tokens(texts), len(texts)
                 n_words = np.bincount(of, minlength=n)
                 firsts = np.cumsum(n_words) - n_words
                 base: list[tuple[np.ndarray, str]] = []
