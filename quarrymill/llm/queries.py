@@ -86,6 +86,20 @@ _CHAT = r"""WITH s AS (SELECT '<|im_end|><|im_start|>assistant ok' AS s), c AS (
  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+_LINES = r"""WITH l AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS d, doc_id, text, string_split(text, chr(10)) AS x FROM documents),
+ p AS (SELECT r, d, i, x[i] AS a, x[i + 1] AS b FROM (SELECT r, d, x, unnest(range(1, len(x))) AS i FROM l)), w AS (SELECT *, min(i) OVER (PARTITION BY r, a, b) AS f FROM p WHERE regexp_matches(a || b, '[^\x20\x09-\x0D]')),
+ o AS (SELECT a, b, count(*) AS n, min(d) AS owner FROM w GROUP BY 1, 2), g AS (SELECT r, i FROM w JOIN o USING (a, b) WHERE n > 1 AND (d <> owner OR i > f + 1)),
+ c AS (SELECT r, count(*) FILTER (WHERE i - coalesce(e, -9) > 2) AS runs, list_distinct(flatten(list([i, i + 1]))) AS gone FROM (SELECT DISTINCT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS e FROM (SELECT DISTINCT r, i FROM g)) GROUP BY 1),
+ t AS (SELECT l.*, runs, gone, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda j: NOT list_contains(gone, j)), lambda j: x[j]), chr(10)) END AS kept FROM l LEFT JOIN c USING (r))
+ SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(x) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(runs, 0) AS BIGINT) AS n_removed_chunks, CAST(length(kept) AS BIGINT) AS n_kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM t"""
+
+_NEAR = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ b AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2), k AS (SELECT u, v FROM b JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ r(id, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, k.v FROM r JOIN k ON k.u = r.v), m AS (SELECT id, min(v) AS component_id FROM r GROUP BY 1)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON id = doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: what takes (spark, sf_dir) and returns a DataFrame."""
     return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op4_substrings, op5_licenses, op6_packed_ids, op7_language_id, op8_decontaminate, op9_chat, op10_quality)}
@@ -93,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows, for the queries that SQL can express."""
-    return {"op9_chat": _CHAT}
+    return {"op1_line_dedup": _LINES, "op2_near_dedup": _NEAR, "op9_chat": _CHAT}
