@@ -3,21 +3,25 @@
 A file holds blocks of ids, each id in the fewest bits that the vocabulary needs. Layout, little-endian: magic
 ``QMPK``, version, bits for an id, ids for a block (each unsigned 32), the packed blocks, the blocks' byte offsets,
 the documents' first ids, the numbers of blocks, documents and ids (each unsigned 64). What grows with the file
-stands at the end, so a file is written in one go, a block at a time, and read from any block.
+stands at the end, so a file is written in one go, a block at a time, and read from any block. The number of files follows the bytes
+of the texts, ``FILE_BYTES`` of them for each, so what a task writes, and the offsets it holds, stay bounded.
 
 Documents are dealt out by ranges of doc_id and sorted within each range, so the files in their order hold all
 ids in ascending order of doc_id. Rows of one doc_id are ordered by their text; a null doc_id comes first, a null
 text counts as empty. Only one row for each file reaches the driver. A file gets its name when it is complete;
 a task that runs again, on whatever executor, writes the same bytes under the same name.
+An empty table makes no file. Other columns of the documents are dropped; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
 import io
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,9 @@ from .chunks import ChunkEncoder
 MAGIC = b"QMPK"
 #: Ids for a block.
 BLOCK = 1 << 16
+#: Bytes of texts for a file, about; and rows that are read from a file at a time.
+FILE_BYTES = 32 << 20
+ROWS = 1 << 16
 _HEAD = struct.Struct("<4sIII")
 _TAIL = struct.Struct("<QQQ")
 
@@ -136,7 +143,7 @@ class PackedReader:
 
 
 def byte_encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Encodes texts with a .tiktoken ranks file or with a file of the tokenizers library; chunks are kept for reuse."""
+    """Encodes texts with a file of the tokenizers library or with a .tiktoken ranks file; chunks are kept for reuse."""
     if path not in _encoders:
         if path.endswith(".tiktoken"):
             import public_tokenizers
@@ -145,15 +152,22 @@ def byte_encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarr
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-            one = lambda x: np.array(own.encode(x, allowed_special="all"), np.uint32)
+            encoded = lambda texts: [own.encode(x, allowed_special="all") for x in texts]
         else:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             from tokenizers import Tokenizer
 
             library = Tokenizer.from_file(path)
             library.no_truncation()
             library.no_padding()
-            one = lambda x: np.array(library.encode(x, add_special_tokens=False).ids, np.uint32)
-        _encoders[path] = ChunkEncoder(one, False)
+            encoded = lambda texts: [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+        def many(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+            held = encoded(texts)
+            count = list(map(len, held))
+            return np.fromiter(chain.from_iterable(held), np.uint32, sum(count)), count
+
+        _encoders[path] = ChunkEncoder(many, False)
     return _encoders[path].encode
 
 
@@ -164,8 +178,10 @@ def write(docs: DataFrame, path: str, vocabulary: int, end_id: int, files: int |
     """Write the files to the shared folder; its URI, and name, ids and documents of each file in order."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    if not files:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,9 +235,11 @@ def read_digests(docs: DataFrame, folder: str, files: list[tuple[str, int, int]]
             for name, start in zip(batch.column("name").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 with store.open_input_file(f"{top}/{name}") as f:
                     reader = PackedReader(f)
-                    crc = [zlib.crc32(reader.document(i).astype("<u4").tobytes()) for i in range(reader.documents)]
-                with store.open_input_stream(f"{top}/{name}.ids") as f:
-                    doc_id = pa.ipc.open_stream(f).read_all().column("doc_id").combine_chunks()
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array(reader.starts[:-1] + start), pa.array(np.diff(reader.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    with store.open_input_stream(f"{top}/{name}.ids") as g:
+                        doc_id = pa.ipc.open_stream(g).read_all().column("doc_id").combine_chunks()
+                    size = np.diff(reader.starts)
+                    for i in range(0, reader.documents, ROWS):
+                        crc = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in range(i, min(i + ROWS, reader.documents))]
+                        yield pa.RecordBatch.from_arrays([doc_id.slice(i, ROWS), pa.array(reader.starts[:-1][i : i + ROWS] + start), pa.array(size[i : i + ROWS]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return list_of.mapInArrow(run, schema)
