@@ -337,11 +337,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     found, path = written_at(anchors(docs, length))
     often = written(found.groupBy("g").agg(F.sum("times").alias("_n")).where("_n > 1").select("g"))  # a table of its own, so Spark can split a hot key of the join
-    again = written(found.join(often, "g"))
+    again, gone = written_at(found.join(often, "g"))
     removed(spark, path)
     same = ["g", "a", "b", "r", "q"]
     classes = written(again.groupBy(*same).agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "row", "first")).alias("m")))
-    whole = again.join(classes.where("n > 1").select(*same), same).select("doc_id", "row", "first", (F.col("first") + F.col("stretch") + F.col("b") + length).alias("end"))
+    whole = written(again.join(classes.where("n > 1").select(*same), same).select("doc_id", "row", "first", (F.col("first") + F.col("stretch") + F.col("b") + length).alias("end")))
+    removed(spark, gone)
     mixed = written(classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("g", (F.col("c") > HOT).alias("hot")))
     wanted = classes.join(mixed, "g").select("m.doc_id", "m.row", "m.first", "g", "a", "b", "hot")
     regions = written(_regions(wanted, docs, length))
@@ -354,10 +355,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     single = written(_singles(left.where("many"), length))
     often = written(single.groupBy("key", "r", "q").agg(F.sum("n").alias("_n")).where("_n > 1").select("key", "r", "q"))
     alone = single.join(often, ["key", "r", "q"]).select("doc_id", "row", "first", (F.col("first") + length).alias("end"))
+    whole = whole.unionByName(written(equal)).unionByName(written(alone))  # each by itself, so Spark can split a hot key of its join
     met = written(regions.where("NOT hot").select(*place).unionByName(left.where("NOT many").select(*place)))
     total = met.agg(F.sum(F.length("bytes"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    shared = _among(met.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))), length).unionByName(equal).unionByName(alone)
+    shared = written(_among(met.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))), length))
     return whole.unionByName(shared).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("s"))
 
 
