@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,6 +27,10 @@ _SPLIT = {t.tobytes(): bytes((b + 32 if 0x41 <= b <= 0x5A else b) if t[b] else 0
 STORE_WORDS = 1 << 17
 STORE_BYTES = 64
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -86,6 +91,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, "right")) - 1)
         yield batch.slice(i, j - i), texts.slice(i, j - i)
         i = j
+    release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers wait between stages, while others need it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

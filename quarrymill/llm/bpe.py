@@ -13,7 +13,8 @@ does. So a character beyond ASCII is held against the library when a worker firs
 one that both treat differently is encoded by the library.
 
 Null text counts as empty: no token, empty decoded text. Repeated rows are encoded alike, row by row; other
-columns of the input pass through ``encode`` untouched, and columns of its own names are replaced.
+columns of the input pass through ``encode`` untouched, and columns of its own names are replaced. An empty table gives an empty
+result; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import pieces, utf8
+from ._text import pieces, release, utf8
 from .chunks import ChunkEncoder
 
 #: Words whose ids a worker keeps; beyond it the store starts anew, which changes speed only.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1 << 16
 #: The symbol that ends a word is told apart from the same symbol inside a word by this shift.
 _END = 0x10000
 #: The pre-tokenisation patterns of the two public vocabularies (white space written out as a property).
@@ -94,7 +95,7 @@ class BacktrackingBPE:
         #: Of each token: its symbols, and the longest token that is a proper prefix of it.
         self._length = {i: len(s) for s, i in own.items()}
         self._shorter = {i: next((own[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in own), -1) for s, i in own.items()}
-        self._chunks = ChunkEncoder(lambda x: np.frombuffer(self.encode(x), "<u4"), bool(self.suffix))
+        self._chunks = ChunkEncoder(self._many, bool(self.suffix))
         texts = [b""] * self.size
         for t, i in chain(vocab.items(), self.special.items()):
             texts[i] = t.encode() if self.spaced or i not in self.symbols else self._raw(t)
@@ -138,7 +139,7 @@ class BacktrackingBPE:
                         break
                 if not known:
                     break
-            if len(self._fits) > 500_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -247,10 +248,20 @@ class BacktrackingBPE:
         parts = self._special.split(text)
         return b"".join(np.array([self.special[x]], "<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts))
 
+    def _many(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        held = [self.encode(x) for x in texts]
+        return np.frombuffer(b"".join(held), "<u4"), [len(x) // 4 for x in held]
+
     def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many texts, and the number of each text's."""
         return self._chunks.encode(data, offsets)
 
+    def forget(self) -> None:
+        """Drop stored words and chunks, so a worker that waits for its next task is small."""
+        self._chunks.forget()
+        self._cache.clear()
+        release()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Token texts through the offset table; with a blank between them where the vocabulary has no decoder."""
         table = self.__dict__.get("_table")
@@ -288,6 +299,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
                 if decoded:
                     more.append(pa.array([bpe.decode(ids[i:j]).decode() for i, j in zip(ends, ends[1:], strict=False)], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *own])
+        bpe.forget()
 
     return base.mapInArrow(run, schema)
 
@@ -306,5 +318,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     own.append(hashlib.sha256(ids[i:j]).hexdigest())
                     back.append(hashlib.sha256(bpe.decode(ids[i:j])).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

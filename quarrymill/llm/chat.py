@@ -7,7 +7,8 @@ makes the form reversible. The loss mask is 1 from an assistant's text to its en
 these segments, summed up from the left.
 
 A conversation is all rows of one conv_id (null is one of its own), ordered by turn, then role, then text, nulls
-first; repeated rows are turns of their own. Null role or text counts as empty. An empty table gives no rows.
+first; repeated rows are turns of their own. Null role or text counts as empty. An empty table gives no rows. Other columns of
+the rows are dropped; a text of any length is encoded whole.
 """
 
 from __future__ import annotations

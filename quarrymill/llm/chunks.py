@@ -8,15 +8,15 @@ special token) and chunks too long for the store are encoded directly, whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 
 from ._text import NON_SPACE, prefix_hash, span_hash
 
-#: Chunks that a worker keeps; beyond it the store starts anew, which changes speed only.
-STORE_CHUNKS = 1_000_000
+#: Chunks that a store keeps; beyond it the store starts anew, which changes speed only.
+STORE_CHUNKS = 1 << 20
 #: Bytes of the longest chunk that is kept.
 STORE_BYTES = 64
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -40,27 +40,32 @@ def awkward(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """encode_one gives the ids of one text; fold: texts that differ in the case of A-Z only have the same ids."""
+    """encode_many gives all ids of some texts, and the number of each text's; fold: texts that differ in the case of A-Z only have the same ids."""
 
-    def __init__(self, encode_one: Callable[[str], np.ndarray], fold: bool) -> None:
-        self.encode_one, self.fold = encode_one, fold
-        self._reset()
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, Sequence[int]]], fold: bool) -> None:
+        self.encode_many, self.fold = encode_many, fold
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Start the store anew."""
         self.index: dict[bytes, int] = {}
         self.at, self.count, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.pool, self.filled = np.zeros(1 << 18, np.uint32), 0
 
-    def _add(self, ids: np.ndarray) -> int:
+    def _add(self, texts: list[str]) -> int:
+        """Encode the texts and append them; the slot of the first."""
+        ids, count = self.encode_many(texts)
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if self.used == len(self.at):
+        while self.used + len(count) > len(self.at):
             self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
         self.pool[self.filled : self.filled + len(ids)] = ids
-        self.at[self.used], self.count[self.used] = self.filled, len(ids)
+        first, n = self.used, np.array(count, np.int64)
+        self.count[first : first + len(n)] = n
+        self.at[first : first + len(n)] = self.filled + np.cumsum(n) - n
         self.filled += len(ids)
-        self.used += 1
-        return self.used - 1
+        self.used += len(n)
+        return first
 
     def _alike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunks: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Of each chunk: its bytes are those of the other one."""
@@ -80,7 +85,7 @@ class ChunkEncoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(texts, np.int64)
         if len(self.index) > STORE_CHUNKS:
-            self._reset()
+            self.forget()
         full = np.diff(offsets) > 0
         first = np.zeros(len(data), bool)
         first[offsets[:-1][full]] = True
@@ -105,18 +110,23 @@ class ChunkEncoder:
                 where, codes = where[alike], codes[alike]
         raw, get = data.tobytes(), self.index.get
         known = np.empty(len(keys), np.int64)
+        new: list[str] = []
         for k, (a, b) in enumerate(zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)):
             chunk = raw[a:b]
             key = chunk.lower() if self.fold else chunk
             found = get(key)
             if found is None:
-                found = self.index[key] = self._add(self.encode_one(chunk.decode()))
+                found = self.index[key] = self.used + len(new)
+                new.append(chunk.decode())
             known[k] = found
+        if new:
+            self._add(new)
         slots = np.empty(len(starts), np.int64)
         slots[where] = known[codes]
         mark = self.used, self.filled
-        for i in np.flatnonzero(direct):
-            slots[i] = self._add(self.encode_one(raw[starts[i] : ends[i]].decode()))
+        alone = np.flatnonzero(direct)
+        if len(alone):
+            slots[alone] = self._add([raw[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)]) + np.arange(len(alone))
         n = self.count[slots]
         before = np.cumsum(n) - n
         ids = self.pool[np.repeat(self.at[slots] - before, n) + np.arange(int(n.sum()))]
