@@ -39,6 +39,9 @@ BLOCK = 1 << 16
 #: Bytes of texts for a file, about; and rows that are read from a file at a time.
 FILE_BYTES = 32 << 20
 ROWS = 1 << 16
+#: Chunks that are handed to the library at a time.
+JOINED = 1024
+_BLANK = frozenset(" \t\n\v\f\r")
 _HEAD = struct.Struct("<4sIII")
 _TAIL = struct.Struct("<QQQ")
 
@@ -143,7 +146,11 @@ class PackedReader:
 
 
 def byte_encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Encodes texts with a file of the tokenizers library or with a .tiktoken ranks file; chunks are kept for reuse."""
+    """Encodes texts with a file of the tokenizers library or with a .tiktoken ranks file; chunks are kept for reuse.
+
+    New chunks that begin with a blank and end without one are handed to the library as one text, as its pre-tokenisation begins anew at each of them; the
+    tokens' bytes tell them apart again.
+    """
     if path not in _encoders:
         if path.endswith(".tiktoken"):
             import public_tokenizers
@@ -152,7 +159,12 @@ def byte_encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarr
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-            encoded = lambda texts: [own.encode(x, allowed_special="all") for x in texts]
+
+            def encoded(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                held = [own.encode(x, allowed_special="all") for x in texts]
+                count = np.array([len(x) for x in held], np.int64)
+                return [(np.arange(len(texts)), np.fromiter(chain.from_iterable(held), np.uint32, int(count.sum())), count)]
+
         else:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             from tokenizers import Tokenizer
@@ -160,12 +172,36 @@ def byte_encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarr
             library = Tokenizer.from_file(path)
             library.no_truncation()
             library.no_padding()
-            encoded = lambda texts: [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-
-        def many(texts: list[str]) -> tuple[np.ndarray, list[int]]:
-            held = encoded(texts)
-            count = list(map(len, held))
-            return np.fromiter(chain.from_iterable(held), np.uint32, sum(count)), count
+            size = np.zeros(library.get_vocab_size(), np.int64)
+            for token, i in library.get_vocab(with_added_tokens=False).items():
+                size[i] = len(token)  # a character for each byte
+
+            def encoded(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                out = []
+                alone = [k for k, x in enumerate(texts) if x[:1] not in _BLANK or x[-1:] in _BLANK]
+                whole = set(alone)
+                chunks = [k for k in range(len(texts)) if k not in whole]
+                for i in range(0, len(chunks), JOINED):
+                    part = chunks[i : i + JOINED]
+                    ids = np.array(library.encode("".join([texts[k] for k in part]), add_special_tokens=False).ids, np.uint32)
+                    ends, wanted = np.cumsum(size[ids]), np.cumsum([len(texts[k].encode()) for k in part])
+                    cuts = np.searchsorted(ends, wanted) + 1
+                    if len(ids) and cuts[-1] == len(ids) and (ends[cuts - 1] == wanted).all():
+                        out.append((np.array(part), ids, np.diff(cuts, prepend=0)))
+                    else:  # a token across a border; none is known
+                        alone += part
+                held = [x.ids for x in library.encode_batch([texts[k] for k in alone], add_special_tokens=False)]
+                count = np.array([len(x) for x in held], np.int64)
+                return [*out, (np.array(alone, np.int64), np.fromiter(chain.from_iterable(held), np.uint32, int(count.sum())), count)]
+
+        def many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found, count = encoded(texts), np.zeros(len(texts), np.int64)
+            for which, _, n in found:
+                count[which] = n
+            start, ids = np.cumsum(count) - count, np.zeros(int(count.sum()), np.uint32)
+            for which, own, n in found:
+                ids[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
+            return ids, count
 
         _encoders[path] = ChunkEncoder(many, False)
     return _encoders[path].encode
