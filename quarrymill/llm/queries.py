@@ -1,4 +1,4 @@
-"""Queries of the ten operators, each over its whole tables with production parameters."""
+"""Queries of the thirteen operators, each over its whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, line_dedup, minhash, packing, quality, substrings
+from . import bpe, chat, codes, decontaminate, langid, licenses, line_dedup, minhash, mixing, packing, quality, substrings, whitening
 from ._store import table, written
 
 
@@ -80,6 +80,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to the weights of their sources."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by a codebook for each quarter."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their whitened principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 _CHAT = r"""WITH s AS (SELECT '<|im_end|><|im_start|>assistant ok' AS s), c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', s FROM s UNION ALL SELECT -1, 1, 'assistant', s FROM s),
  e AS (SELECT *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS n FROM c)
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -100,11 +115,26 @@ _NEAR = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coa
  SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON id = doc_id"""
 
 
+_CODES_START = """WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(c::DOUBLE * 1024) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id, embedding) AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ x AS MATERIALIZED (SELECT r, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] AS v FROM k, range(4) t(p)), b0 AS MATERIALIZED (SELECT p, r - 1 AS j, v FROM x WHERE r <= 256)"""
+_CODES_ROUND = """, a{a} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, j := j)) AS m FROM (SELECT x.r, x.p, b.j, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN b{a} b ON b.p = x.p) GROUP BY 1, 2)"""
+_CODES_MOVE = """, s{b} AS (SELECT p, j, list(m ORDER BY i) AS v FROM (SELECT a.p, a.m.j AS j, i, CAST(floor(sum(x.v[i])::DOUBLE / count(*)) AS BIGINT) AS m FROM a{a} a JOIN x USING (r, p), range(1, 1 + (SELECT max(len(v)) FROM x)) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ b{b} AS MATERIALIZED (SELECT p, j, coalesce(s.v, b.v) AS v FROM b{a} b LEFT JOIN s{b} s USING (p, j))"""
+_CODES = (
+    _CODES_START
+    + "".join(_CODES_ROUND.format(a=i) + _CODES_MOVE.format(a=i, b=i + 1) for i in range(4))
+    + _CODES_ROUND.format(a=4)
+    + """, c AS (SELECT r, string_agg(printf('%02x', m.j), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY 1),
+ h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b4)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: what takes (spark, sf_dir) and returns a DataFrame."""
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op4_substrings, op5_licenses, op6_packed_ids, op7_language_id, op8_decontaminate, op9_chat, op10_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_bpe, op4_substrings, op5_licenses, op6_packed_ids, op7_language_id, op8_decontaminate, op9_chat, op10_quality, op11_mixing, op12_vector_codes, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows, for the queries that SQL can express."""
-    return {"op1_line_dedup": _LINES, "op2_near_dedup": _NEAR, "op9_chat": _CHAT}
+    return {"op1_line_dedup": _LINES, "op2_near_dedup": _NEAR, "op9_chat": _CHAT, "op12_vector_codes": _CODES}
