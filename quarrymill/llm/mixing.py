@@ -3,9 +3,9 @@
 * A document's size is its number of words. Sources in the order of their code points, null last, have the weights ``WEIGHTS``, repeated,
   and share all words; a target stops at ``MOST`` times its source's size, and what is above goes to the others by weight, until none is above.
 * Documents are counted by source and exact size. A source's budget, the rounded target, first takes every document as many
-  whole times as fits, then the same share of the documents of each size. One document more of some sizes, the largest first,
+  whole times as fits, then the same share of the documents of each size. One document more of some sizes, in an order by the seed,
   brings what remains below ``WINDOW`` words, and a bounded knapsack over sizes and the documents left of each fills it: a
-  bit set of the sums that can be reached, size by size, with the number of documents split in powers of two.
+  bit set of the sums that can be reached, size by size in that order, with the number of documents split in powers of two.
   The budget is met exactly where some sum meets it, else by the nearest sum.
 * Of each size that many documents are chosen by rank of a seeded hash of doc_id. A crowded size is cut in ranges of the hash of
   about ``BUCKET`` documents each, whose counts tell which are taken whole, so ranks are only needed within a range.
@@ -30,9 +30,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 11
 #: Words that are left to the knapsack.
-WINDOW = 1 << 16
+WINDOW = 1 << 14
 #: Documents of a range of the hash, on average.
-BUCKET = 1 << 13
+BUCKET = 1 << 10
 _UNIT = 1 << 52
 
 
@@ -70,11 +70,11 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     usable = np.flatnonzero((sizes > 0) & (counts > 0))
     if budget <= 0 or not len(usable):
         return taken
-    top = budget + int(sizes[usable].min())
+    top = budget + min(budget, int(sizes[usable].max()))
     mask, reached = (1 << top + 1) - 1, 1
     via = np.full(top + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
-    for i in usable[np.argsort(-sizes[usable], kind="stable")].tolist():
+    for i in usable.tolist():
         left, k = min(int(counts[i]), top // int(sizes[i])), 1
         while left and not reached >> budget & 1:
             k = min(k, left)
@@ -94,8 +94,9 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> tuple[int, np.ndarray]:
+def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, window: int = WINDOW) -> tuple[int, np.ndarray]:
     """How often all documents are taken, and how many of each size once more, for a sum near the budget."""
+    order = np.random.default_rng(seed).permutation(len(sizes))[np.argsort(np.argsort(sizes, kind="stable"))]
     total = int(sum(int(s) * int(n) for s, n in zip(sizes, counts, strict=True)))
     if not total or budget <= 0:
         return 0, np.zeros(len(sizes), np.int64)
@@ -103,20 +104,22 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
     taken = np.array([int(n) * rest // total for n in counts], np.int64)
     taken[sizes == 0] = 0
     rest -= int(sum(int(s) * int(n) for s, n in zip(sizes, taken, strict=True)))
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    turn = np.argsort(order, kind="stable")
+    for i in turn.tolist():
         if rest <= window:
             break
         if counts[i] > taken[i] and 0 < sizes[i] <= rest:
             taken[i] += 1
             rest -= int(sizes[i])
-    return whole, taken + knapsack(sizes, counts - taken, rest)
+    taken[turn] += knapsack(sizes[turn], (counts - taken)[turn], rest)
+    return whole, taken
 
 
-def budgets(counts: DataFrame, goals: DataFrame) -> DataFrame:
+def budgets(counts: DataFrame, goals: DataFrame, seed: int = SEED) -> DataFrame:
     """source, no_source, size, n, source_size, target, whole (times all are taken), more (documents taken once more)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        whole, more = fitted(rows["size"].to_numpy(), rows["n"].to_numpy(), round(float(rows["target"].iloc[0])))
+        whole, more = fitted(rows["size"].to_numpy(), rows["n"].to_numpy(), round(float(rows["target"].iloc[0])), seed)
         return rows.assign(whole=whole, more=more)
 
     both = counts.join(goals, ["source", "no_source"])
@@ -143,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, m
     """doc_id, size, source_size, target, taken (words), copies of every document."""
     rows = written(measured(docs))
     counts = written(rows.groupBy("source", "no_source", "size").agg(F.count("*").alias("n")))
-    plan = written(budgets(counts, targets(counts, weights, share, most)))
+    plan = written(budgets(counts, targets(counts, weights, share, most), seed))
     out = chosen(rows, plan, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
