@@ -171,10 +171,10 @@ def fit(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds:
     rows = integers(vectors, scale, 0, MOST, vector, "x", F.col(id_).alias("id"), F.col(label).alias("label"))
     size = first_width(rows, "id", "x")
     rows = rows.where(F.size("x") == size)
-    start = np.array([r.x for r in rows.orderBy(F.asc_nulls_last("id"), "x").limit(entries).select("x").collect()], np.int64).reshape(-1, size)
-    if not len(start):
-        return written(rows.select("id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"))), [start] * parts
-    start = np.pad(start, ((0, 0), (0, -size % parts)))
+    first = [r.x for r in rows.orderBy(F.asc_nulls_last("id"), "x").limit(entries).select("x").collect()]
+    if not first:
+        return written(rows.select("id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"))), [np.zeros((0, 0), np.int64)] * parts
+    start = np.pad(np.array(first, np.int64), ((0, 0), (0, -size % parts)))
     books, before = [Entries(b, None) for b in np.split(start, parts, 1)], None
     for k in range(rounds):
         kept, path = written_at(_assigned(rows, books, size, not k, False))
