@@ -1,11 +1,13 @@
 """Operator 8: benchmark decontamination by latent semantic retrieval.
 
-* Words are hashed to ``SLOTS`` slots; the documents that hold a slot give its inverse document frequency.
-  Slots that more than ``STOP`` of the documents hold weigh nothing.
-* The corpus is cut into passages of ``PASSAGE`` words. A randomised SVD of their TF-IDF matrix A takes one pass: each task
+* The corpus is cut into passages of ``PASSAGE`` words. Words are hashed to ``SLOTS`` slots; the passages that hold a slot give its inverse
+  document frequency, so long documents count as many passages. Slots that more than ``STOP`` of the passages hold weigh nothing. Items
+  for which nothing is left that way are looked for by their words alone.
+* A randomised SVD of their TF-IDF matrix A takes one pass: each task
   multiplies its rows into A'(A O) for one random matrix O; slot by slot these are summed up, and an SVD on the driver
   (``SLOTS`` by ``RANK + EXTRA`` numbers, whatever the corpus holds) gives the leading ``RANK`` latent directions and their
   singular values. Texts are folded in as usual: the TF-IDF vector is projected on the directions, each divided by its value.
+* An item that stands in a text word by word is found by its hash at the places of its rarest word, and needs no cosine.
 * Items of about the same length are looked for with windows of that length, a quarter of it apart. Windows whose latent
   cosine with an item is ``COSINE`` or more, and those that overlap them, are candidates. Words that no item holds
   are left out of a window's vector.
@@ -19,8 +21,8 @@
 
 Words are runs of digits, letters and characters beyond ASCII, in lower case. Items of less than ``LEAST_WORDS`` words
 are matched only as a whole, word by word, and looked for as such at every word. Null text counts as empty and matches nothing; items without words
-match nothing. Repeated rows are searched each by itself. Items are broadcast ``ITEMS_AT_ONCE`` at a time, so what is sent
-out is bounded; a larger benchmark takes more passes over the documents. Of windows that an item fits equally well the first
+match nothing. Repeated rows are searched each by itself. Items are sent out in blocks of ``ITEMS_AT_ONCE``; a task holds one block
+at a time and searches all of them in its one pass over the documents. Of windows that an item fits equally well the first
 counts. An empty table on either side gives an empty result; other columns of the documents are dropped, and a text of any length is searched whole.
 """
 
@@ -38,13 +40,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, mix, pieces, words_of
+from ._text import _BASE, ALNUM, mix, pieces, powers, span_hash, words_of
 
 SLOTS = 1 << 13
 RANK = 48
 EXTRA = 8
-#: Share of the documents that a stop word's slot is in.
-STOP = 0.1
+#: Share of the passages that a stop word's slot is in.
+STOP = 0.25
 PASSAGE = 64
 COSINE = 0.25
 SHARE = 0.6
@@ -78,20 +80,29 @@ def _slotted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _slots(chain.from_iterable(words), sum(size)), np.repeat(np.arange(len(size)), size)
 
 
+def _passages(of: np.ndarray) -> np.ndarray:
+    """Number of each word's passage; passages end with their text."""
+    count = np.bincount(of)
+    place = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+    return np.cumsum((place % PASSAGE) == 0) - 1
+
+
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents with each slot, and all documents with a word; slot SLOTS stands for the latter."""
+    """Passages with each slot, and all passages; slot SLOTS stands for the latter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
             for _, texts in pieces(batch):
                 slots, of = _slotted(texts)
-                for i in range(0, len(texts), 1024):
-                    a, b = np.searchsorted(of, (i, i + 1024))
-                    seen = np.zeros((min(1024, len(texts) - i), SLOTS), bool)
-                    seen[of[a:b] - i, slots[a:b]] = True
-                    count[:SLOTS] += seen.sum(0)
-                    count[SLOTS] += np.count_nonzero(np.bincount(of[a:b] - i))
+                if not len(slots):
+                    continue
+                passage = _passages(of)
+                order = np.argsort(slots.astype(np.int16), kind="stable")
+                slot, passage = slots[order], passage[order]
+                new = (np.diff(slot, prepend=-1) != 0) | (np.diff(passage, prepend=-1) != 0)
+                count[:SLOTS] += np.bincount(slot[new], minlength=SLOTS)
+                count[SLOTS] += int(passage.max()) + 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS + 1)), pa.array(count)], names=["slot", "n"])
 
     rows = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS + 1 rows
@@ -102,8 +113,8 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _idf(count: np.ndarray, n: int) -> np.ndarray:
-    """Weights of the slots; 0 for stop words, unless a table is too small to tell."""
-    return np.where((count > STOP * n) & (n >= 100), 0, np.log((n + 1) / (count + 1)) + 0.1).astype(np.float32)
+    """Weights of the slots; 0 for stop words."""
+    return np.where(count > STOP * n, 0, np.log((n + 1) / (count + 1))).astype(np.float32)
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -121,9 +132,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
                 slots, of = _slotted(texts)
                 if not len(slots):
                     continue
-                count = np.bincount(of)
-                place = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-                passage = np.cumsum((place % PASSAGE) == 0) - 1
+                passage = _passages(of)
                 weighed = idf[slots] > 0
                 slots, passage = slots[weighed], passage[weighed]
                 if not len(slots):
@@ -199,6 +208,10 @@ class Items:
         #: Of each item: width of its windows, what they are widened by, words of its rare ones that any match holds, and unit vectors of its parts.
         self.width, self.around, self.least = (np.ones(len(texts), np.int64) for _ in range(3))
         self.units: list[np.ndarray] = [np.zeros((0, space.shape[1]), np.float32)] * len(texts)
+        #: Items of which a part has no word of any weight.
+        self.blind = np.zeros(len(texts), bool)
+        #: Of each item of many words: its rarest word, where that first stands, its length, and the hash of all its words.
+        self.anchor, self.place, self.length, self.hash = (np.zeros(len(texts), t) for t in (np.int64, np.int64, np.int64, np.uint64))
         postings: list[tuple[np.ndarray, int]] = []
         for i, words in enumerate(texts):
             if len(words) < LEAST_WORDS:
@@ -206,15 +219,23 @@ class Items:
                 continue
             rare, self.least[i] = _rare(words, documents)
             postings.append((rare, i))
+            self.anchor[i], self.place[i], self.length[i] = rare[0], int(np.flatnonzero(words == rare[0])[0]), len(words)
+            self.hash[i] = span_hash(_sums(words), np.array([0]), np.array([len(words)]))[0]
             size = min(len(words), LONGEST)
             self.width[i] = max(4, 4 * round(2 ** (round(2 * np.log2(size)) / 2) / 4))
             self.around[i] = self.width[i] // 2 if len(words) <= LONGEST else len(words)
-            self.units[i] = _unit(np.stack([self.space[words[at : at + LONGEST]].sum(0) for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2)]))
+            parts = np.stack([self.space[words[at : at + LONGEST]].sum(0) for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2)])
+            self.blind[i] = not parts.any(1).all()
+            self.units[i] = _unit(parts)
         word = np.concatenate([w for w, _ in postings]) if postings else np.zeros(0, np.int64)
         item = np.concatenate([np.full(len(w), i) for w, i in postings]) if postings else np.zeros(0, np.int64)
         #: Items of each word that is rare in them: item[start[k] : start[k + 1]] of word k.
         self.rare_start = np.searchsorted(np.sort(word), np.arange(len(self.vocabulary) + 2))
         self.rare_item = item[np.argsort(word, kind="stable")]
+        #: Items of each word that is the rarest in them, likewise.
+        long = np.flatnonzero(self.length)
+        self.anchor_start = np.searchsorted(np.sort(self.anchor[long]), np.arange(len(self.vocabulary) + 2))
+        self.anchor_item = long[np.argsort(self.anchor[long], kind="stable")]
         self.bags = [dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)) for t in texts]
 
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,6 +271,34 @@ def _rare(words: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, int]:
     return own[order[: k + 1]], int(places[k]) - missing
 
 
+def _sums(words: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of the words' numbers, for ``span_hash``."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(mix(words.astype(np.uint64)) * powers(_BASE, len(words)), out=out[1:])
+        return out
+
+
+def _listed(start: np.ndarray, items: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and item of each pair of a word and an item in the word's list."""
+    at = np.flatnonzero(np.diff(start)[words])
+    head, n = start[words[at]], np.diff(start)[words[at]]
+    return np.repeat(at, n), items[np.repeat(head - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
+def _whole_hits(items: Items, words: np.ndarray, of: np.ndarray, first: np.ndarray, best: dict) -> None:
+    """Items of many words that stand in a text word by word."""
+    at, item = _listed(items.anchor_start, items.anchor_item, words)
+    a = at - items.place[item]
+    e = a + items.length[item]
+    inside = (a >= first[of[at]]) & (e <= first[of[at] + 1])
+    a, e, item = a[inside], e[inside], item[inside]
+    same = span_hash(_sums(words), a, e) == items.hash[item]
+    for x, y, i in zip(a[same].tolist(), e[same].tolist(), item[same].tolist(), strict=True):
+        if (int(of[x]), i) not in best and items.words[i] == words[x:y].tolist():
+            best[int(of[x]), i] = 1.0, 1.0, 1.0, int(x - first[of[x]])
+
+
 def _short_hits(items: Items, words: np.ndarray, of: np.ndarray, first: np.ndarray, best: dict) -> None:
     """Items of few words, as a whole, wherever they stand."""
     for n, known in items.short.items():
@@ -267,10 +316,7 @@ def _rare_windows(items: Items, words: np.ndarray, of: np.ndarray, first: np.nda
     none = np.zeros(0, np.int64)
     if not len(items.rare_item):
         return none, none, none
-    at = np.flatnonzero(np.diff(items.rare_start)[words])
-    start, n = items.rare_start[words[at]], np.diff(items.rare_start)[words[at]]
-    place = np.repeat(at, n)
-    item = items.rare_item[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    place, item = _listed(items.rare_start, items.rare_item, words)
     order = np.argsort(item, kind="stable")
     item, place = item[order], place[order]
     to = np.arange(len(item)) + items.least[item] - 1
@@ -302,7 +348,7 @@ def _cosines(items: Items, words: np.ndarray, a: np.ndarray, e: np.ndarray, whic
     order = np.argsort(which, kind="stable")
     out = np.zeros(len(which))
     for group in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
-        out[group] = (v[group] @ items.units[which[group[0]]].T).max(1)
+        out[group] = 1.0 if items.blind[which[group[0]]] else (v[group] @ items.units[which[group[0]]].T).max(1)
     return out
 
 
@@ -316,36 +362,45 @@ def _beside(doc: np.ndarray, item: np.ndarray, a: np.ndarray, width: np.ndarray,
     return out
 
 
-def _search(docs: DataFrame, items: Items) -> DataFrame:
-    """doc_id, item_id, cosine, share, answer, first word of the confirmed windows of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _found(items: Items, texts: list[list[bytes]]) -> dict[tuple[int, int], tuple[float, float, float, int]]:
+    """By text and item: cosine, share, answer, first word of the best confirmed window."""
+    words, of = items.numbers(texts)
+    best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+    if not items.ids or not len(words):
+        return best
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    rows = -(-np.diff(first) // STEP)  # blocks of STEP words of each text
+    _short_hits(items, words, of, first, best)
+    _whole_hits(items, words, of, first, best)
+    doc, block, item = _rare_windows(items, words, of, first, rows)
+    a = first[doc] + STEP * block
+    e = np.minimum(a + items.width[item], first[doc + 1])
+    cosines = np.concatenate([np.zeros(0), *(_cosines(items, words, a[i : i + 2048], e[i : i + 2048], item[i : i + 2048]) for i in range(0, len(doc), 2048))])
+    near = np.flatnonzero(_beside(doc, item, a, items.width[item], cosines) >= COSINE)
+    _confirm(items, words, first, doc[near], a[near], e[near], item[near], cosines[near], best)
+    return best
+
+
+def _search(docs: DataFrame, blocks: list[Items]) -> DataFrame:
+    """doc_id, item_id, cosine, share, answer, first word of the confirmed windows of each row, in one pass over all blocks."""
+    sent = [docs.sparkSession.sparkContext.broadcast(items) for items in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
         for batch in batches:
-            for part, texts in pieces(batch, most=_PIECE):
-                if not items.ids:
-                    continue
-                words, of = items.numbers(_words(texts))
-                if not len(words):
-                    continue
-                first = np.searchsorted(of, np.arange(len(texts) + 1))
-                rows = -(-np.diff(first) // STEP)  # blocks of STEP words of each text
-                best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-                _short_hits(items, words, of, first, best)
-                doc, block, item = _rare_windows(items, words, of, first, rows)
-                a = first[doc] + STEP * block
-                e = np.minimum(a + items.width[item], first[doc + 1])
-                cosines = np.concatenate([np.zeros(0), *(_cosines(items, words, a[i : i + 2048], e[i : i + 2048], item[i : i + 2048]) for i in range(0, len(doc), 2048))])
-                near = np.flatnonzero(_beside(doc, item, a, items.width[item], cosines) >= COSINE)
-                _confirm(items, words, first, doc[near], a[near], e[near], item[near], cosines[near], best)
-                if best:
-                    keys = list(best)
-                    cos, share, answer, place = zip(*best.values(), strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array([d for d, _ in keys])), pa.array([items.ids[k] for _, k in keys], pa.int64()), pa.array(cos, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.float64()), pa.array(place, pa.int64())],
-                        names=["doc_id", "item_id", "cosine", "share", "answer", "first_word"],
-                    )
+            for part, texts in pieces(batch, most=_PIECE if len(sent) == 1 else 4 * _PIECE):
+                words = _words(texts)
+                for block in sent:
+                    items = block.value
+                    best = _found(items, words)
+                    if len(sent) > 1:
+                        vars(block).pop("_value", None)  # one block at a time in memory; it is read again from the executor's disk
+                    if best:
+                        keys = list(best)
+                        cos, share, answer, place = zip(*best.values(), strict=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("doc_id").take(pa.array([d for d, _ in keys])), pa.array([items.ids[k] for _, k in keys], pa.int64()), pa.array(cos, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.float64()), pa.array(place, pa.int64())],
+                            names=["doc_id", "item_id", "cosine", "share", "answer", "first_word"],
+                        )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, cosine double, share double, answer double, first_word long")
 
@@ -382,11 +437,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, share, answer, first_word: each row's items that its text holds or paraphrases."""
     count, n = frequencies(docs)
     space = latent_space(docs, _idf(count, n))
-    found = None
-    for rows in _blocks(benchmark):
-        hits = _search(docs, Items(rows, space, count))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    return _search(docs, [Items(rows, space, count) for rows in _blocks(benchmark)])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
