@@ -46,7 +46,7 @@ SLOTS = 1 << 13
 RANK = 48
 EXTRA = 8
 #: Share of the passages that a stop word's slot is in.
-STOP = 0.25
+STOP = 0.1
 PASSAGE = 64
 COSINE = 0.25
 SHARE = 0.6
@@ -63,6 +63,8 @@ RARE = 0.3
 STEP = 4
 #: Texts worked on at a time, in bytes.
 _PIECE = 1 << 19
+#: Rows that are summed at a time.
+_RUNS = 1 << 16
 
 
 def _words(texts: pa.Array) -> list[list[bytes]]:
@@ -117,6 +119,21 @@ def _idf(count: np.ndarray, n: int) -> np.ndarray:
     return np.where(count > STOP * n, 0, np.log((n + 1) / (count + 1))).astype(np.float32)
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows[at] over the runs that start at ``first``; runs of about the same length together, filled up with a row of zeros."""
+    size = np.diff(np.append(first, len(at)))
+    wide = np.ceil(np.log2(size)).astype(np.int64)
+    rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    for k in np.unique(wide):
+        own = np.flatnonzero(wide == k)
+        for part in np.split(own, range(max(1, _RUNS >> k), len(own), max(1, _RUNS >> k))):
+            place = np.arange(1 << k)
+            taken = np.where(place < size[part, None], at[np.minimum(first[part, None] + place, len(at) - 1)], len(rows) - 1)
+            out[part] = rows[taken].sum(1)
+    return out
+
+
 def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     """SLOTS by RANK: what a word adds to the latent vector of its passage."""
     spark = docs.sparkSession
@@ -140,10 +157,10 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
                 first = np.flatnonzero(np.diff(passage, prepend=-1))
                 passage = np.cumsum(np.diff(passage, prepend=passage[0]) > 0)
                 norm = np.add.reduceat(idf[slots] ** 2, first)
-                y = np.add.reduceat(mixed[slots], first, 0) / norm[:, None]
+                y = _summed(mixed, slots, first) / norm[:, None]
                 order = np.argsort(slots.astype(np.int16), kind="stable")
                 cuts = np.flatnonzero(np.diff(slots[order], prepend=-1))
-                total[slots[order[cuts]]] += np.add.reduceat(y[passage[order]], cuts, 0)
+                total[slots[order[cuts]]] += _summed(y, passage[order], cuts)
         total *= idf[:, None]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS)), pa.ListArray.from_arrays(pa.array(np.arange(SLOTS + 1) * wide, pa.int32()), pa.array(total.reshape(-1)))], names=["slot", "y"])
 
