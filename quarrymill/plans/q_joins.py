@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import nearest
 from ..operators import relational as R
 from ..sources import sinks
 from ..sources.tables import load, sql
@@ -145,13 +146,9 @@ def jn17_token_rows(spark, d):
 @query("""WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS cos FROM embeddings, q WHERE vec_id <> q_id),
  b AS (SELECT q_id, vec_id, cos, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, vec_id) AS r FROM s) SELECT q_id, vec_id, cos, CASE WHEN cos >= 0.9999 THEN 'exact' WHEN cos >= 0.85 THEN 'close' WHEN cos >= 0.7 THEN 'analog' ELSE 'none' END AS bucket FROM b WHERE r = 1""")
 def jn18_nearest(spark, d):
-    from ..operators.vectors import cosine
-
-    e = load(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    s = e.crossJoin(q).where("vec_id <> q_id").select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cos"))
-    b = s.groupBy("q_id").agg(F.max(F.struct("cos", -F.col("vec_id"))).alias("m")).select("q_id", (-F.col("m")[F.lit("col2")]).alias("vec_id"), F.col("m.cos").alias("cos"))
+    near = nearest.nearest_vectors(load(spark, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
     c = F.col("cos")
+    b = near.select(F.col("query").alias("q_id"), F.col("id").alias("vec_id"), F.col("cosine").alias("cos"))
     return b.withColumn("bucket", F.when(c >= 0.9999, "exact").when(c >= 0.85, "close").when(c >= 0.7, "analog").otherwise("none"))
 
 
@@ -166,9 +163,8 @@ def jn19_fuzzy(spark, d):
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    near = F.abs(F.length("name") - F.length("query")) * 4 <= F.length("name") + F.length("query")
-    near &= F.levenshtein("name", "query") * 4 <= F.length("name") + F.length("query")  # what the blocks leave out is deleted or inserted, so no pair is lost
-    return names.crossJoin(sought).where(near).withColumn("ratio", ratio("query", "name")).where("ratio >= 0.75 AND ratio < 1")
+    near = nearest.similar_names(names, "name", sought, "query", 0.75)
+    return near.select("name", "query", ratio("query", "name").alias("ratio")).where("ratio >= 0.75 AND ratio < 1")
 
 
 @query("SELECT DISTINCT a.s_suppkey, b.c_custkey FROM supplier a, customer b WHERE a.s_suppkey = b.c_custkey OR lower(right(a.s_name, 3)) = lower(right(b.c_name, 3))")

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import models, scoring, stats, vectors
+from ..operators import models, nearest, scoring, stats, vectors
 from ..sources.tables import load
 from .registry import query
 
@@ -88,9 +88,8 @@ def ds08_fisher_grades(spark, d):
 def ds09_tanimoto(spark, d):
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_name") - 1), lambda i: F.substring(F.lower("p_name"), i, F.lit(2))))
     f = load(spark, d, "part").select("p_partkey", grams.alias("g"))
-    q = f.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("q"), F.col("g").alias("h"))
-    s = f.crossJoin(q).where("p_partkey <> q").select("q", "p_partkey", vectors.tanimoto(F.col("g"), F.col("h")).alias("t"))
-    return s.groupBy("q").agg(F.round(F.max("t"), 6).alias("best"), F.max_by("p_partkey", F.struct(F.round("t", 9), -F.col("p_partkey"))).alias("p_partkey"))
+    near = nearest.nearest_sets(f, "p_partkey", "g", F.col("p_partkey") % 100 == 0)
+    return near.select(F.col("query").alias("q"), F.round("tanimoto", 6).alias("best"), F.col("id").alias("p_partkey"))
 
 
 @query("WITH s AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS t FROM part WHERE p_size < 5) SELECT p_partkey, count(t2.t) AS overlap FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) a LEFT JOIN s t2 ON t2.t = w GROUP BY 1")

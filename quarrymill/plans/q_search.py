@@ -39,6 +39,19 @@ def ft02_best_field(spark, d):
     return out.select("page_id", F.round("score", 5).alias("score"))
 
 
+_ASKED = f"SELECT item_id, list_distinct(w[3:4]) AS w FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark)"
+
+
+@query(f"""WITH q AS ({_ASKED}), a AS (SELECT item_id, len(w) AS m, unnest(w) AS term FROM q), t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), g AS (SELECT count(*) AS n, avg(len(w)) AS al FROM t),
+ p AS (SELECT doc_id, term, any_value(l) AS l, count(*) AS tf FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM a) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+ s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6)::DOUBLE AS score FROM a JOIN p USING (term) JOIN d USING (term), g GROUP BY item_id, doc_id, m HAVING count(*) = m)
+ SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def ft02_indexed(spark, d):
+    """Ten documents for each benchmark item, sought by its third and fourth word in a kept index."""
+    items = load(spark, d, "benchmark").select("item_id", F.array_join(F.slice(S.analyze(F.col("text")), 3, 2), " ").alias("q"))
+    return S.top(S.build(load(spark, d, "documents"), "doc_id", {"text": 1.0}, buckets=16), items, "item_id", "q", 10)
+
+
 @query("SELECT doc_id, CASE WHEN strpos(lower(text), 'license') > 0 THEN substr(text, greatest(strpos(lower(text), 'license') - 20, 1), 47) ELSE substr(text, 1, 40) END AS snippet FROM documents")
 def ft03_snippets(spark, d):
     return load(spark, d, "documents").select("doc_id", S.snippet(F.col("text"), "license", 20).alias("snippet"))
