@@ -1,4 +1,4 @@
-"""Models: folds, latent text vectors, triple embeddings, trees of clusters."""
+"""Models: folds and latent text vectors."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import network
 from .scoring import folds
+from .shared import kept
 from .stats import fisher_greater
 from .vectors import as_ml
 
@@ -26,7 +28,10 @@ def fisher_udf():
 
 
 def out_of_fold(df: DataFrame, group: str, features: str, target: str, k: int, kinds: Sequence[str]) -> DataFrame:
-    """df with model and prediction: each row is predicted by models that saw none of its group."""
+    """df with model and prediction: each row is predicted by models that saw none of its group. A key of the rows as the group gives plain folds.
+
+    Kinds are linear, forest, boosted and network (a multilayer perceptron).
+    """
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     make = {
@@ -34,13 +39,16 @@ def out_of_fold(df: DataFrame, group: str, features: str, target: str, k: int, k
         "forest": lambda: RandomForestRegressor(labelCol=target, featuresCol="_f", numTrees=10, maxDepth=4, seed=7),
         "boosted": lambda: GBTRegressor(labelCol=target, featuresCol="_f", maxIter=10, maxDepth=4, seed=7),
     }
-    held = as_ml(df.withColumn("_fold", folds(F.col(group), k)), features, "_f")
-    out = []
+    folded = kept(df.withColumn("_fold", folds(F.col(group), k)))
+    held, out = as_ml(folded, features, "_f"), []
     for kind in kinds:
+        if kind == "network":
+            out.append(network.out_of_fold(folded, features, target, "_fold", k).withColumn("model", F.lit(kind)))
+            continue
         for i in range(k):
             model = make[kind]().fit(held.where(F.col("_fold") != i))
             out.append(model.transform(held.where(F.col("_fold") == i)).withColumn("model", F.lit(kind)))
-    return reduce(DataFrame.unionByName, out).drop("_f", "_fold")
+    return reduce(DataFrame.unionByName, [x.drop("_f", "_fold") for x in out])
 
 
 def _grams(column: str, n: int) -> Column:
@@ -52,13 +60,13 @@ def char_latent(df: DataFrame, column: str, vocabulary: int, size: int) -> DataF
     """df with latent: TF-IDF of 2- to 4-grams of characters, reduced by a distributed SVD."""
     from pyspark.ml.feature import IDF, CountVectorizer
     from pyspark.ml.functions import vector_to_array
-    from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     grams: Column = F.flatten(F.array(*(_grams(column, n) for n in (2, 3, 4))))
     counted = CountVectorizer(inputCol="_g", outputCol="_c", vocabSize=vocabulary).fit(held := df.withColumn("_g", grams)).transform(held)
     weighed = IDF(inputCol="_c", outputCol="_w").fit(counted).transform(counted)
-    rows = weighed.select("_w").rdd.map(lambda r: Vectors.fromML(r[0]))
+    rows = MLUtils.convertVectorColumnsFromML(weighed.select("_w"), "_w")
     v = RowMatrix(rows).computeSVD(size).V.toArray()
     space = df.sparkSession.sparkContext.broadcast(v.astype(np.float64))
 
@@ -68,79 +76,3 @@ def char_latent(df: DataFrame, column: str, vocabulary: int, size: int) -> DataF
         return pd.Series(list(m))
 
     return weighed.withColumn("latent", project(vector_to_array("_w"))).drop("_g", "_c", "_w")
-
-
-def triple_scores(triples: DataFrame, size: int = 16, rounds: int = 60, seed: int = 13, limit: int = 50_000, kind: str = "distmult") -> DataFrame:
-    """head, tail, score: DistMult or TransE trained with negative samples; scores are scaled to 0..1 within each tail.
-
-    DistMult scores by the sum of head * relation * tail, TransE by the distance (sum of absolute differences) of head + relation from tail, of unit vectors, negated.
-
-    Training takes ``limit`` triples at most, the first in order of their hash; all pairs of heads and tails of the whole table are
-    scored. What the sample lacks gets the mean direction of its neighbours, at the trained vectors' length: heads first, then tails, twice.
-    What no neighbour reaches that way gets a vector drawn by its hash, as before training.
-    """
-    spark = triples.sparkSession
-    rows = triples.orderBy(F.xxhash64("head", "relation", "tail"), "head", "tail").limit(limit).collect()
-    heads, tails = sorted({r.head for r in rows}), sorted({r.tail for r in rows})
-    h = {x: i for i, x in enumerate(heads)}
-    t = {x: i for i, x in enumerate(tails)}
-    rng = np.random.default_rng(seed)
-    a, b, r = rng.normal(0, 0.3, (len(heads), size)), rng.normal(0, 0.3, (len(tails), size)), np.ones(size) if kind == "distmult" else rng.normal(0, 0.3, size)
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    pos = np.array([(h[x.head], t[x.tail]) for x in rows])
-    for _ in range(rounds if len(pos) else 0):
-        neg = np.stack([pos[:, 0], rng.integers(0, len(tails), len(pos))], 1)
-        for pairs, label in ((pos, 1.0), (neg, 0.0)):
-            u, w = a[pairs[:, 0]], b[pairs[:, 1]]
-            if kind == "transe":
-                gap = u + r - w
-                step = (1 / (1 + np.exp(np.abs(gap).sum(1))) - label)[:, None] / len(pairs) * 2 * -np.sign(gap)
-                np.add.at(a, pairs[:, 0], -step)
-                np.add.at(b, pairs[:, 1], step)
-                r -= step.sum(0) * 0.05
-                a, b = unit(a), unit(b)
-                continue
-            g = (1 / (1 + np.exp(-(u * r * w).sum(1))) - label)[:, None] / len(pairs) * 20
-            np.add.at(a, pairs[:, 0], -g * r * w)
-            np.add.at(b, pairs[:, 1], -g * r * u)
-            r -= (g * u * w).sum(0) * 0.1
-    left = spark.createDataFrame([(x, (a[i] * r if kind == "distmult" else a[i] + r).tolist()) for x, i in h.items()] or [], "head string, u array<double>")
-    right = spark.createDataFrame([(x, b[i].tolist()) for x, i in t.items()] or [], "tail string, w array<double>")
-    if len(rows) == limit:
-        left, right = _folded(triples, left, right, float(np.linalg.norm(a * r if kind == "distmult" else a + r, axis=1).mean()), float(np.linalg.norm(b, axis=1).mean()), size)
-    raw = left.crossJoin(right).select("head", "tail", F.aggregate(F.zip_with("u", "w", (lambda x, y: x * y) if kind == "distmult" else (lambda x, y: -F.abs(x - y))), F.lit(0.0), lambda s, x: s + x).alias("raw"))
-    w = Window.partitionBy("tail")
-    span = F.max("raw").over(w) - F.min("raw").over(w)
-    return raw.select("head", "tail", F.round(F.when(span > 0, (F.col("raw") - F.min("raw").over(w)) / span).otherwise(0.5), 6).alias("score"))
-
-
-def _folded(triples: DataFrame, left: DataFrame, right: DataFrame, long_u: float, long_w: float, size: int) -> tuple[DataFrame, DataFrame]:
-    """left and right with a vector for every head and tail of the triples."""
-    edges = triples.select("head", "tail").distinct()
-
-    def grown(known: DataFrame, key: str, v: str, others: DataFrame, other: str, w: str, length: float) -> DataFrame:
-        new = edges.join(known, key, "left_anti").join(others, other).groupBy(key).agg(F.array(*(F.avg(F.col(w)[k]) for k in range(size))).alias(v))
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return known.unionByName(new.withColumn("_n", norm).where("_n > 0").select(key, F.transform(v, lambda x: x / F.col("_n") * length).alias(v)))
-
-    def drawn(known: DataFrame, key: str, v: str, length: float) -> DataFrame:
-        unit = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.pmod(F.xxhash64(key, k), F.lit(1_000_003)) / F.lit(1_000_003.0) - 0.5)
-        return known.unionByName(edges.select(key).distinct().join(known, key, "left_anti").select(key, F.transform(unit, lambda x: x * (length * (12 / size) ** 0.5)).alias(v)))
-
-    for _ in range(2):
-        left = grown(left, "head", "u", right, "tail", "w", long_u)
-        right = grown(right, "tail", "w", left, "head", "u", long_w)
-    return drawn(left, "head", "u", long_u), drawn(right, "tail", "w", long_w)
-
-
-def ward(points: np.ndarray, sizes: Sequence[int]) -> list[tuple[int, int, float]]:
-    """Merges of Ward's method over a few weighted points: (a, b, height); new clusters are numbered on from the points."""
-    held = {i: (p.astype(float), float(n)) for i, (p, n) in enumerate(zip(points, sizes, strict=True))}
-    out, new = [], len(held)
-    while len(held) > 1:
-        cost, i, j = min((np.sqrt(2 * x[1] * y[1] / (x[1] + y[1])) * np.linalg.norm(x[0] - y[0]), i, j) for i, x in held.items() for j, y in held.items() if i < j)
-        (p, n), (q, m) = held.pop(i), held.pop(j)
-        held[new] = (p * n + q * m) / (n + m), n + m
-        out.append((i, j, float(cost)))
-        new += 1
-    return out

@@ -23,3 +23,25 @@ def kept(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(top(df.sparkSession))
     return df.checkpoint()
+
+
+class Rounds:
+    """Tables that a loop writes to the shared folder and reads again. A plan over them is as short in the last round as in the first."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def saved(self, name: str, df: DataFrame) -> DataFrame:
+        """df as a table; the table of an earlier round under the same name goes."""
+        path = folder(self.spark)
+        df.write.parquet(path)
+        self.dropped(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def dropped(self, *names: str) -> None:
+        """Delete the tables of these names, by default all."""
+        for name in names or list(self.paths):
+            if name in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

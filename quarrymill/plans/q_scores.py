@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import models, nearest, scoring, stats, vectors
+from ..operators import models, nearest, scoring, stats, triples, vectors, ward, wide
+from ..operators.shared import kept
 from ..sources.tables import load
 from .registry import query
 
@@ -197,7 +199,8 @@ def ds20_pca(spark, d):
 
 @query()
 def ds21_kmeans(spark, d):
-    out, scores = vectors.kmeans(load(spark, d, "embeddings"), "embedding", range(2, 9))
+    """Clusters of the k with the best silhouette, by Euclidean distances between all rows."""
+    out, scores = vectors.kmeans(load(spark, d, "embeddings"), "vec_id", "embedding", range(2, 9))
     sizes = out.groupBy("cluster").agg(F.count("*").alias("n"))
     best = max(scores, key=lambda s: s[1])
     whole = sizes.agg(F.sum("n").alias("total"), F.round(F.max("n") / F.greatest(F.min("n"), F.lit(1)), 2).alias("imbalance"))  # one row
@@ -212,16 +215,28 @@ def ds22_cluster_scores(spark, d):
 
 @query()
 def ds22_ward(spark, d):
-    """Ward's tree over the label centroids, of which there are as many as labels."""
-    rows = vectors.mean_vector(load(spark, d, "embeddings"), ["label"], "embedding", 64).orderBy("label").collect()
-    merges = models.ward(np.array([r.embedding for r in rows]), [r.n for r in rows])
-    return spark.createDataFrame([(i, a, b, round(h, 6)) for i, (a, b, h) in enumerate(merges)], "step int, a int, b int, height double")
+    """Ward's tree over all embeddings."""
+    return ward.tree(load(spark, d, "embeddings"), "vec_id", "embedding").select("a", "b", F.round("height", 6).alias("height"))
+
+
+@query()
+def ds22_ward_cuts(spark, d):
+    """Scores of Ward's tree cut in 3, 4 and 5 clusters."""
+    e = load(spark, d, "embeddings")
+    merges, ks = ward.tree(e, "vec_id", "embedding"), (3, 4, 5)
+    cuts, scores = e.select("vec_id", "embedding"), []
+    for k in ks:
+        cuts = cuts.join(ward.cut(e, "vec_id", merges, k).withColumnRenamed("cluster", f"k{k}"), "vec_id")
+    cuts = kept(cuts)
+    for k in ks:
+        scores.append(vectors.cluster_scores(cuts, f"k{k}", "embedding", 64).withColumn("clustering", F.lit(f"k{k}")))
+    both = reduce(lambda a, b: a.unionByName(b), scores).join(ward.silhouettes(cuts, "vec_id", "embedding", [f"k{k}" for k in ks]), "clustering")
+    return both.select("k", *(F.round(c, 6).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")))
 
 
 @query()
 def ds23_feature_filter(spark, d):
-    kept = vectors.low_value_features(load(spark, d, "embeddings"), "embedding", 64, 1e-4, 0.95)
-    return spark.createDataFrame([(k,) for k in kept], "dim int")
+    return wide.low_value_filter(load(spark, d, "embeddings"), "embedding", 1e-4, 0.95)
 
 
 @query("SELECT p_partkey, " + ", ".join(f"CAST(p_type = '{t}' AS INTEGER) AS t{i}" for i, t in enumerate(("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))) + " FROM part")
@@ -237,13 +252,27 @@ def ds25_char_svd(spark, d):
     return out.select("name", F.size("latent").alias("dims"), F.round(vectors.norm(F.col("latent")), 4).alias("length"))
 
 
+def _priced(spark, d):
+    j = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("grp"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"), F.col("l_extendedprice").cast("double").alias("y"), F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("x"))
+
+
+def _errors(oof):
+    return oof.groupBy("folds", "model").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("y") - F.col("prediction")) * (F.col("y") - F.col("prediction")))), 2).alias("rmse"))
+
+
 @query()
 def ds26_out_of_fold(spark, d):
     """Out-of-fold errors of several models by folds of customers."""
-    j = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    df = j.select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("grp"), F.col("l_extendedprice").alias("y"), F.array("l_quantity", "l_discount", "l_tax").alias("x"))
-    oof = models.out_of_fold(df, "grp", "x", "y", 2, ("linear", "forest", "boosted"))
-    return oof.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("y") - F.col("prediction")) * (F.col("y") - F.col("prediction")))), 2).alias("rmse"))
+    oof = models.out_of_fold(_priced(spark, d), "grp", "x", "y", 2, ("linear", "forest", "boosted", "network"))
+    return _errors(oof.withColumn("folds", F.lit("group"))).drop("folds")
+
+
+@query()
+def ds26_plain_folds(spark, d):
+    """The same of the linear model and the network by plain folds: rows are dealt out whatever their customer."""
+    oof = models.out_of_fold(_priced(spark, d), "row", "x", "y", 2, ("linear", "network"))
+    return _errors(oof.withColumn("folds", F.lit("plain")))
 
 
 _MODELS = "(SELECT event_id AS k, 'a' AS model, value AS p FROM events UNION ALL SELECT event_id, 'b', value * 2 FROM events UNION ALL SELECT event_id, 'c', 100 - value FROM events UNION ALL SELECT event_id, 'd', 1 FROM events)"
@@ -278,12 +307,14 @@ def ds29_rerank(spark, d):
 
 @query()
 def ds30_embedding_scores(spark, d):
-    """DistMult, TransE and ensemble scores of (brand, sold_in, nation) triples, scaled within each nation; trained on a bounded table of triples."""
+    """DistMult, TransE and ensemble scores of (brand, sold_in, nation) triples, scaled within each nation: the 25 best nations of each brand by either."""
     j = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(load(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    triples = j.where("l_quantity > 48").select(F.col("p_brand").alias("head"), F.lit("sold_in").alias("relation"), F.col("s_nationkey").cast("string").alias("tail")).distinct()
-    distmult = models.triple_scores(triples, limit=50_000).withColumnRenamed("score", "distmult")
-    transe = models.triple_scores(triples, limit=50_000, kind="transe").withColumnRenamed("score", "transe")
-    return distmult.join(transe, ["head", "tail"]).withColumn("score", F.round((F.col("distmult") + F.col("transe")) / 2, 6))
+    sold = j.where("l_quantity > 48").select(F.col("p_brand").alias("head"), F.lit("sold_in").alias("relation"), F.col("s_nationkey").cast("string").alias("tail")).distinct()
+    out = []
+    for kind in ("distmult", "transe"):
+        held, relations = triples.train(sold, kind)
+        out.append(triples.best_tails(held, relations.get("sold_in", np.ones(16)), kind, 25).select("head", "tail", F.col("score").alias(kind)))
+    return out[0].join(out[1], ["head", "tail"], "full").withColumn("score", F.round((F.coalesce("distmult", F.lit(0.0)) + F.coalesce("transe", F.lit(0.0))) / 2, 6))
 
 
 @query("WITH v AS (SELECT DISTINCT p_name AS value FROM part) SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS index FROM v")

@@ -48,8 +48,29 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, driver: str, **options: str) -> DataFrame:
-    """A query of a database, which runs it; pass partitionColumn and its bounds to read in parallel."""
-    return spark.read.format("jdbc").options(url=url, query=query, driver=driver, **options).load()
+    """A query of a database, which runs it; pass partitionColumn, lowerBound, upperBound and numPartitions to read in parallel."""
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", driver=driver, **options).load()
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, query: str, key: str, parts: int, driver: str, **options: str) -> DataFrame:
+    """A query of a database in as many reads, by ranges of a key with about as many rows each, however its values are spread; nulls go with the first.
+
+    The ranges' first keys come from the database: every so-manieth row in the key's order. It counts and numbers the rows itself.
+    """
+    n = read_jdbc(spark, url, f"SELECT COUNT(*) AS n FROM ({query}) c", driver, **options).first()[0]
+    step = max(1, -(-n // max(1, parts)))
+    numbered = f"SELECT s.{key} AS k, ROW_NUMBER() OVER () AS r FROM (SELECT {key} FROM ({query}) c WHERE {key} IS NOT NULL ORDER BY {key}) s"
+    firsts = read_jdbc(spark, url, f"SELECT DISTINCT k FROM ({numbered}) m WHERE MOD(r, {step}) = 0", driver, **options)
+    cuts = sorted(r[0] for r in firsts.collect())  # parts keys
+    said = [_literal(c) for c in cuts]
+    ranges = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(said, said[1:], strict=False)]
+    ranges = [f"{key} < {said[0]} OR {key} IS NULL", *ranges, f"{key} >= {said[-1]}"] if said else ["1 = 1"]
+    return spark.read.jdbc(url, f"({query}) q", predicates=ranges, properties={"driver": driver, **options})
+
+
+def _literal(value: object) -> str:
+    """A key's value in SQL."""
+    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
 
 
 def read_parts(spark: SparkSession, root: str, pattern: str) -> DataFrame:

@@ -138,8 +138,10 @@ def test_listing(spark):
 def test_out_of_fold(spark):
     rows = {r.model: r for r in QUERIES["ds26_out_of_fold"](spark, FOLDER).collect()}
     price = np.array([r["l_extendedprice"] for r in table("lineitem")])
-    assert set(rows) == {"linear", "forest", "boosted"}
+    assert set(rows) == {"linear", "forest", "boosted", "network"}
     assert all(r.n == len(price) and 0 < r.rmse <= 1.01 * price.std() for r in rows.values())
+    plain = {r.model: r for r in QUERIES["ds26_plain_folds"](spark, FOLDER).collect()}
+    assert set(plain) == {"linear", "network"} and all(r.n == len(price) and 0 < r.rmse <= 1.01 * price.std() for r in plain.values())
 
 
 def test_triples(spark):
@@ -157,5 +159,14 @@ def test_jdbc(spark, tmp_path):
     for name, df in (("nation", nations), ("region", spark.read.parquet(f"{FOLDER}/region.parquet"))):
         df.write.format("jdbc").options(url=f"{url};create=true", dbtable=name, driver=driver).save()
     got = T.read_jdbc(spark, url, 'SELECT n."n_name", r."r_name" FROM nation n LEFT JOIN region r ON r."r_regionkey" = n."n_regionkey"', driver)
+    split = T.read_jdbc(spark, url, 'SELECT "n_nationkey", "n_name" FROM nation', driver, partitionColumn='"n_nationkey"', lowerBound="0", upperBound="25", numPartitions="3")
+    assert split.rdd.getNumPartitions() == 3 and split.count() == 25
+    ranges = T.read_jdbc_ranges(spark, url, 'SELECT "n_nationkey" * "n_nationkey" AS "k", "n_name" FROM nation', '"k"', 4, driver)
+    assert sorted(r.k for r in ranges.collect()) == sorted(r["n_nationkey"] ** 2 for r in table("nation"))
+    assert ranges.rdd.getNumPartitions() == 4 and max(ranges.rdd.glom().map(len).collect()) <= 7
+    odd = spark.createDataFrame([("", 1), ("a", 2), ("a'b", 3), ("c", 4), ("c", 5)], "k string, v int")
+    odd.write.format("jdbc").options(url=url, dbtable="odd", driver=driver, createTableColumnTypes="k VARCHAR(9)").save()
+    assert sorted(r.v for r in T.read_jdbc_ranges(spark, url, 'SELECT "k", "v" FROM odd', '"k"', 2, driver).collect()) == [1, 2, 3, 4, 5]
+    assert T.read_jdbc_ranges(spark, url, 'SELECT "k", "v" FROM odd WHERE "v" > 9', '"k"', 2, driver).count() == 0
     names = {r["r_regionkey"]: r["r_name"] for r in table("region")}
     assert {(r.n_name, r.r_name) for r in got.collect()} == {(r["n_name"], names[r["n_regionkey"]]) for r in table("nation")}

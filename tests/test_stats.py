@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import numeric
 from quarrymill.functions import text as X
-from quarrymill.operators import graph, models, stats
+from quarrymill.operators import graph, stats
 from quarrymill.operators import relational as R
 from quarrymill.streaming import runs
 
@@ -118,12 +118,6 @@ def test_contains_join(spark):
     assert got == {(x, y) for x in a for y in a if y and y in x}
 
 
-def test_ward():
-    import numpy as np
-
-    assert [m[:2] for m in models.ward(np.array([[0.0], [0.1], [5.0]]), [1, 1, 1])] == [(0, 1), (2, 3)]
-
-
 def test_stream(spark, tmp_path):
     source = tmp_path / "events"
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(source))

@@ -9,7 +9,6 @@ import pyarrow.parquet as pq
 import pytest
 from test_queries import plain
 
-from quarrymill.operators import models
 from quarrymill.plans import registry
 
 FOLDER = "/root/testdata/sf0.01"
@@ -69,11 +68,3 @@ def test_fuzzy(spark, parts):
     ratio = lambda q, n: difflib.SequenceMatcher(None, q, n).ratio()
     want = {(q, n, r) for q in sought for n in names if 4 * abs(len(q) - len(n)) <= len(q) + len(n) and 0.75 <= (r := ratio(q, n)) < 1}
     assert len(sought) > 8 and {(r["query"], r["name"], r["ratio"]) for r in QUERIES["jn19_fuzzy"](spark, FOLDER).collect()} == want
-
-
-def test_triples_beyond_the_sample_are_scored(spark):
-    held = [(f"h{i % 30}", "r", f"t{(i * 7) % 11}") for i in range(120)] + [(f"far{i}", "r", f"end{i}") for i in range(20)] + [(f"one{i}", "r", "t3") for i in range(20)]
-    triples = spark.createDataFrame(held, "head string, relation string, tail string")
-    got = {(r.head, r.tail): r.score for r in models.triple_scores(triples, rounds=20, limit=60).collect()}
-    assert set(got) == {(h, t) for h in {x[0] for x in held} for t in {x[2] for x in held}}
-    assert all(0 <= s <= 1 for s in got.values())
