@@ -2,7 +2,8 @@
 
 ``dedup_runs`` finds every repeated run of two lines or more, wherever it stands: two lines that follow each other, of
 which one holds a word, are a pair, and a run is repeated where all its pairs are. Of equal pairs the first in the smallest
-doc_id stays; the lines of all others go. A line goes only if an earlier copy of it is left, so no line is lost. Pairs are grouped by
+doc_id stays; of all others, whole runs of ``LEAST_WORDS`` words or more go, so headings, short lists and single short lines with a blank
+one stay. A line goes only if an earlier copy of it is left, so no line is lost. Pairs are grouped by
 the hashes of their lines; lines are grouped by their bytes, and two that share a hash stay as they are. A pair
 that overlaps its first copy is no other copy.
 
@@ -31,6 +32,8 @@ from .quality import bound
 #: Lines that the rolling hash spans; the mean number of lines of a chunk (a power of two).
 WINDOW = 3
 MEAN = 4
+#: Words of a repeated run of lines that goes.
+LEAST_WORDS = 10
 _LAST = (1 << 63) - 1
 
 
@@ -125,6 +128,16 @@ def _ambiguous(docs: DataFrame) -> DataFrame:
     return lines.groupBy("h", "line").agg(F.lit(1).alias("_one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
+def _long_runs(lines: Column, gone: Column) -> Column:
+    """first and last line of each run of lines that the pairs in ``gone`` (sorted) cover and that holds words enough."""
+    first = F.filter(gone, lambda p, k: (k == 0) | (p - F.get(gone, k - 1) > 2))
+    last = F.transform(F.filter(gone, lambda p, k: (k == F.size(gone) - 1) | (F.get(gone, k + 1) - p > 2)), lambda p: p + 1)
+    runs = F.zip_with(first, last, lambda a, z: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z")))
+    words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
+    total = lambda w, r: F.aggregate(F.slice(w, r["a"] + 1, r["z"] - r["a"] + 1), F.lit(0), lambda t, n: t + n)
+    return bound(words, lambda w: F.filter(runs, lambda r: total(w, r) >= LEAST_WORDS))
+
+
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """docs with the text that stays, and n_lines, n_removed_lines, n_removed_chunks (runs that are gone) of each row."""
     pairs, odd = _pairs(docs), written(_ambiguous(docs))
@@ -136,18 +149,18 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     gone = F.when(F.col("_doc") == F.col("owner"), F.filter("at", lambda p: p > F.get("at", F.lit(0)) + 1)).otherwise(F.col("at"))
     gone = found.select("_doc", "_row", gone.alias("at")).where(F.size("at") > 0).groupBy("_doc", "_row").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_gone"))
     base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    doc, row, lost, rest = fresh(base, "_doc", "_row", "_gone", "_left")
+    doc, row, lost, rest, run = fresh(base, "_doc", "_row", "_gone", "_left", "_runs")
     keyed = base.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(row, F.xxhash64("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     joined = keyed.join(gone.toDF(doc, row, lost), [doc, row], "left").withColumn("n_lines", n.cast("long"))
-    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.flatten(F.transform(lost, lambda p: F.array(p, p + 1))))
-    joined = joined.withColumn(rest, F.when(F.col(lost).isNotNull(), left))
+    joined = joined.withColumn(run, F.when(F.col(lost).isNotNull(), _long_runs(F.split("text", "\n"), F.col(lost))))
+    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.flatten(F.transform(run, lambda r: F.sequence(r["a"], r["z"]))))
+    joined = joined.withColumn(rest, F.when(F.size(run) > 0, left))
     text = bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
-    runs = F.size(F.filter(lost, lambda p, k: (k == 0) | (p - F.get(lost, k - 1) > 2)))
     out = joined.withColumns(
         {
             "n_removed_lines": F.when(F.col(rest).isNull(), 0).otherwise(F.col("n_lines") - F.size(rest)).cast("long"),
-            "n_removed_chunks": F.when(F.col(rest).isNull(), 0).otherwise(runs).cast("long"),
+            "n_removed_chunks": F.when(F.col(rest).isNull(), 0).otherwise(F.size(run)).cast("long"),
             "text": F.when(F.col(rest).isNull(), F.col("text")).otherwise(text),
         }
     )

@@ -103,8 +103,9 @@ _CHAT = r"""WITH s AS (SELECT '<|im_end|><|im_start|>assistant ok' AS s), c AS (
 
 _LINES = r"""WITH l AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS d, doc_id, text, string_split(text, chr(10)) AS x FROM documents),
  p AS (SELECT r, d, i, x[i] AS a, x[i + 1] AS b FROM (SELECT r, d, x, unnest(range(1, len(x))) AS i FROM l)), w AS (SELECT *, min(i) OVER (PARTITION BY r, a, b) AS f FROM p WHERE regexp_matches(a || b, '[^\x20\x09-\x0D]')),
- o AS (SELECT a, b, count(*) AS n, min(d) AS owner FROM w GROUP BY 1, 2), g AS (SELECT r, i FROM w JOIN o USING (a, b) WHERE n > 1 AND (d <> owner OR i > f + 1)),
- c AS (SELECT r, count(*) FILTER (WHERE i - coalesce(e, -9) > 2) AS runs, list_distinct(flatten(list([i, i + 1]))) AS gone FROM (SELECT DISTINCT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS e FROM (SELECT DISTINCT r, i FROM g)) GROUP BY 1),
+ o AS (SELECT a, b, count(*) AS n, min(d) AS owner FROM w GROUP BY 1, 2), g AS (SELECT DISTINCT r, i FROM w JOIN o USING (a, b) WHERE n > 1 AND (d <> owner OR i > f + 1)),
+ e AS (SELECT r, i, sum(CASE WHEN i - q <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS q FROM g)), u AS (SELECT r, k, min(i) AS a, max(i) + 1 AS z FROM e GROUP BY 1, 2),
+ v AS (SELECT r, a, z FROM u JOIN l USING (r) WHERE list_sum(list_transform(x[a:z], lambda y: len(regexp_extract_all(y, '[^\x20\x09-\x0D]+')))) >= 10), c AS (SELECT r, count(*) AS runs, flatten(list(range(a, z + 1))) AS gone FROM v GROUP BY 1),
  t AS (SELECT l.*, runs, gone, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda j: NOT list_contains(gone, j)), lambda j: x[j]), chr(10)) END AS kept FROM l LEFT JOIN c USING (r))
  SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(x) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(runs, 0) AS BIGINT) AS n_removed_chunks, CAST(length(kept) AS BIGINT) AS n_kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM t"""
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -14,11 +16,12 @@ from test_operators import prose, shingles
 from test_runs import brute as by_runs
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quarrymill.llm import queries
 
 NAMES = ("n_lines _doc _row _gone _left _c _p text_ words sketch root key _words _l _s _own _pool _limits _rest _stratum h g a b r q row s ids n_tokens n_words labels score kept component_id").split()
 QUERIES = queries.queries()
-DOCS = [n for n in QUERIES if n != "op9_chat"]
+DOCS = [n for n in QUERIES if n not in ("op9_chat", "op12_vector_codes", "op13_whitening")]
 
 
 def held():
@@ -37,7 +40,9 @@ def folders(spark, tmp_path_factory):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (1, None, None), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, " ".join(held()[3][1].split()[5:30])), (1, None), (2, ""), (None, held()[4][1])], "item_id long, text string").withColumn("doc_id", F.lit(1))
     turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x" * 50_000), (None, None, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "")], "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(0))
-    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items), ("conversations", turns)):
+    vectors = [(i, [float((i * k) % 7) / 8 for k in range(8)], i % 3) for i in range(20)] + [(3, [0.0] * 8, None), (None, [0.5] * 8, None), (30, None, 1), (31, [None] * 8, 1), (32, [float("nan")] * 8, 1), (33, [float("-inf")] * 8, 1), (34, [], 1), (35, [0.5] * 3, 1)]
+    vectors = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumns({n: F.lit("clash") for n in ("x", "id", "code", "error", "n", "component")})
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items), ("conversations", turns), ("embeddings", vectors)):
         df.repartition(2).write.parquet(f"{top}/odd/{name}.parquet")
         df.limit(0).write.parquet(f"{top}/none/{name}.parquet")
     return top
@@ -96,6 +101,43 @@ def test_op4(results):
         assert r.n_bytes - r.n_removed == len(r.text.encode()) or "�" in r.text
         assert (r.n_spans == 0) == (r.n_removed == 0)
     assert {r.n_removed > 0 for r in results("op4_substrings") if r.doc_id in (40, 41, 43, 53, 54)} == {True}
+    texts, seen = [(d, (t or "").encode()) for d, t, *_ in held()], Counter()
+    for _, t in texts:
+        seen.update(t[i : i + 400] for i in range(len(t) - 399))
+    want = []
+    for d, t in texts:
+        gone = np.zeros(len(t) + 1, np.int64)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i] += 1
+                gone[min(len(t), i + 400)] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        left = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want.append((-1 if d is None else d, len(t), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1)), hashlib.sha256(left).hexdigest()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in results("op4_substrings")) == sorted(want)
+
+
+def test_op11(results):
+    got = results("op11_mixing")
+    want = sorted((d or -1, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, *_ in held())
+    assert sorted((r.doc_id or -1, r.size) for r in got) == want
+    assert all(r.taken % r.size == 0 and r.taken <= 3 * r.size if r.size else r.taken == 0 for r in got)
+
+
+def test_op12_and_op13(results):
+    kept = sorted([*range(20), 3, -1])
+    assert sorted(-1 if r.vec_id is None else r.vec_id for r in results("op12_vector_codes")) == kept
+    assert {(r.error, len(r.code)) for r in results("op12_vector_codes")} == {(0, 8)}
+    got = results("op13_whitening")
+    assert {-1 if r.vec_id is None else r.vec_id for r in got} == set(kept) and {r.identity_error < 1e-4 for r in got} == {True}
+
+
+def test_pipeline(spark, folders):
+    assert corpus_pipeline.run(spark, f"{folders}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{folders}/odd").collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) >= 3 and set(ids) <= {d for d, *_ in held()}
+    assert not {41, 42, 50, 51, 52} & set(ids)  # near copies, and texts without words
 
 
 def test_op7_op8_op10(results):

@@ -28,7 +28,15 @@ def brute(docs):
         for i, p in pairs(x):
             first.setdefault(p, i)
             if count[p] > 1 and (owner[p] != d or i > first[p] + 1):
-                gone |= {i, i + 1}
+                gone.add(i)
+        runs: list[list[int]] = []
+        for i in sorted(gone):
+            if runs and i <= runs[-1][1] + 1:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1])
+        words = lambda a, z, x=x: sum(len(re.findall(r"[^\x20\x09-\x0D]+", y)) for y in x[a : z + 1])
+        gone = {i for a, z in runs if words(a, z) >= line_dedup.LEAST_WORDS for i in range(a, z + 1)}
         out[id_, t if not gone else "\n".join(y for i, y in enumerate(x) if i not in gone), len(gone)] += 1
     return out
 
@@ -56,10 +64,19 @@ def test_odd_rows(spark):
 
 
 def test_lines_that_share_a_hash_stay(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, "one\ntwo\nthree\nfour") for i in range(3)], "doc_id long, text string")
-    odd = docs.selectExpr("xxhash64('two') AS h").limit(1)
+    five = " a b c d e"
+    docs = spark.createDataFrame([(i, "\n".join(x + five for x in ("one", "two", "three", "four"))) for i in range(3)], "doc_id long, text string")
+    odd = docs.selectExpr(f"xxhash64('two{five}') AS h").limit(1)
     monkeypatch.setattr(line_dedup, "_ambiguous", lambda _: odd)
-    assert sorted(r.text for r in line_dedup.dedup_runs(docs).collect()) == ["one\ntwo", "one\ntwo", "one\ntwo\nthree\nfour"]
+    short = f"one{five}\ntwo{five}"
+    assert sorted(r.text for r in line_dedup.dedup_runs(docs).collect()) == [short, short, docs.first().text]
+
+
+def test_headings_and_short_lists_stay(spark):
+    held = [(1, "Usage\n\nalpha beta gamma one"), (2, "Usage\n\ndelta epsilon zeta two"), (3, "- yes\n- no\nunique three"), (4, "- yes\n- no\nunique four")]
+    held += [(5, "top\nthis line and the next one are said\nby several documents of this small table\nfive"), (6, "this line and the next one are said\nby several documents of this small table"), (7, "one paragraph of more than ten words with a blank line behind it\n\nseven"), (8, "one paragraph of more than ten words with a blank line behind it\n\neight")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(spark.createDataFrame(held, "doc_id long, text string")).collect()}
+    assert got == dict(held) | {6: "", 8: "eight"}
 
 
 def test_pipeline_keeps_documents_with_words_of_their_own(spark):

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for n in ("documents", "conversations"):
+    for n in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{FOLDER}/{n}.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
