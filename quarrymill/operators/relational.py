@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in an explicit order."""
@@ -41,29 +43,42 @@ def terms_join(left: DataFrame, terms: Column, right: DataFrame, key: str, colum
     return left.select("*", F.explode(F.array_distinct(terms)).alias(key)).join(right, key).select(*columns).distinct()
 
 
+def _by_rarest(keys: DataFrame, sought: DataFrame) -> DataFrame:
+    """_id, _sought: rows of keys (_id, _key) that have the rarest key of each _sought (_sought, _key), if they have all of its keys at all.
+
+    Only keys are exploded and shuffled. A key that a third of all rows have is nobody's rarest, unless there is none other.
+    """
+    often = keys.groupBy("_key").agg(F.count("*").alias("_f"))
+    known = sought.distinct().join(often, "_key", "left").groupBy("_sought").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_key")).alias("m"))
+    return keys.join(known.where("m.f > 0").select("_sought", F.col("m._key").alias("_key")), "_key").select("_id", "_sought")
+
+
 def token_contains_join(left: DataFrame, left_text: str, right: DataFrame, phrase: str, columns: Sequence[str]) -> DataFrame:
     """Rows whose text holds the phrase between word borders.
 
-    The pairs are found by an equi join on the phrase's first word, and only those are compared; no nested loop.
+    A text meets a phrase by the phrase's rarest word, by equality; texts are fetched for what has met, and compared. No nested loop.
     """
-    words = F.explode(F.array_distinct(F.filter(F.split(F.lower(left_text), "[^a-z0-9]+"), lambda x: x != "")))
-    normal = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(left_text), "[^a-z0-9]+"), lambda x: x != ""), " "), F.lit(" "))
-    sought = F.array_join(F.filter(F.split(F.lower(phrase), "[^a-z0-9]+"), lambda x: x != ""), " ")
-    a = left.withColumn("_text", normal).withColumn("_word", words)
-    b = right.withColumn("_phrase", sought).withColumn("_word", F.split("_phrase", " ")[0]).where("_word <> ''")
-    return a.join(b, "_word").where(F.col("_text").contains(F.concat(F.lit(" "), "_phrase", F.lit(" ")))).select(*columns).distinct()
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    a = kept(left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_text", F.array_join(words(left_text), " ")))
+    b = right.withColumn("_sought", F.array_join(words(phrase), " ")).where("_sought <> ''")
+    keys = a.select("_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_key"))
+    met = _by_rarest(keys, b.select("_sought", F.explode(F.split("_sought", " ")).alias("_key")))
+    space = F.lit(" ")
+    held = met.join(a, "_id").where(F.concat(space, "_text", space).contains(F.concat(space, "_sought", space)))
+    return held.join(b, "_sought").select(*columns).distinct()
 
 
 def contains_join(whole: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
-    """text, part: pairs of which the text contains the part; by an equi join on the part's first characters, then a comparison. Empty parts are left out."""
+    """text, part: pairs of which the text contains the part, met by the part's rarest three characters. Empty parts are left out."""
 
-    def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    def of(c: str, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
 
-    grams = F.array_distinct(F.concat(of(1), of(2), of(3)))
-    a = whole.select(text, F.explode(grams).alias("_gram"))
-    b = parts.where(F.length(part) > 0).select(part, F.substring(part, 1, 3).alias("_gram"))
-    return a.join(b, "_gram").where(F.col(text).contains(F.col(part))).select(text, part)
+    a = kept(whole.select(text).withColumn("_id", F.monotonically_increasing_id()))
+    keys = a.select("_id", F.explode(F.array_distinct(F.concat(of(text, 1), of(text, 2), of(text, 3)))).alias("_key"))
+    b = parts.where(F.length(part) > 0).select(F.col(part).alias("_sought"))
+    met = _by_rarest(keys, b.select("_sought", F.explode(F.when(F.length("_sought") < 3, F.array("_sought")).otherwise(of("_sought", 3))).alias("_key")))
+    return met.join(a, "_id").where(F.col(text).contains(F.col("_sought"))).join(b, "_sought").select(text, F.col("_sought").alias(part))
 
 
 def set_sizes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

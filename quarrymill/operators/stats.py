@@ -14,30 +14,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from .shared import kept
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """n, rho: Pearson's correlation of average ranks. The ranks come from counts of distinct values, so ties cost nothing."""
-    held = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    for c in "xy":
-        held = held.join(rank_table(held, c), c)
+    held = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ranks = ranked_values(held, ["x", "y"])
+    for k, c in enumerate("xy"):
+        held = held.join(ranks.where(F.col("k") == k).select(F.col("v").alias(c), F.col("rank").alias(f"rank_{c}")), c)
     return held.agg(F.count("*").alias("n"), F.corr("rank_x", "rank_y").alias("rho"))
 
 
-def rank_table(df: DataFrame, c: str, ties: str = "average", parts: int = 64) -> DataFrame:
-    """value, rank_value: the rank of each distinct value from 1; equal values share the mean or, by ties='least', the least of their ranks.
+def ranked_values(df: DataFrame, columns: Sequence[str], ties: str = "average") -> DataFrame:
+    """k (place of the column), v, rank, n (rows): the rank of each distinct number of each column, from 1.
 
-    Values are dealt out to ranges by ``parts`` cut points (the only numbers on the driver), each range is summed up by itself, and
-    the sums of all ranges before it are added; no task sorts the whole table.
+    Equal values share the mean or, by ties='least', the least of their ranks. All columns go together: values are counted, dealt out to
+    ranges of (column, value) and summed up by range; a range adds the sums of those before it, of which there are as many as partitions. Nulls have no rank.
     """
-    cuts = df.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-    placed = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col(c))) if cuts else F.lit(0))
-    sums = placed.groupBy("_range").agg(F.sum("_n").alias("_sum"))
-    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))  # a row for each range, ``parts`` at most
-    below = F.sum("_n").over(Window.partitionBy("_range").orderBy(c)) - F.col("_n") + F.col("_before")
-    rank = below + ((F.col("_n") + 1) / F.lit(2.0) if ties == "average" else F.lit(1))
-    return placed.join(F.broadcast(before), "_range").select(c, rank.alias(f"rank_{c}"))
+    stacked = df.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("k", "v")).where("v IS NOT NULL")
+    counts = stacked.groupBy("k", "v").agg(F.count("*").alias("n"))
+    placed = kept(counts.repartitionByRange("k", "v").select("*", F.spark_partition_id().alias("_range")))
+    sums = placed.groupBy("k", "_range").agg(F.sum("n").alias("_sum"))
+    before = sums.select("k", "_range", (F.sum("_sum").over(Window.partitionBy("k").orderBy("_range")) - F.col("_sum")).alias("_before"))
+    below = F.sum("n").over(Window.partitionBy("k", "_range").orderBy("v")) - F.col("n") + F.col("_before")
+    rank = below + ((F.col("n") + 1) / F.lit(2.0) if ties == "average" else F.lit(1))
+    return placed.join(F.broadcast(before), ["k", "_range"]).select("k", "v", rank.alias("rank"), "n")  # before has a row for each partition and column
+
+
+def rank_table(df: DataFrame, c: str, ties: str = "average") -> DataFrame:
+    """The column's distinct numbers, and rank_ with their ranks."""
+    return ranked_values(df, [c], ties).select(F.col("v").alias(c), F.col("rank").alias(f"rank_{c}"))
 
 
 def percentile_scores(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
@@ -45,13 +51,19 @@ def percentile_scores(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
 
     The values are joined on, so the caller fixes computed ones first (``shared.kept``).
     """
-    for name, value in values.items():
-        held = df.select(value.alias("_v")).where("_v IS NOT NULL")
-        size = held.agg(F.count("*").alias("_size"), (F.min("_v") == F.max("_v")).alias("_flat"))
-        score = F.when(F.col("_flat"), F.lit(0.5)).otherwise((F.col("rank__v") - 1) / F.nullif(F.col("_size") - 1, F.lit(0)))
-        joined = df.withColumn("_v", value).join(rank_table(held, "_v"), "_v", "left").crossJoin(F.broadcast(size))
-        df = joined.withColumn(name, F.when(F.col("_v").isNotNull(), score)).drop("_v", "rank__v", "_size", "_flat")
-    return df
+    names = [f"_v{k}" for k in range(len(values))]
+    df = df.withColumns({n: v.cast("double") for n, v in zip(names, values.values(), strict=True)})
+    ranks = ranked_values(df, names)
+    sizes = {r.k: r for r in ranks.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}  # a row for each value
+    for k, (name, v) in enumerate(zip(values, names, strict=True)):
+        if k not in sizes:
+            df = df.withColumn(name, F.lit(None).cast("double"))
+        elif sizes[k].kinds == 1:
+            df = df.withColumn(name, F.when(F.col(v).isNotNull(), 0.5))
+        else:
+            own = ranks.where(F.col("k") == k).select(F.col("v").alias(v), ((F.col("rank") - 1) / (sizes[k].n - 1)).alias(name))
+            df = df.join(own, v, "left")
+    return df.drop(*names)
 
 
 def errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -221,8 +233,6 @@ def quantiles(df: DataFrame, column: str, levels: Sequence[float], by: Sequence[
     return df.groupBy(*by).agg(F.percentile(column, F.array(*(F.lit(x) for x in levels))).alias("q"))
 
 
-
-
 def gamma_tail(a: float, x: float) -> float:
     """Upper regularised incomplete gamma function, by its series or its continued fraction."""
     if x <= 0:

@@ -88,9 +88,14 @@ def test_ranks_by_ranges(spark):
     df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i int, v double").repartition(4)
     held = [float(v) for v in values if v is not None]
     rank = lambda v: sum(x < v for x in held) + (sum(x == v for x in held) + 1) / 2
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     for parts in (1, 3, 64):
-        got = {r.v: r.rank_v for r in stats.rank_table(df.where("v IS NOT NULL"), "v", parts=parts).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {r.v: r.rank_v for r in stats.rank_table(df.where("v IS NOT NULL"), "v").collect()}
         assert got == {v: rank(v) for v in held}
+        both = stats.ranked_values(df.withColumn("w", -F.col("v")).withColumn("u", F.lit(1)), ["v", "w", "u"], "least").collect()
+        assert {(r.k, r.v): (r["rank"], r.n) for r in both} == {(k, x): (1 + sum(s * y < x for y in held), sum(s * y == x for y in held)) for k, s in ((0, 1), (1, -1)) for x in {s * v for v in held}} | {(2, 1.0): (1, len(values))}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     got = {r.i: r.s for r in stats.percentile_scores(df, {"s": F.col("v")}).collect()}
     assert got == {i: None if v is None else (rank(float(v)) - 1) / (len(held) - 1) for i, v in enumerate(values)}
     assert stats.percentile_scores(df.where("false"), {"s": F.col("v")}).count() == 0
