@@ -9,13 +9,21 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's URI in the shared folder that the cluster names in spark.checkpoint.dir.
+def top_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir, else one in the warehouse; a warehouse on the machines' own disks is refused on a cluster."""
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not local and warehouse.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir is unset and the warehouse is a folder of each machine: name a folder that driver and executors share")
+    return f"{warehouse}/_shared"
+
 
-    Where that is unset, a folder in the warehouse stands in for it, which driver and executors share as well.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    uri = f"{top.rstrip('/')}/quarrymill-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's URI in the shared folder."""
+    uri = f"{top_folder(spark)}/quarrymill-{uuid.uuid4().hex}"
     if _held:
         _held[-1].append(uri)
     return uri

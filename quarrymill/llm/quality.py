@@ -13,7 +13,7 @@ it, each score below has a cutoff of its own in each stratum (language), learned
 
 Windows are told apart by 64-bit hashes of their three words. Null text counts as empty (no words: base failed). Null lang
 is a stratum of its own; labels without doc_id or quality teach nothing, and of several labels of a document the best
-counts. ``MOST_STRATA`` languages with the most labels are strata, all others together are one more. Rows are judged
+counts. Every language is a stratum, however many there are; one without labels has no cutoffs. Rows are judged
 one by one, so repeated rows get equal verdicts; the input's columns are kept, whatever their names, but those of the operator's results are
 replaced. An empty table of documents gives an empty result, one of labels leaves the base rule alone.
 """
@@ -29,12 +29,9 @@ from ._store import fresh, written
 RISK = 0.05
 ERROR = 0.05
 LEAST_WORDS = 50
-#: Strata that are told apart; the table of cutoffs, which is broadcast, has one row more at most.
-MOST_STRATA = 1000
 #: Levels of the proposed cutoffs, the most lenient first.
 LEVELS = [1.0, 0.9995, 0.999, 0.998, 0.996, 0.99, 0.98, 0.97, 0.96, 0.95, 0.94, 0.93, 0.92, 0.91, 0.9, 0.88, 0.86, 0.84, 0.82, 0.8]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
-_POOL = "rest"
 
 
 def scores() -> dict[str, Column]:
@@ -119,47 +116,37 @@ def stratum_of(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), lang), F.lit("null"))
 
 
-def strata(labelled: DataFrame) -> DataFrame:
-    """The languages that are strata of their own; ``MOST_STRATA`` rows at most."""
-    return labelled.groupBy("own").count().orderBy(F.desc("count"), "own").limit(MOST_STRATA).select(F.col("own").alias("_own"))
-
-
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """stratum, rule, cutoff: the strictest certified cutoffs, null where there is none. Aggregates over all labels; the result has a row for each stratum and rule."""
     rules = scores()
     quality = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
-    rows = measured.select("doc_id", stratum_of(F.col("lang")).alias("own"), *(c.alias(r) for r, c in rules.items()))
-    rows = rows.join(quality, rows.doc_id == quality._id).select("own", "_quality", (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("_proposes"), *rules)
-    known = written(strata(rows))
-    rows = rows.join(F.broadcast(known), F.col("own") == F.col("_own"), "left").withColumn("stratum", F.coalesce("_own", F.lit(_POOL)))
+    rows = measured.select("doc_id", stratum_of(F.col("lang")).alias("stratum"), *(c.alias(r) for r, c in rules.items()))
+    rows = rows.join(quality, rows.doc_id == quality._id).select("stratum", "_quality", (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("_proposes"), *rules)
     long = rows.select("stratum", "_quality", "_proposes", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in rules))).alias("_x")).select("stratum", "_quality", "_proposes", "_x.*")
     proposed = long.where("_proposes").groupBy("stratum", "rule").agg(F.percentile_approx("score", LEVELS, 10_000).alias("cuts"))
     held = long.where(~F.col("_proposes") & (F.col("_quality") == 1))
     # A score counts for every cutoff below it: one row for each document and rule, and sums over the levels.
-    tests = held.join(F.broadcast(proposed), ["stratum", "rule"]).groupBy("stratum", "rule", "cuts").agg(F.count("*").alias("n"), *(F.sum((F.col("score") > F.get("cuts", F.lit(i))).cast("long")).alias(f"k{i}") for i in range(len(LEVELS))))
+    tests = held.join(proposed, ["stratum", "rule"]).groupBy("stratum", "rule", "cuts").agg(F.count("*").alias("n"), *(F.sum((F.col("score") > F.get("cuts", F.lit(i))).cast("long")).alias(f"k{i}") for i in range(len(LEVELS))))
     sizes = tests.agg(F.count_distinct("stratum").alias("_strata"))
     tests = tests.crossJoin(F.broadcast(sizes)).select("stratum", "rule", "n", "_strata", F.posexplode(F.arrays_zip(F.col("cuts").alias("cut"), F.array(*(f"k{i}" for i in range(len(LEVELS)))).alias("k"))).alias("_level", "_t")).select("stratum", "rule", "n", "_strata", "_level", F.col("_t.cut").alias("cut"), F.col("_t.k").alias("k"))
     passed = (binomial_tail(F.col("n"), F.col("k"), risk / len(rules)) <= F.lit(error) / (F.col("_strata") * len(rules))).cast("int")
     order = Window.partitionBy("stratum", "rule").orderBy("_level")
     sure = tests.withColumn("_ok", passed).withColumn("_ok", F.min("_ok").over(order)).where("_ok = 1").groupBy("stratum", "rule").agg(F.min("cut").alias("cutoff"))
-    every = known.select(F.col("_own").alias("stratum"), F.explode(F.array(*map(F.lit, rules))).alias("rule"))
+    every = rows.select("stratum").distinct().select("stratum", F.explode(F.array(*map(F.lit, rules))).alias("rule"))
     return every.join(sure, ["stratum", "rule"], "full")
 
 
 def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """measured with base_failed, failed_rules and kept. cuts has a row for each of a bounded number of strata and rules."""
+    """measured with base_failed, failed_rules and kept. cuts has a row for each stratum and rule; Spark sends them out if they are small, else both sides meet by stratum."""
     rules = scores()
     base = measured.drop("base_failed", "failed_rules", "kept")
-    own, pool, limits, rest = fresh(base, "_own", "_pool", "_limits", "_rest")
+    own, limits = fresh(base, "_own", "_limits")
     wide = cuts.groupBy("stratum").agg(F.struct(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in rules)).alias(limits))
-    others = wide.where(F.col("stratum") == _POOL).select(F.col("stratum").alias(pool), F.col(limits).alias(rest))
-    base = base.join(F.broadcast(wide.select(F.col("stratum").alias(own), limits)), stratum_of(F.col("lang")) == F.col(own), "left")
-    judged = base.join(F.broadcast(others), F.col(own).isNull() & (F.lit(_POOL) == F.col(pool)), "left")
-    cut = lambda r: F.when(F.col(own).isNotNull(), F.col(limits)[r]).otherwise(F.col(rest)[r])
-    failed = F.array_compact(F.array(*(F.when(c > cut(r), r) for r, c in rules.items())))
+    judged = base.join(wide.select(F.col("stratum").alias(own), limits), stratum_of(F.col("lang")) == F.col(own), "left")
+    failed = F.array_compact(F.array(*(F.when(c > F.col(limits)[r], r) for r, c in rules.items())))
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = judged.withColumn("base_failed", base_failed).withColumn("failed_rules", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(own, pool, limits, rest)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(own, limits)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
