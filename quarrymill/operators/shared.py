@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def top(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or one in the warehouse, which driver and executors share as well."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
+    """The folder that spark.checkpoint.dir names, or one in the warehouse; a warehouse on the machines' own disks is refused on a cluster."""
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not local and warehouse.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir is unset and the warehouse is a folder of each machine: name a folder that driver and executors share")
+    return f"{warehouse}/_shared"
 
 
 def folder(spark: SparkSession) -> str:

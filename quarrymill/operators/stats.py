@@ -96,39 +96,37 @@ def signed_pairs(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
     return total - float((same**2).sum() - (c**2).sum()) / 2  # pairs of equal x, which stand in the order of y
 
 
-def kendall(df: DataFrame, x: str, y: str, cells_of_range: int = 100_000, most: int = 256) -> DataFrame:
-    """n, tau_b from the table of distinct value pairs.
+def ranges(cells: DataFrame, parts: int, out: str, *by: str) -> DataFrame:
+    """cells with out, the range of their values that they fall in; ranges have about as many rows each."""
+    return kept(cells.repartitionByRange(parts, *by).withColumn(out, F.spark_partition_id()))
 
-    Both columns are cut into ranges. Pairs of cells in different ranges of both are counted on the grid of ranges, of ``most`` by ``most`` sums on
-    the driver; pairs within a range of x, and pairs within a range of y but in different ranges of x, are counted by sorting, a range at a time.
+
+def kendall(df: DataFrame, x: str, y: str, cells_of_range: int = 100_000) -> DataFrame:
+    """n, tau_b from the table of distinct value pairs (cells).
+
+    Cells are cut into ranges of (x, y), so a frequent x falls into several, and what each range holds of a y into ranges of y. Pairs of cells
+    within a range of (x, y), pairs in different ones but within a range of y, and pairs in different ranges of both, which are as
+    many rows as meetings of ranges, are each counted by sorting. Cells of one x in different ranges stand in the order of y; what
+    they have been counted for is taken off again.
     """
-    spark = df.sparkSession
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    size = cells.count()
-    parts = max(2, min(most, -(-size // cells_of_range)))
-    cuts = cells.agg(*(F.percentile_approx(v, [i / parts for i in range(1, parts)], 10_000) for v in "xy")).first()
-    place = lambda v, k: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[k] or [0])))), lambda e: e < F.col(v)))
-    placed = cells.withColumn("a", place("x", 0)).withColumn("b", place("y", 1))
-    grid = np.zeros((parts + 1, parts + 1))
-    for r in placed.groupBy("a", "b").agg(F.sum("c").alias("c")).collect():
-        grid[r.a, r.b] = r.c
-    before = np.cumsum(grid, 0) - grid
-    low = np.cumsum(before, 1) - before
-    high = before.sum(1, keepdims=True) - low - before
-    across = float((grid * (low - high)).sum())
+    cells = kept(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c")))
+    parts = max(2, -(-cells.count() // cells_of_range))
+    placed = ranges(cells, parts, "a", "x", "y")
+    beside = ranges(placed.groupBy(F.col("a").alias("x"), "y").agg(F.sum("c").alias("c")), parts, "b", "y")
+    grid = beside.groupBy("x", F.col("b").alias("y")).agg(F.sum("c").alias("c"))
 
     def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s": [signed_pairs(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["c"].to_numpy())]})
 
-    within = placed.groupBy("a").applyInPandas(counted, "s double")
-    beside = placed.groupBy("b", F.col("a").alias("x"), "y").agg(F.sum("c").alias("c")).groupBy("b").applyInPandas(counted, "s double")
-    s = within.unionByName(beside).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    by = lambda rows, *key: rows.groupBy(*key).applyInPandas(counted, "s double")
+    same = placed.groupBy("x", "a").agg(F.sum("c").cast("double").alias("t")).groupBy("x").agg((F.sum(F.col("t") * F.col("t")) - F.sum("t") * F.sum("t")).alias("s"))
+    all_s = by(placed, "a").unionByName(by(beside, "b")).unionByName(by(grid, F.lit(0).alias("_"))).unionByName(same.select((F.col("s") / 2).alias("s")))
+    s = all_s.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
     ties = lambda c: cells.groupBy(c).agg(F.sum("c").alias("t")).agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0)).alias(f"t{c}"))
     n = cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    one = spark.range(1).select(F.lit(across).alias("across"))
-    j = s.crossJoin(one).crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n)  # one row each
-    all_ = F.col("n") * (F.col("n") - 1) / 2
-    return j.select("n", ((F.col("s") + F.col("across")) / F.nullif(F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty"))), F.lit(0.0))).alias("tau_b"))
+    j = s.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n)  # one row each
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return j.select("n", (F.col("s") / F.nullif(F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty"))), F.lit(0.0))).alias("tau_b"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import search as S
 from ..operators.relational import first_by
+from ..operators.shared import folder
 from ..sources.tables import load, sql
+from ..streaming import runs
 from .registry import query
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + ")"
@@ -197,3 +199,18 @@ def ap02_cancel(spark, d):
 @query(f"SELECT run_id, CASE WHEN status IN ('purchase') THEN 'completed' ELSE status END AS status, CASE WHEN status NOT IN ('purchase') THEN 'cannot change from ' || status END AS refused FROM {_RUNS}")
 def ap02_complete(spark, d):
     return _changed(spark, d, ("purchase",), "completed")
+
+
+_OK = "((s = '' AND x IN ('signup', 'view')) OR (s = 'signup' AND x = 'view') OR (s = 'view' AND x IN ('view', 'click')) OR (s = 'click' AND x IN ('view', 'click', 'purchase')) OR (s = 'purchase' AND x = 'view'))"
+
+
+@query(f"""WITH e AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS k, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY 1), i AS (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM e),
+ r AS (SELECT user_id, ids[i] AS event_id, k[i] AS x, list_reduce(list_prepend('', k[1:i - 1]), lambda s, x: CASE WHEN {_OK} THEN x ELSE s END) AS s FROM i)
+ SELECT user_id, event_id, x AS event_type, s AS before, CASE WHEN {_OK} THEN x ELSE s END AS status, CASE WHEN {_OK} THEN 'accepted' ELSE 'refused' END AS outcome FROM r""")
+def ap02_transitions(spark, d):
+    """The log as a stream of changes of state, of which some are refused."""
+    top = folder(spark)
+    load(spark, d, "events").write.parquet(f"{top}/events")
+    changes = runs.transitions(runs.event_stream(spark, f"{top}/events", files=1_000_000))  # one batch, so events are taken in the order of their times
+    runs.write(changes, f"{top}/changes", f"{top}/state").awaitTermination()
+    return spark.read.schema(changes.schema).parquet(f"{top}/changes").where("outcome <> 'stuck'").drop("ts")

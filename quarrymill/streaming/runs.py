@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,37 @@ def write(df: DataFrame, target: str, checkpoint: str, mode: str = "append"):
     """
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return writer.format("parquet").start(target) if mode == "append" else writer.format("memory").queryName(target).start()
+
+
+#: What a run may turn to, by its status; a run begins with none.
+ALLOWED = {"": ("signup", "view"), "signup": ("view",), "view": ("view", "click"), "click": ("view", "click", "purchase"), "purchase": ("view",)}
+CHANGES = "user_id long, event_id long, ts timestamp, event_type string, before string, status string, outcome string"
+
+
+def transitions(events: DataFrame, allowed: Mapping[str, Sequence[str]] = ALLOWED, late: str = "1 hour", stuck: str = "1 day") -> DataFrame:
+    """user_id, event_id, ts, event_type, before, status, outcome of each event: 'accepted' where the run's status allows it, else 'refused'; and a row 'stuck' for each run that hears nothing for so long.
+
+    The state of a run is its status and the time of its last event. The events of a batch are taken in the order of their times;
+    those behind the watermark are gone. A timer on event time ends with the next event of its run. This goes beyond a last-event-wins log: an event
+    that a run's status forbids leaves it as it is, and goes to the side (``outcome``).
+    """
+    wait = int(pd.Timedelta(stuck).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, last = state.get if state.exists else ("", 0)
+        if state.hasTimedOut:
+            state.update((status, last))
+            yield pd.DataFrame({"user_id": [key[0]], "event_id": [None], "ts": [pd.Timestamp(last + wait, unit="ms")], "event_type": [None], "before": [status], "status": [status], "outcome": ["stuck"]})
+            return
+        out = []
+        for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
+            before, ok = status, r.event_type in allowed.get(status, ())
+            status = r.event_type if ok else status
+            last = max(last, int(r.ts.timestamp() * 1000))
+            out.append((key[0], r.event_id, r.ts, r.event_type, before, status, "accepted" if ok else "refused"))
+        state.update((status, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    held = events.select("user_id", "event_id", "ts", "event_type").withWatermark("ts", late)
+    return held.groupBy("user_id").applyInPandasWithState(step, CHANGES, "status string, last long", "append", "EventTimeTimeout")

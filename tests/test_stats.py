@@ -116,6 +116,20 @@ def test_kendall_by_ranges(spark):
     assert stats.kendall(df.where("false"), "x", "y").first().tau_b is None
 
 
+def test_kendall_of_one_frequent_value(spark):
+    rng = random.Random(10)
+    rows = [(0.0, float(k)) for k in range(700)] + [(float(k), 3.0) for k in range(1, 400)] + [(rng.random(), rng.random()) for _ in range(200)]
+    rng.shuffle(rows)
+    sign = lambda v: (v > 0) - (v < 0)
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i]]
+    s = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for a, b in pairs)
+    free = [sum(a[k] != b[k] for a, b in pairs) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(5)
+    assert stats.kendall(df, "x", "y", 60).first().tau_b == pytest.approx(s / (free[0] * free[1]) ** 0.5, abs=1e-12)
+    sizes = [r["count"] for r in stats.ranges(df.distinct(), 20, "a", "x", "y").groupBy("a").count().collect()]
+    assert max(sizes) <= 130 and len(sizes) >= 18  # 1,299 cells, of which 700 have one x
+
+
 def test_contains_join(spark):
     a = ["", "a", "ab", "abc", "abcd", "xabcdx", "b c"]
     df = spark.createDataFrame([(x,) for x in a], "t string")
