@@ -2,9 +2,10 @@
 
 The words of licence templates form a generalised suffix automaton, one state path for all of them. A text's words
 stream through it; the matching statistics say, for each word, how many words up to it occur in a row in some
-template. Matches of ``LEAST`` words or more (of the whole template, if it has fewer) are chained: those of one template that
-stand close together cover a span, and a template whose chained matches cover enough of it labels the text. Beside them, three
-fixed phrases are reported wherever they stand.
+template. A match of ``LEAST`` words or more (of two fifths of a template's words, four at least, if that is fewer) opens a chain: the template is laid
+over the text where the match stands, and whatever agrees there for ``JOIN`` words or more (a sixth of a short template's, two at least) joins it, so an edit costs its
+neighbours only. Matches of one template that stand close together cover a span, and a template whose chained matches cover enough
+of it labels the text. Beside them, three fixed phrases are reported wherever they stand.
 
 Templates are whole texts of short licences, notices of long ones, and one-line notices; ``templates_of`` reads more from
 any folder of licence files.
@@ -43,12 +44,13 @@ TEMPLATES = {
 }
 for _label, _texts in TEXTS.items():
     TEMPLATES[_label] = [*TEMPLATES.get(_label, []), *_texts]
-#: Words of the shortest match that counts, in a template of as many words.
+#: Words of the shortest match that opens a chain, and of those that join it; short templates need fewer.
 LEAST = 10
+JOIN = 4
 #: Share of a template that its chained matches must cover.
 COVER = 0.8
 #: Words between two matches of a chain, at most.
-GAP = 6
+GAP = 12
 
 
 class SuffixAutomaton:
@@ -114,6 +116,24 @@ class SuffixAutomaton:
         return out
 
 
+def least_of(size: int) -> int:
+    """Words of the shortest match that opens a chain of a template of so many words."""
+    return min(LEAST, size, max(4, -(-2 * size // 5)))
+
+
+def join_of(size: int) -> int:
+    """Words of the shortest match that joins a chain."""
+    return min(JOIN, max(2, size // 6))
+
+
+def agreeing(tokens: np.ndarray, template: np.ndarray, place: int) -> list[tuple[int, int, int]]:
+    """first and end in the text, first in the template of the runs of ``join_of`` equal words or more with the template's first word at the place."""
+    low, high = max(0, place), min(len(tokens), place + len(template))
+    same = tokens[low:high] == template[low - place : high - place]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    return [(low + a, low + b, low + a - place) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= join_of(len(template))]
+
+
 class Scanner:
     """Vocabulary, phrases and automaton, built once for each worker."""
 
@@ -122,15 +142,16 @@ class Scanner:
         of = {w: i + 1 for i, w in enumerate(words)}
         self.vocabulary = {w.encode(): i for w, i in of.items()}
         self.phrases = [([of[w] for w in p.split()], label) for p, label in phrases.items()]
-        self.automaton, self.labels, self.sizes = SuffixAutomaton(), [], []
+        self.automaton, self.labels, self.sequences, self.least = SuffixAutomaton(), [], [], []
         for label, texts in templates.items():
             for t in texts:
                 tokens = [of[w] for w in t.split()]
                 self.automaton.add(tokens, len(self.labels))
                 self.labels.append(label)
-                self.sizes.append(len(tokens))
+                self.sequences.append(np.array(tokens))
+                self.least.append(least_of(len(tokens)))
         self.automaton.finish()
-        self.shortest = min([LEAST, *self.sizes])
+        self.shortest = min([LEAST, *self.least])
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary id (0 for words that no template holds) and text index of each word."""
@@ -142,31 +163,53 @@ class Scanner:
         """Covered spans of one text: label, first word, end, share of the template that is covered."""
         hit = tokens != 0
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        opened: dict[int, set[int]] = {}
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a < self.shortest:
                 continue
             stats = self.automaton.statistics(tokens[a:b].tolist())
             for i, (state, length) in enumerate(stats):
-                ends = length >= self.shortest and (i + 1 == len(stats) or stats[i + 1][1] != length + 1)
-                for name, end in self.automaton.ends[state] if ends else ():
-                    if length < min(LEAST, self.sizes[name]):
-                        continue
-                    found.setdefault(name, []).append((a + i + 1 - length, a + i + 1, end - length))
+                while length >= self.shortest:  # the longest match, and the shorter ones that other templates have here
+                    for name, end in self.automaton.ends[state]:
+                        if length >= self.least[name]:
+                            opened.setdefault(name, set()).add(a + i + 1 - end)
+                    state = self.automaton.link[state]
+                    length = self.automaton.length[state]
         out = []
-        for name, matches in found.items():
-            chain: list[tuple[int, int, int]] = []
-            for m in [*sorted(matches), (1 << 60, 1 << 60, 0)]:
-                if chain and m[0] - chain[-1][1] <= GAP and m[2] > chain[-1][2]:
-                    chain.append(m)
-                    continue
-                covered = {k for x, y, at in chain for k in range(at, at + y - x)}
-                if len(covered) >= COVER * self.sizes[name]:
-                    out.append((self.labels[name], chain[0][0], chain[-1][1], len(covered) / self.sizes[name]))
-                chain = [m]
+        for name, places in opened.items():
+            size = len(self.sequences[name])
+            runs = sorted(m for place in places for m in agreeing(tokens, self.sequences[name], place))
+            out += [(self.labels[name], first, end, n / size) for first, end, n in chains(runs, COVER * size)]
         return sorted(out)
 
 
+def chains(runs: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """first, end, words of the chains of runs (first, end, first in the template) that cover so many words.
+
+    A run follows one that begins before it in text and template and ends ``GAP`` words before it at most; where both overlap, the words count once. Of chains that overlap in the text
+    the one that covers most stays, of equals the first.
+    """
+    longest = max((y - x for x, y, _ in runs), default=0)
+    best: list[tuple[int, int]] = []  # words up to this run, and the first word of its chain
+    for i, (x, y, at) in enumerate(runs):
+        most, start = y - x, x
+        for j in range(i - 1, -1, -1):
+            u, v, to = runs[j]
+            if x - u > GAP + longest:
+                break
+            if u >= x or to >= at or x - v > GAP:
+                continue
+            new = y - x - max(0, v - x, to + v - u - at)
+            if new > 0 and (best[j][0] + new, -best[j][1]) > (most, -start):
+                most, start = best[j][0] + new, best[j][1]
+        best.append((most, start))
+    out: list[tuple[int, int, int]] = []
+    for n, first, end in sorted(((n, first, runs[i][1]) for i, (n, first) in enumerate(best) if n >= least), key=lambda c: (-c[0], c[1], c[2])):
+        if all(end <= f or first >= e for f, e, _ in out):
+            out.append((first, end, n))
+    return out
+
+
 def templates_of(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     """Templates out of a folder of licence files, each labelled by its file's name; a bounded number of files that the caller chooses."""
     files = spark.read.option("wholetext", True).text(folder).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "value").collect()
