@@ -22,14 +22,15 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import shared_folder
+from ._store import shared_folder, written
 from ._text import pieces, utf8
 from .chunks import ChunkEncoder
 
@@ -38,6 +39,8 @@ MAGIC = b"QMPK"
 BLOCK = 1 << 16
 #: Bytes of texts for a file, about; and rows that are read from a file at a time.
 FILE_BYTES = 32 << 20
+#: Ranges of doc_id at most, each a task that writes as many files as its texts need.
+MOST_RANGES = 16_384
 ROWS = 1 << 16
 #: Chunks that are handed to the library at a time.
 JOINED = 1024
@@ -210,60 +213,67 @@ def byte_encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarr
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def write(docs: DataFrame, path: str, vocabulary: int, end_id: int, files: int | None = None) -> tuple[str, list[tuple[str, int, int]]]:
-    """Write the files to the shared folder; its URI, and name, ids and documents of each file in order."""
+def write(docs: DataFrame, path: str, vocabulary: int, end_id: int, files: int | None = None) -> tuple[str, DataFrame]:
+    """Write the files to the shared folder; its URI, and the table of files: part (of the order of doc_id), name (in order within it), ids, documents.
+
+    A range of doc_id is a task, of which there are ``MOST_RANGES`` at most; it begins another file when one has ``FILE_BYTES`` of text and more is to come than a half of that, and
+    so holds the offsets of one file at a time.
+    """
     spark = docs.sparkSession
     folder = shared_folder(spark)
     if not files:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+        files = min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES)))
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        encode = byte_encoder(path)
+        encode, part, finish = byte_encoder(path), context.partitionId(), np.array([end_id], np.uint32)
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top)
-        name = f"part-{context.partitionId():06d}.qmpk"
-        kept = f"{top}/.{name}.{context.taskAttemptId()}"
-        documents, finish = 0, np.array([end_id], np.uint32)
-        ids_of: list[pa.Array] = []
-        with store.open_output_stream(kept) as out:
-            writer = PackedWriter(out, vocabulary)
-            for batch in batches:
-                ids_of.append(batch.column("doc_id"))
-                for _, texts in pieces(batch):
-                    ids, counts = encode(*utf8(texts))
+        held = (x for batch in batches for x in pieces(batch))
+        following = next(held, None)
+        for k in count_from(0):
+            if following is None:
+                return
+            name = f"part-{part:06d}-{k:06d}.qmpk"
+            kept = f"{top}/.{name}.{context.taskAttemptId()}"
+            size, documents, ids_of = 0, 0, []
+            with store.open_output_stream(kept) as out:
+                writer = PackedWriter(out, vocabulary)
+                while following is not None and size < 1.5 * FILE_BYTES:
+                    rows, texts = following
+                    ids_of.append(rows.column("doc_id"))
+                    data, offsets = utf8(texts)
+                    size += len(data)
+                    ids, counts = encode(data, offsets)
                     at = 0
                     for c in counts.tolist():
                         writer.add(np.concatenate([ids[at : at + c], finish]))
                         at += c
-                        documents += 1
-            writer.close()
-        if documents:
-            store.move(kept, f"{top}/{name}")
-            names = pa.concat_arrays(ids_of)
+                    documents += len(counts)
+                    following = next(held, None)
+                writer.close()
             with store.open_output_stream(f"{kept}.ids") as out, pa.ipc.new_stream(out, pa.schema([("doc_id", pa.int64())])) as table:
-                table.write_batch(pa.RecordBatch.from_arrays([names], names=["doc_id"]))
+                table.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays(ids_of)], names=["doc_id"]))
             store.move(f"{kept}.ids", f"{top}/{name}.ids")
-            yield pa.RecordBatch.from_pydict({"name": [name], "ids": [writer.total], "documents": [documents]})
-        else:
-            store.delete_file(kept)
+            store.move(kept, f"{top}/{name}")
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "ids": [writer.total], "documents": [documents]})
 
-    rows = ordered.mapInArrow(run, "name string, ids long, documents long").collect()  # a row for each file
-    return folder, sorted((r.name, r.ids, r.documents) for r in rows)
+    return folder, written(ordered.mapInArrow(run, "part long, name string, ids long, documents long"))
 
 
-def read_digests(docs: DataFrame, folder: str, files: list[tuple[str, int, int]]) -> DataFrame:
+def read_digests(docs: DataFrame, folder: str, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read from the files; start counts the ids of all files before."""
-    spark = docs.sparkSession
-    before = dict(zip([x[0] for x in files], np.cumsum([0, *(x[1] for x in files)]).tolist(), strict=False))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files:
-        return spark.createDataFrame([], schema)
-    list_of = spark.createDataFrame([(name, before[name]) for name, _, _ in files], "name string, before long").repartition(len(files), "name")
+    sums = files.groupBy("part").agg(F.sum("ids").alias("_sum"))  # a row for each range, ``MOST_RANGES`` at most
+    parts = sums.select("part", (F.sum("_sum").over(Window.orderBy("part")) - F.col("_sum")).alias("_before"))
+    within = F.sum("ids").over(Window.partitionBy("part").orderBy("name")) - F.col("ids")
+    numbers = files.withColumn("_within", within).join(parts, "part").select("name", (F.col("_within") + F.col("_before")).alias("before"))
+    tasks = max(1, min(MOST_RANGES, files.count()))
+    list_of = numbers.repartition(tasks, "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarrymill.llm import bpe, chat, decontaminate, langid, licenses, line_dedup, minhash, packing, quality, substrings
+from quarrymill.llm._text import pieces
 
 WORDS = "alpha beta gamma delta omega river stone cloud paper light night spring water glass field house voice dream chair table".split()
 
@@ -284,6 +285,18 @@ def test_packed_files(docs, empty):
     assert packing.read_digests(empty, folder, files).count() == 0
 
 
+def test_a_task_writes_several_files(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FILE_BYTES", 3000)
+    monkeypatch.setattr(packing, "pieces", lambda batch: pieces(batch, most=700))
+    rng = random.Random(91)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(0, 60))) for i in range(300)], "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder, files = packing.write(docs, path, 50257, 0, 4)
+    assert files.count() > 12 and files.select("part").distinct().count() == 4
+    one = packing.read_digests(docs, *packing.write(docs, path, 50257, 0, 1)).collect()
+    assert sorted(packing.read_digests(docs, folder, files).collect()) == sorted(one)
+
+
 def test_language(spark):
     rng = random.Random(8)
     de, en = "der die das und nicht ein schön über straße".split(), "the and of with that which through would".split()
