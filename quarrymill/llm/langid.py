@@ -6,8 +6,9 @@ the set, first all that hold less than half a word, then the smallest share, as
 penalty (half the logarithm of the number of words for each language that leaves); the main language of the set that remains is the
 prediction, the first in the alphabet of equal ones, and ``languages`` has the whole set with its shares.
 
-Learning takes about ``SAMPLE_ROWS`` labelled rows of each of the ``MOST_LANGUAGES`` languages with the most rows, whole, chosen by a
-hash of doc_id (rows of one doc_id are all in or all out); all other work is on all rows and whole texts. Words are scored once and
+Learning takes about ``SAMPLE_ROWS`` labelled rows of each language, whole, chosen by a
+hash of doc_id (rows of one doc_id are all in or all out); all other work is on all rows and whole texts. Every language is learned, however many there are: models
+are made and sent out ``BLOCK`` languages at a time, and a task holds one block of them at a time. Words are scored once and
 kept by each worker, ``STORE_WORDS`` of them at a time. Null text or text without a letter is ``und`` with score 0. Rows with null lang
 teach nothing; without any labelled row, as in an empty table, everything is ``und``. Repeated rows get equal predictions; other
 columns of the input are dropped.
@@ -23,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import written
 from ._text import mix, pieces, spans, text_array, utf8
 
-#: Labelled rows of a language that are learned from, about, and languages that are learned (both bound the sample and the model).
+#: Labelled rows of a language that are learned from, about.
 SAMPLE_ROWS = 1000
-MOST_LANGUAGES = 100
+#: Languages of a block of the model, and bytes of text worked on at a time with one block; less with more.
+BLOCK = 64
+_PIECE = 1 << 19
 #: Slots of the hashed n-grams (a power of two) and the longest n-gram.
 SLOTS = 1 << 16
 LONGEST = 4
@@ -68,15 +72,15 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 def sample(docs: DataFrame) -> DataFrame:
     """lang and text of the bounded sample of labelled rows: those whose hash is below a threshold from the language's count."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    return rows.select("lang", "text", place.alias("_p")).join(F.broadcast(sizes), "lang").where(F.col("_p") * F.col("_n") < SAMPLE_ROWS).select("lang", "text")
+    return rows.select("lang", "text", place.alias("_p")).join(sizes, "lang").where(F.col("_p") * F.col("_n") < SAMPLE_ROWS).select("lang", "text")
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and log-probabilities of each slot in each (slots by languages).
+def learn(docs: DataFrame) -> tuple[list[str], Iterator[np.ndarray]]:
+    """Languages, and log-probabilities of each slot in each (slots by languages), a block of languages after the other.
 
-    The executors count and add up; a count for each language and slot reaches the driver.
+    The executors count and add up; a count for each language of a block and slot reaches the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +94,28 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                     starts, ends, _ = spans(data, offsets, _LETTER)
                     slots, _ = _grams(data, starts, ends) if len(starts) else (np.zeros(0, np.int64), None)
                     counts[lang] = counts.get(lang, np.zeros(SLOTS, np.int64)) + np.bincount(slots, minlength=SLOTS)
+                    if len(counts) > BLOCK:
+                        yield from of_languages(counts)
+        yield from of_languages(counts)
+
+    def of_languages(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, count in counts.items():
             used = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(count[used], pa.int64())], names=["lang", "slot", "n"])
+        counts.clear()
+
+    found = written(sample(docs).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    langs = sorted(r.lang for r in found.select("lang").distinct().collect())  # the languages' names
 
-    found = sample(docs).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows of each language at most
-    langs = sorted(found.column("lang").unique().to_pylist())
-    if not langs:
-        return [], np.zeros((SLOTS, 0), np.float32)
-    table = np.full((SLOTS, len(langs)), 0.1)
-    of = {x: k for k, x in enumerate(langs)}
-    table[found.column("slot").to_numpy(), [of[x] for x in found.column("lang").to_pylist()]] += found.column("n").to_numpy()
-    return langs, np.log(table / table.sum(0)).astype(np.float32)
+    def tables() -> Iterator[np.ndarray]:
+        for i in range(0, len(langs), BLOCK):
+            own = langs[i : i + BLOCK]
+            rows = found.where(F.col("lang").isin(own)).toArrow()  # SLOTS rows of each language at most
+            table, of = np.full((SLOTS, len(own)), 0.1), {x: k for k, x in enumerate(own)}
+            table[rows.column("slot").to_numpy(), [of[x] for x in rows.column("lang").to_pylist()]] += rows.column("n").to_numpy()
+            yield np.log(table / table.sum(0)).astype(np.float32)
+
+    return langs, tables()
 
 
 def mixture(like: np.ndarray, count: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -149,17 +163,25 @@ def mixture(like: np.ndarray, count: np.ndarray, of: np.ndarray, n: int) -> np.n
 class Words:
     """Likelihoods of words in each language, relative to the best one; -1 stands for words without a letter."""
 
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table
+    def __init__(self, blocks: list, languages: int) -> None:
+        self.blocks, self.languages = blocks, languages
+        self.most = STORE_WORDS * BLOCK // max(BLOCK, languages)
         self._reset()
 
     def _reset(self) -> None:
         self.row: dict[bytes, int] = {}
-        self.like = np.zeros((0, self.table.shape[1]))
+        self.like = np.zeros((0, self.languages))
+
+    def _scored(self, block, slots: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Log-likelihoods of some words in the languages of a block."""
+        table = block.value
+        if len(self.blocks) > 1:
+            vars(block).pop("_value", None)  # one block at a time in memory; it is read again from the executor's disk
+        return np.stack([np.bincount(owner, table[slots, k], n) for k in range(table.shape[1])], 1)
 
     def rows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The row in ``like`` and the text of each word that has a letter."""
-        if len(self.row) >= STORE_WORDS:
+        if len(self.row) >= self.most:
             self._reset()
         fresh = list({w for words in texts for w in words if w not in self.row})
         real = [w for w in fresh if lettered(w)]
@@ -167,7 +189,7 @@ class Words:
             ends = np.cumsum([len(w) for w in real])
             starts = np.concatenate([[0], ends[:-1]])
             slots, owner = _grams(np.frombuffer(b"".join(real), np.uint8), starts, ends)
-            scores = np.stack([np.bincount(owner, self.table[slots, k], len(real)) for k in range(self.table.shape[1])], 1)
+            scores = np.concatenate([self._scored(block, slots, owner, len(real)) for block in self.blocks], 1)
             self.row.update(zip(real, range(len(self.like), len(self.like) + len(real)), strict=True))
             self.like = np.concatenate([self.like, np.exp(np.maximum(scores - scores.max(1, keepdims=True), FLOOR))])
         self.row.update(dict.fromkeys(set(fresh) - set(real), -1))
@@ -186,16 +208,15 @@ def lettered(word: bytes) -> bool:
     return any(0x61 <= b <= 0x7A for b in word[:4]) or any(c.isalpha() for c in word.decode("utf-8", "ignore"))
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score and languages (lang and share, the largest first) of every row. The model is broadcast: ``SLOTS`` numbers for each of ``MOST_LANGUAGES`` languages at most."""
-    model = docs.sparkSession.sparkContext.broadcast((langs, table))
+def predict(docs: DataFrame, langs: list[str], tables: Iterator[np.ndarray]) -> DataFrame:
+    """doc_id, lang_pred, score and languages (lang and share, the largest first) of every row. The model is sent out in blocks of ``SLOTS`` numbers for each of ``BLOCK`` languages."""
+    blocks = [docs.sparkSession.sparkContext.broadcast(t) for t in tables]
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = model.value
-        store = Words(table)
+        store = Words(blocks, len(langs))
         for batch in batches:
-            for part, texts in pieces(batch, most=1 << 19):
+            for part, texts in pieces(batch, most=_PIECE * BLOCK // max(BLOCK, len(langs))):
                 n = len(texts)
                 data, offsets = utf8(texts)
                 raw, at = data.tobytes().translate(_SPLIT), offsets.tolist()
@@ -220,6 +241,6 @@ def split_of(doc_id: str = "doc_id") -> F.Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows that are not held out, and predict every row."""
-    langs, table = learn(docs.where(F.coalesce(split_of() != 2, F.lit(True))))
-    out = predict(docs, langs, table)
+    langs, tables = learn(docs.where(F.coalesce(split_of() != 2, F.lit(True))))
+    out = predict(docs, langs, tables)
     return out.select("doc_id", F.coalesce(split_of() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")

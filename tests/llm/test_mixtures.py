@@ -69,3 +69,19 @@ def test_odd_rows(spark):
     assert {x.lang for x in of[700].languages} == {"de", "en"} and abs(sum(x.share for x in of[700].languages) - 1) < 1e-6
     assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 5}) == 1
     assert langid.identify(docs.where("false")).count() == 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """130 languages of made-up syllables, the model in blocks of 32."""
+    rng = random.Random(63)
+    sounds = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"]
+    own = {f"l{k:03d}": rng.sample(sounds, 6) for k in range(130)}
+    held = [(i, " ".join("".join(rng.choice(own[lang]) for _ in range(rng.randint(2, 4))) for _ in range(40)), lang) for i, lang in enumerate(x for x in own for _ in range(8))]
+    docs = spark.createDataFrame(held, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "BLOCK", 32)
+    blocks = langid.identify(docs).select("doc_id", "lang_pred", "held_out", "score").collect()
+    monkeypatch.setattr(langid, "BLOCK", 500)
+    whole = sorted(langid.identify(docs).select("doc_id", "lang_pred", "held_out", "score").collect())
+    assert [x[:3] for x in sorted(blocks)] == [x[:3] for x in whole] and np.allclose([x[3] for x in sorted(blocks)], [x[3] for x in whole])
+    out = [r.lang_pred == held[r.doc_id][2] for r in blocks if r.held_out]
+    assert len(out) > 200 and sum(out) >= 0.95 * len(out)
