@@ -190,14 +190,35 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: object, b: object) ->
     return t.select((F.col("s") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)).alias("u"), "n1", "n2")
 
 
+def running(placed: DataFrame, by: Sequence[str], range_: str, order: str, value: Column, out: str) -> DataFrame:
+    """placed with out, the sum of value over the rows up to each in the order of ``order``, in each group.
+
+    placed is cut into ranges of (by, order); a range adds up its own rows, and the sums of the ranges before it, of which there are as many as
+    partitions and groups that meet in them.
+    """
+    sums = placed.groupBy(*by, range_).agg(F.sum(value).alias("_sum"))
+    past = F.sum("_sum").over(Window.partitionBy(*by).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by)), F.col(range_).alias("_range"), F.coalesce(past, F.lit(0)).alias("_before"))
+    local = placed.withColumn(out, F.sum(value).over(Window.partitionBy(*by, range_).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    meet = F.col(range_) == F.col("_range")
+    for i, c in enumerate(by):
+        meet &= F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return local.join(before, meet).withColumn(out, F.col(out) + F.col("_before")).select(*placed.columns, out)
+
+
 def kaplan_meier(df: DataFrame, time: str, event: str, by: Sequence[str] = ()) -> DataFrame:
-    """time, at_risk, events, survival at each time with an event. Rows shrink to one for each time before any window runs."""
+    """time, at_risk, events, survival at each time with an event. Rows shrink to one for each time, and times are cut into ranges; no task sees them all."""
     t = df.groupBy(*by, F.col(time).alias("time")).agg(F.count("*").alias("_n"), F.sum(F.col(event).cast("int")).alias("events"))
-    w = Window.partitionBy(*by)
-    at_risk = F.sum("_n").over(w.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("at_risk", at_risk).where("events > 0")
+    placed = kept(t.repartitionByRange(*by, "time").withColumn("_at", F.spark_partition_id()))
+    known = running(placed, by, "_at", "time", F.col("_n"), "_gone")
+    total = placed.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by)), "_all")
+    meet = F.lit(True)
+    for i, c in enumerate(by):
+        meet &= F.col(c).eqNullSafe(F.col(f"_{i}"))
+    known = (known.join(total, meet) if by else known.crossJoin(F.broadcast(total))).withColumn("at_risk", F.col("_all") - F.col("_gone") + F.col("_n")).where("events > 0")  # one row without groups
     factor = F.when(F.col("events") == F.col("at_risk"), F.lit(float("-inf"))).otherwise(F.log(1 - F.col("events") / F.col("at_risk")))
-    return t.withColumn("survival", F.exp(F.sum(factor).over(w.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)))).select(*by, "time", "at_risk", "events", "survival")
+    out = running(known.select(*by, "time", "_at", "at_risk", "events"), by, "_at", "time", factor, "_log")
+    return out.select(*by, "time", "at_risk", "events", F.exp("_log").alias("survival"))
 
 
 def log_rank_table(df: DataFrame, time: str, event: str, group: str) -> DataFrame:

@@ -35,6 +35,29 @@ def test_kaplan_meier(spark):
     assert {r.time: round(r.survival, 9) for r in stats.kaplan_meier(df, "t", "e").collect()} == {2: 0.8, 3: 0.6, 5: 0.3}
 
 
+def test_survival_by_ranges_and_groups(spark):
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 120), int(rng.random() < 0.4), rng.choice(("a", "b", None))) for _ in range(700)]
+    df = spark.createDataFrame(rows, "t int, e int, g string").repartition(3)
+
+    def plain(rows):
+        out, s = {}, 1.0
+        for t in sorted({t for t, e, _ in rows if e}):
+            n, d = sum(x >= t for x, *_ in rows), sum(x == t and e for x, e, _ in rows)
+            s *= 1 - d / n
+            out[t] = n, d, pytest.approx(s, abs=1e-9)
+        return out
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert {r.time: (r.at_risk, r.events, r.survival) for r in stats.kaplan_meier(df, "t", "e").collect()} == plain(rows)
+    got: dict = {}
+    for r in stats.kaplan_meier(df, "t", "e", ["g"]).collect():
+        got.setdefault(r.g, {})[r.time] = (r.at_risk, r.events, r.survival)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {g: plain([x for x in rows if x[2] == g]) for g in ("a", "b", None)}
+
+
 def test_spearman(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (4.0, 5.0), (5.0, 5.0)], "x double, y double")
     assert stats.spearman(df, "x", "y").first().rho == pytest.approx(0.8720815992723809)
