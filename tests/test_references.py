@@ -85,21 +85,20 @@ def test_cluster_scores(spark, matrix):
 
 
 def test_ward(spark, matrix):
-    x, label = matrix
-    held = {i: x[label == k] for i, k in enumerate(sorted(set(label)))}
-    spread = lambda p: ((p - p.mean(0)) ** 2).sum()
-    base, want, new = {i: 0.0 for i in held}, [], len(held)
-    points = {i: (p.mean(0), len(p)) for i, p in held.items()}
-    weighed = {i: [points[i]] for i in points}
-    cost = lambda group: sum(n * ((m - sum(a * b for a, b in group) / sum(b for _, b in group)) ** 2).sum() for m, n in group)
-    while len(weighed) > 1:
-        h, i, j = min((cost(weighed[i] + weighed[j]) - cost(weighed[i]) - cost(weighed[j]), i, j) for i in weighed for j in weighed if i < j)
-        want.append((i, j, math.sqrt(2 * h)))
-        weighed[new] = weighed.pop(i) + weighed.pop(j)
-        new += 1
-    got = QUERIES["ds22_ward"](spark, FOLDER).orderBy("step").collect()
-    assert base and spread(x) > 0 and [(r.a, r.b) for r in got] == [(i, j) for i, j, _ in want]
-    assert np.allclose([r.height for r in got], [h for *_, h in want], rtol=1e-4)
+    """Every merge, in the order of heights, costs the growth of the squares within clusters that its height says, and towards the end no other pair costs less."""
+    x, _ = matrix
+    groups = {i: [i] for i in range(len(x))}
+    spread = lambda rows: float(((x[rows] - x[rows].mean(0)) ** 2).sum())
+    merges = sorted(QUERIES["ds22_ward"](spark, FOLDER).collect(), key=lambda r: r.height)
+    assert len(merges) == len(x) - 1
+    for k, r in enumerate(merges):
+        a, b = groups.pop(r.a), groups.pop(r.b)
+        assert min(a) == r.a < r.b == min(b)
+        assert r.height == pytest.approx(math.sqrt(2 * (spread(a + b) - spread(a) - spread(b))), abs=2e-5)
+        if k > len(x) - 40:
+            least = min(spread(p + q) - spread(p) - spread(q) for i, p in groups.items() for j, q in groups.items() if i < j) if len(groups) > 1 else math.inf
+            assert r.height**2 / 2 <= least + 1e-4
+        groups[r.a] = a + b
 
 
 def test_feature_filter(spark, matrix):
