@@ -72,7 +72,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 def sample(docs: DataFrame) -> DataFrame:
     """lang and text of the bounded sample of labelled rows: those whose hash is below a threshold from the language's count."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("_n")))  # a table of its own, so Spark knows its size and sends it out, as long as it is small; the texts stay where they are
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
     return rows.select("lang", "text", place.alias("_p")).join(sizes, "lang").where(F.col("_p") * F.col("_n") < SAMPLE_ROWS).select("lang", "text")
 
