@@ -21,9 +21,37 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], *order: Co
     return left.join(first_by(right, on, *order), list(on), "left")
 
 
-def either_key_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]], columns: Sequence[Column]) -> DataFrame:
-    """Distinct pairs that meet under any of the keys: an equi join for each key in the place of one condition with OR."""
-    return reduce(DataFrame.unionByName, [left.join(right, a == b).select(*columns) for a, b in keys]).distinct()
+#: Parts into which the rows of one key are dealt before they meet, so that a hot key is no single task.
+DEALT = 8
+
+
+def _pairs_once(left: DataFrame, lefts: Sequence[str], right: DataFrame, rights: Sequence[str], terms: str, dealt: int = DEALT) -> DataFrame:
+    """lefts, rights: distinct pairs of rows that share one of their ``terms`` (an array, in an order that both sides have in common).
+
+    Rows that agree in their columns are put together first. A pair then meets under each term both have, and is given for the first of them only;
+    so pairs, of which there may be a product of both sides, are neither shuffled nor held.
+    """
+
+    def of(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
+        one = df.select(*(F.col(c).alias(f"{side}{i}") for i, c in enumerate(columns)), F.explode(terms).alias("_t")).where("_t IS NOT NULL").groupBy(*(f"{side}{i}" for i in range(len(columns)))).agg(F.sort_array(F.collect_set("_t")).alias("_all"))
+        return one.select("*", F.posexplode("_all").alias("_at", "_t")).withColumn(f"{side}before", F.slice("_all", F.lit(1), F.col("_at"))).drop("_all", "_at")
+
+    a = of(left, lefts, "_a").withColumn("_s", F.pmod(F.xxhash64(*(f"_a{i}" for i in range(len(lefts)))), F.lit(dealt)))
+    b = of(right, rights, "_b").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1)).cast("array<bigint>")))
+    met = a.join(b, ["_t", "_s"]).where((F.size("_abefore") == 0) | (F.size("_bbefore") == 0) | ~F.arrays_overlap("_abefore", "_bbefore"))
+    return met.select(*(F.col(f"_a{i}").alias(c) for i, c in enumerate(lefts)), *(F.col(f"_b{i}").alias(c) for i, c in enumerate(rights)))
+
+
+def _tagged(keys: Sequence[Column]) -> Column:
+    """The values of several keys as one array of terms; later keys come first, and values of different keys differ."""
+    tag = lambda i, k: F.when(k.isNotNull(), F.struct(F.lit(-i).alias("key"), k.cast("string").alias("value")))
+    return F.filter(F.array(*(tag(i, k) for i, k in enumerate(keys))), lambda x: x.isNotNull())
+
+
+def either_key_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]], left_columns: Sequence[str], right_columns: Sequence[str]) -> DataFrame:
+    """Distinct pairs of rows that meet under any of the keys, compared as text: equi joins in the place of one condition with OR. No distinct over the pairs."""
+    a, b = (df.select(*columns, _tagged([k[side] for k in keys]).alias("_terms")) for df, columns, side in ((left, left_columns, 0), (right, right_columns, 1)))
+    return _pairs_once(a, left_columns, b, right_columns, "_terms")
 
 
 def staged_match(left: DataFrame, stages: Sequence[tuple[str, DataFrame, str]], key: str, value: str) -> DataFrame:
@@ -39,8 +67,10 @@ def staged_match(left: DataFrame, stages: Sequence[tuple[str, DataFrame, str]],
 
 
 def terms_join(left: DataFrame, terms: Column, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of left with the right rows of any of their terms, once each."""
-    return left.select("*", F.explode(F.array_distinct(terms)).alias(key)).join(right, key).select(*columns).distinct()
+    """Rows of left with the right rows of any of their terms, once each; columns are those of either side."""
+    rights = [c for c in columns if c not in left.columns]
+    lefts = [c for c in columns if c in left.columns]
+    return _pairs_once(left.select(*lefts, terms.alias("_terms")), lefts, right.select(*rights, F.array(key).alias("_terms")), rights, "_terms").select(*columns)
 
 
 def _by_rarest(keys: DataFrame, sought: DataFrame) -> DataFrame:
