@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import blend
 from . import shared
-from .stats import percentile_scores
+from .stats import percentile_scores, percentiles
 
 
 def top_k_rates(pairs: DataFrame, sample: str, entity: str, prediction: str, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
@@ -72,7 +72,7 @@ def precision_at(df: DataFrame, rank: str, hit: Column, k: int) -> DataFrame:
 
 def tercile_grade(df: DataFrame, value: str) -> DataFrame:
     """df with grade A (best third), B or C by the exact terciles of a column; the two numbers are joined as one row."""
-    cuts = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
+    cuts = percentiles(df, value, (1 / 3, 2 / 3)).withColumnRenamed("q", "_q")
     return df.crossJoin(F.broadcast(cuts)).withColumn("grade", F.when(F.col(value) >= F.col("_q")[1], "A").when(F.col(value) >= F.col("_q")[0], "B").otherwise("C")).drop("_q")
 
 

@@ -6,6 +6,7 @@ functions at the end; they run on the driver or, for tables of many tests, in a
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -41,6 +42,22 @@ def ranked_values(df: DataFrame, columns: Sequence[str], ties: str = "average")
     return placed.join(F.broadcast(before), ["k", "_range"]).select("k", "v", rank.alias("rank"), "n")  # before has a row for each partition and column
 
 
+def percentiles(df: DataFrame, c: str, levels: Sequence[float]) -> DataFrame:
+    """q: one row with the exact percentiles of a number, interpolated; null where there are no rows.
+
+    Values are counted and ranked by ranges (``ranked_values``), so no task sees the whole column. The values at the places beside each level are looked up by their ranks.
+    """
+    ranks = ranked_values(df, [c], "least").select("v", F.col("rank").alias("r"), "n")
+    n = ranks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()[0]
+    places = [(n - 1) * x for x in levels]
+    at = lambda place: F.max(F.when((F.col("r") <= place + 1) & (F.col("r") + F.col("n") > place + 1), F.col("v")))
+    parts = []
+    for p in places if n else []:
+        low, high = math.floor(p), math.ceil(p)
+        parts.append(at(low) if low == high else at(low) * (high - p) + at(high) * (p - low))
+    return ranks.agg(F.array(*(parts or [F.lit(None).cast("double")] * len(levels))).alias("q"))
+
+
 def rank_table(df: DataFrame, c: str, ties: str = "average") -> DataFrame:
     """The column's distinct numbers, and rank_ with their ranks."""
     return ranked_values(df, [c], ties).select(F.col("v").alias(c), F.col("rank").alias(f"rank_{c}"))
@@ -249,6 +266,8 @@ def log_rank(df: DataFrame, time: str, event: str, group: str) -> tuple[float, i
 
 def quantiles(df: DataFrame, column: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear quantiles."""
+    if not by:
+        return percentiles(df, column, levels)
     return df.groupBy(*by).agg(F.percentile(column, F.array(*(F.lit(x) for x in levels))).alias("q"))
 
 
@@ -313,6 +332,7 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+@functools.lru_cache(1 << 16)
 def fisher_greater(a: int, b: int, c: int, d: int) -> float:
     """P(table at least as extreme, upper side) of the 2 by 2 table."""
     log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import min_max, row_mean, row_std
 from ..operators import relational as R
-from ..operators import scoring, vectors
+from ..operators import scoring, stats, vectors
 from ..sources.tables import load
 from .registry import query
 
@@ -30,7 +30,7 @@ def ag03_group_quantiles(spark, d):
 
 @query("SELECT " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 3)::DOUBLE AS q{i}" for i, q in enumerate((0.25, 0.3, 1 / 3, 2 / 3, 0.75))) + " FROM lineitem")
 def ag04_quantiles(spark, d):
-    q = load(spark, d, "lineitem").agg(F.percentile("l_extendedprice", F.array(*(F.lit(x) for x in (0.25, 0.3, 1 / 3, 2 / 3, 0.75)))).alias("q"))
+    q = stats.percentiles(load(spark, d, "lineitem"), "l_extendedprice", (0.25, 0.3, 1 / 3, 2 / 3, 0.75))
     return q.select(*(F.round(F.col("q")[i], 3).alias(f"q{i}") for i in range(5)))
 
 

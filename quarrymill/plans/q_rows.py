@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import relational as R
+from ..operators import stats
 from ..sources.tables import load
 from .registry import query
 
@@ -75,7 +76,7 @@ def prj12_coerce(spark, d):
 @query("WITH q AS (SELECT quantile_cont(l_extendedprice, 0.3) AS q FROM lineitem) SELECT CAST(l_extendedprice <= q AS INTEGER) AS low, count(*) AS n FROM lineitem, q GROUP BY 1")
 def prj13_threshold_flag(spark, d):
     li = load(spark, d, "lineitem").select("l_extendedprice")
-    q = li.agg(F.percentile("l_extendedprice", F.lit(0.3)).alias("q"))
+    q = stats.percentiles(li, "l_extendedprice", (0.3,)).select(F.col("q")[0].alias("q"))
     return li.crossJoin(F.broadcast(q)).groupBy((F.col("l_extendedprice") <= F.col("q")).cast("int").alias("low")).agg(F.count("*").alias("n"))
 
 
