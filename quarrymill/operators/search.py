@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import folder, kept
+from .shared import Rounds, folder, kept
 
 #: The usual English stop words.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
@@ -21,9 +21,11 @@ def analyze(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
 
 
 def index(docs: DataFrame, key: str, fields: Mapping[str, float], stop: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """field, key, term, tf, len: the postings of all fields; one shuffle, summed up on the map side."""
-    rows = reduce(DataFrame.unionByName, [docs.select(key, F.lit(f).alias("field"), analyze(F.coalesce(f, F.lit("")), stop).alias("_t")) for f in fields])
-    return rows.select(key, "field", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("field", key, "len", "term").agg(F.count("*").alias("tf"))
+    """field, key, term, tf, len: the postings of all fields. Texts are dealt by their key, and postings are counted where they stand."""
+    held = docs.select(key, *(F.coalesce(f, F.lit("")).alias(f"_{f}") for f in fields)).repartition(key)
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyze(F.col(f"_{f}"), stop).alias("t")) for f in fields))).alias("_f")
+    rows = held.select(key, each).select(key, F.col("_f.field").alias("field"), F.size("_f.t").alias("len"), F.explode("_f.t").alias("term"))
+    return rows.groupBy("field", key, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def _equals(term: str):
@@ -97,7 +99,8 @@ def build(docs: DataFrame, key: str, fields: Mapping[str, float], path: str | No
     """
     spark = docs.sparkSession
     path = path or folder(spark)
-    rows = kept(index(docs, key, fields).withColumnRenamed(key, "key"))
+    tables = Rounds(spark)
+    rows = tables.saved("rows", index(docs, key, fields).withColumnRenamed(key, "key"))
     sizes = docs.agg(F.count("*").alias("n"), *(F.avg(F.size(analyze(F.coalesce(f, F.lit(""))))).alias(f) for f in fields)).first()
     mean = F.element_at(F.create_map(*(x for f in fields for x in (F.lit(f), F.lit(float(sizes[f] or 0) or 1.0)))), F.col("field"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
@@ -107,9 +110,11 @@ def build(docs: DataFrame, key: str, fields: Mapping[str, float], path: str | No
     parts = files or max(1, rows.rdd.getNumPartitions())
     terms.repartitionByRange(parts, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     counted = rows.join(spark.read.parquet(f"{path}/terms").select("field", "term", "n_blocks"), ["field", "term"])
-    blocks = counted.withColumn("block", _block("key", "n_blocks")).withColumn("weight", weight).groupBy("field", "term", "block").agg(F.max("weight").alias("bound"), F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("docs"))
-    keyed = blocks.withColumn("bucket", _bucket("term", buckets))
-    keyed.repartitionByRange(parts, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    # postings are dealt by ranges of what the files are sorted by, and are grouped where they stand then
+    dealt = counted.select("field", "term", "key", _block("key", "n_blocks").alias("block"), weight.alias("weight"), _bucket("term", buckets).alias("bucket")).repartitionByRange(parts, "bucket", "term", "block")
+    blocks = dealt.groupBy("field", "bucket", "term", "block").agg(F.max("weight").alias("bound"), F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("docs"))
+    blocks.select("field", "term", "block", "bound", "docs", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    tables.dropped()
     return Index(path, key, dict(fields), buckets, k1, b)
 
 
