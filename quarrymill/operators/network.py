@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 Weights = list[np.ndarray]
 
 
@@ -83,24 +86,34 @@ def out_of_fold(df: DataFrame, features: str, target: str, fold: str, k: int, hi
         _, mean, spread = scales[i]
         return (x - mean[:-1]) / spread[:-1], (y - mean[-1]) / spread[-1]
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)
+                y, own = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "fold"))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, own)], names=["x", "y", "fold"])
+
     def gradients(weights: list[Weights]):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: list = [0.0] * k
-            for f in frames:
-                if len(f):
-                    x, y, own = np.stack(f["x"].to_list()).astype(float), f["y"].to_numpy(float), f["fold"].to_numpy()
+            for batch in batches:
+                for cells in batch.to_pylist():
+                    y, own = np.frombuffer(cells["y"]), np.frombuffer(cells["fold"])
+                    x = np.frombuffer(cells["x"]).reshape(len(y), -1)
                     for i in range(k):
-                        if (own != i).any():
-                            total[i] = total[i] + gradient(weights[i], *scaled(i, x[own != i], y[own != i]))
+                        rest = own != i
+                        if rest.any():
+                            total[i] = total[i] + gradient(weights[i], *scaled(i, x[rest], y[rest]))
             for i, line in enumerate(total):
                 if isinstance(line, np.ndarray):
-                    yield pd.DataFrame({"model": i, "at": np.arange(len(line)), "g": line})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(line), i, np.int32)), pa.array(np.arange(len(line), dtype=np.int32)), pa.array(line)], names=["model", "at", "g"])
 
         return run
 
-    held = df.select(F.col(features).alias("x"), F.col(target).cast("double").alias("y"), F.col(fold).alias("fold"))
+    # the rounds read matrices; rows are taken apart once
+    held = kept(df.select(F.col(features).alias("x"), F.col(target).cast("double").alias("y"), F.col(fold).cast("double").alias("fold")).mapInArrow(packed, "x binary, y binary, fold binary"))
     for _ in range(rounds):
-        summed = held.mapInPandas(gradients([shaped(line, like) for line in lines]), "model int, at int, g double").groupBy("model", "at").agg(F.sum("g").alias("g"))
+        summed = held.mapInArrow(gradients([shaped(line, like) for line in lines]), "model int, at int, g double").groupBy("model", "at").agg(F.sum("g").alias("g"))
         all_ = np.zeros((k, len(lines[0]) + 1))
         for r in summed.collect():  # as many rows as weights
             all_[r.model, r["at"]] = r.g

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import relational as R
-from quarrymill.operators import stats, ward
+from quarrymill.operators import nearest, search, stats, ward
 
 
 def plan(df):
@@ -66,3 +66,29 @@ def test_equal_tables_are_tested_once():
     for _ in range(1000):
         stats.fisher_greater(1, 2, 3, 19994)
     assert stats.fisher_greater.cache_info().misses == 1
+
+
+def test_postings_are_counted_in_place(spark):
+    docs = spark.createDataFrame([(1, "a x b x", "y"), (2, None, "y y"), (2, "x", None), (None, "z z", "q")], "k long, t string, u string")
+    df = search.index(docs, "k", {"t": 1.0, "u": 2.0}, stop=())
+    assert plan(df).count("Exchange") == 1
+    assert sorted(tuple(str(v) for v in (r.field, r.k, r.term, r.tf, r.len)) for r in df.collect()) == sorted(
+        tuple(str(v) for v in r)
+        for r in [("t", 1, "a", 1, 4), ("t", 1, "x", 2, 4), ("t", 1, "b", 1, 4), ("u", 1, "y", 1, 1), ("u", 2, "y", 2, 2), ("t", 2, "x", 1, 1), ("t", None, "z", 2, 2), ("u", None, "q", 1, 1)]
+    )
+
+
+def test_vectors_of_a_hot_pivot(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ROWS", 50)
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (400, 5)).round(1)
+    x[200:300] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    out = nearest.nearest_vectors(df, "id", "v", F.col("id") % 10 == 0, pivots=3)
+    plans = plan(out)
+    assert "CoGroupedArrow" in plans or "FlatMapCoGroupsInArrow" in plans
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    for r in out.collect():
+        cos = np.round(unit @ unit[r.query], 6)
+        cos[r.query] = -2
+        assert r.cosine == pytest.approx(cos.max(), abs=2e-6) and abs(cos[r.id] - cos.max()) <= 1.1e-6
