@@ -22,7 +22,11 @@ def fisher_udf():
 
     @F.pandas_udf("double")
     def p(shared: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([fisher_greater(int(s), int(x - s), int(y - s), int(m - x - y + s)) for s, x, y, m in zip(shared, a, b, n, strict=True)])
+        if not len(shared):
+            return pd.Series([], dtype=float)
+        rows = np.stack([shared, a, b, n]).astype(np.int64)
+        _, first, of = np.unique(np.ravel_multi_index(tuple(rows), tuple(rows.max(1) + 1)), return_index=True, return_inverse=True)
+        return pd.Series(np.array([fisher_greater(s, x - s, y - s, m - x - y + s) for s, x, y, m in rows[:, first].T.tolist()])[of])
 
     return p
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import relational as R
-from quarrymill.operators import nearest, search, stats, ward
+from quarrymill.operators import models, nearest, search, stats, ward
 
 
 def plan(df):
@@ -92,3 +93,12 @@ def test_vectors_of_a_hot_pivot(spark, monkeypatch):
         cos = np.round(unit @ unit[r.query], 6)
         cos[r.query] = -2
         assert r.cosine == pytest.approx(cos.max(), abs=2e-6) and abs(cos[r.id] - cos.max()) <= 1.1e-6
+
+
+def test_grades_of_equal_links_are_one_test(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(models, "fisher_greater", lambda *t: calls.append(t) or stats.fisher_greater(*t))
+    s, a, b = np.tile([1, 2, 3], 50), np.tile([3, 3, 4], 50), np.tile([9, 7, 8], 50)
+    got = models.fisher_udf().func(pd.Series(s), pd.Series(a), pd.Series(b), pd.Series(np.full(150, 20000)))
+    assert got.tolist() == [stats.fisher_greater(int(x), int(y - x), int(z - x), int(20000 - y - z + x)) for x, y, z in zip(s, a, b, strict=True)]
+    assert len(calls) == 3 and len(models.fisher_udf().func(*[pd.Series([], dtype=int)] * 4)) == 0
