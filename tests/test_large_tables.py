@@ -33,7 +33,7 @@ def test_partners_equal_all_pairs(shape):
 
 
 def test_blocks_are_few():
-    """A table is sent as often as it has blocks: 7 times for 100,000 rows, where blocks of 512 made it 100 times and more."""
+    """A table is sent as often as it has blocks: 8 times for 100,000 rows, where blocks of 512 made it 100 times and more."""
     assert ward._parts(100_000) == 8 and ward._parts(600_000) == 37 and ward._parts(1) == 1
 
 
