@@ -163,7 +163,7 @@ def gr05_degrees(spark, d):
 
 @query(f"SELECT type, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM {_EDGES} GROUP BY 1")
 def gr06_summary(spark, d):
-    return edges(spark, d).groupBy("type").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    return G.summary(edges(spark, d))
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'unknown') AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey > 4 ORDER BY c_custkey LIMIT 100")
