@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,12 +81,10 @@ def src11_xml(spark, d):
 
 @query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def src12_jdbc(spark, d):
-    """A join that a database runs, read in four ranges of its key. The database lives in the driver's process, so this query is for one machine."""
-    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex}", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    for name in ("customer", "nation"):
-        load(spark, d, name).write.format("jdbc").options(url=f"{url};create=true", dbtable=name, driver=driver).save()
+    """A join that databases run, one for each range of the customers' keys."""
+    c, n = load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), load(spark, d, "nation").select("n_nationkey", "n_name")
     joined = 'SELECT c."c_custkey", c."c_name", n."n_name" FROM customer c JOIN nation n ON n."n_nationkey" = c."c_nationkey"'
-    return T.read_jdbc_ranges(spark, url, joined, '"c_custkey"', 4, driver)
+    return T.read_derby_shards(spark, c, "customer", {"nation": n}, joined, "c_custkey")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS first_tag, greatest(value, 1.0)::DOUBLE AS most FROM events")
