@@ -8,6 +8,7 @@ from test_links import classes, found
 from test_operators import prose
 
 from quarrymill.llm import minhash, quality
+from quarrymill.llm._store import written
 
 
 def test_quality_writes_no_texts(spark, monkeypatch):
@@ -36,3 +37,15 @@ def test_groups_of_one_component_and_few_others_need_no_differences(spark, monke
 
     monkeypatch.setattr(minhash, "differences", called)
     assert found(spark, rows) == classes(rows)
+
+
+def test_the_driver_collects_its_garbage_between_tables(spark):
+    def whole():
+        """Collections of the whole heap so far; young ones leave large buffers and grow the heap instead."""
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "Mark" in b.getName())
+
+    before = whole()
+    for i in range(24):
+        assert written(spark.range(i)).count() == i
+    assert whole() >= before + 3
