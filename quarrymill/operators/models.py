@@ -31,28 +31,65 @@ def fisher_udf():
     return p
 
 
+TREES = 10
+
+
+def _redrawn(x: Column, n: Column, seed: int) -> Column:
+    """How often each point is drawn for a tree: the sum of n draws by Poisson's law of mean 1, one for each row, is a draw of mean n."""
+
+    @F.pandas_udf("double")
+    def draws(key: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(poisson(key.to_numpy().view(np.uint64), n.to_numpy()))
+
+    return draws(F.xxhash64(x, F.lit(seed)), n)
+
+
+def poisson(keys: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """A draw for each key (64 random bits), which decides it: by the inverse of the distribution for small means, by a generator of its own for others."""
+    out, u = np.zeros(len(keys)), (keys >> np.uint64(11)) * 2.0**-53
+    for mean in np.unique(means[means <= 64]).tolist():
+        own, j = means == mean, np.arange(1, int(mean + 12 * mean**0.5 + 20))
+        out[own] = np.searchsorted((np.exp(-mean) * np.concatenate([[1.0], np.cumprod(mean / j)])).cumsum(), u[own], "right")
+    for i in np.flatnonzero(means > 64).tolist():
+        out[i] = np.random.default_rng(int(keys[i])).poisson(means[i])
+    return out
+
+
 def out_of_fold(df: DataFrame, group: str, features: str, target: str, k: int, kinds: Sequence[str]) -> DataFrame:
     """df with model and prediction: each row is predicted by models that saw none of its group. A key of the rows as the group gives plain folds.
 
-    Kinds are linear, forest, boosted and network (a multilayer perceptron).
+    Kinds are linear, forest, boosted and network (a multilayer perceptron). Models are trained on ``network.points``, rows of equal features as one that
+    counts as often: their squared errors differ from those of their mean by what no model can change. A forest still draws row by row. df is read twice.
     """
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    make = {
-        "linear": lambda: LinearRegression(labelCol=target, featuresCol="_f", regParam=0.01),
-        "forest": lambda: RandomForestRegressor(labelCol=target, featuresCol="_f", numTrees=10, maxDepth=4, seed=7),
-        "boosted": lambda: GBTRegressor(labelCol=target, featuresCol="_f", maxIter=10, maxDepth=4, seed=7),
-    }
-    folded = kept(df.withColumn("_fold", folds(F.col(group), k)))
-    held, out = as_ml(folded, features, "_f"), []
-    for kind in kinds:
-        if kind == "network":
-            out.append(network.out_of_fold(folded, features, target, "_fold", k).withColumn("model", F.lit(kind)))
-            continue
-        for i in range(k):
-            model = make[kind]().fit(held.where(F.col("_fold") != i))
-            out.append(model.transform(held.where(F.col("_fold") == i)).withColumn("model", F.lit(kind)))
-    return reduce(DataFrame.unionByName, [x.drop("_f", "_fold") for x in out])
+    folded = df.withColumn("_fold", folds(F.col(group), k))
+    rows = network.points(folded, features, target, "_fold")
+    held, parts = as_ml(rows, "x", "_f"), []
+    learned = {"labelCol": "y", "featuresCol": "_f"}
+    if "network" in kinds:
+        held = held.withColumn("_network", network.fitted(rows, k)("x", "fold"))
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    for i in range(k):
+        rest, own = held.drop("_network").where(F.col("fold") != i), held.where(F.col("fold") == i)
+        for kind in kinds:
+            if kind == "linear":  # Spark divides the parameter by the deviation of the labels: here those of the points, not of the rows
+                m = rest.agg(mean(F.col("q")).alias("q"), mean(F.col("y")).alias("y"), mean(F.col("y") * F.col("y")).alias("p")).first()
+                narrow = ((m.p - m.y**2) / (m.q - m.y**2)) ** 0.5 if m.y is not None and m.q > m.y**2 and m.p > m.y**2 else 1.0
+                own = LinearRegression(regParam=0.01 * min(narrow, 1.0), weightCol="n", predictionCol="_linear", **learned).fit(rest).transform(own)
+            elif kind == "forest":
+                names = [f"_tree{t}" for t in range(TREES)]
+                for t, name in enumerate(names):
+                    drawn = kept(rest.withColumn("n", _redrawn(F.struct("fold", "x"), F.col("n"), 7 + t)).where("n > 0"))
+                    tree = RandomForestRegressor(numTrees=1, maxDepth=4, seed=7 + t, featureSubsetStrategy="onethird", bootstrap=False, weightCol="n", predictionCol=name, **learned)
+                    own = tree.fit(drawn).transform(own)
+                own = own.withColumn("_forest", reduce(Column.__add__, map(F.col, names)) / len(names)).drop(*names)
+            elif kind == "boosted":
+                own = GBTRegressor(maxIter=10, maxDepth=4, seed=7, weightCol="n", predictionCol="_boosted", **learned).fit(rest).transform(own)
+        parts.append(own.select("fold", "x", F.array(*(F.struct(F.lit(kind).alias("model"), F.col(f"_{kind}").alias("prediction")) for kind in kinds)).alias("_p")))
+    predicted = reduce(DataFrame.unionByName, parts).withColumnsRenamed({"fold": "_fold", "x": "_x"})
+    out = folded.join(predicted, (folded["_fold"] == predicted["_fold"]) & (folded[features] == predicted["_x"]))
+    return out.select(*(folded[c] for c in df.columns), F.explode("_p").alias("_p")).select(*df.columns, "_p.prediction", "_p.model")
 
 
 def _grams(column: str, n: int) -> Column:

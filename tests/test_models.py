@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import network, vectors, ward, wide
+from quarrymill.operators import models, network, vectors, ward, wide
+from quarrymill.operators.scoring import folds
 from quarrymill.plans import registry
 
 FOLDER = "/root/testdata/sf0.01"
@@ -182,3 +183,27 @@ def test_network_learns_what_a_line_cannot(spark):
     df = spark.createDataFrame([(v.tolist(), float(t), i % 2) for i, (v, t) in enumerate(zip(x, y, strict=True))], "x array<double>, y double, f int")
     rows = network.out_of_fold(df, "x", "y", "f", 2, rounds=60).select(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]
     assert rows < 0.3 * y.var()
+
+
+def test_equal_rows_are_one_point(spark):
+    """Models are trained on a point for each fold and features, and a line is the one of all rows."""
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 4, (900, 2)).astype(float)
+    y = x[:, 0] * 2 + rng.normal(0, 40, 900)
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y double").withColumn("f", folds(F.col("id"), 2))
+    points = network.points(df, "x", "y", "f")
+    assert points.count() == 32 and points.agg(F.sum("n")).first()[0] == 900 and points.agg(F.sum(F.col("n") * F.col("q"))).first()[0] == pytest.approx((y * y).sum())
+    got = models.out_of_fold(df.drop("f"), "id", "x", "y", 2, ("linear", "forest"))
+    assert got.columns == ["id", "x", "y", "prediction", "model"] and got.count() == 1800
+    held = vectors.as_ml(df, "x", "_f")
+    want = {r.id: r.prediction for i in (0, 1) for r in LinearRegression(labelCol="y", featuresCol="_f", regParam=0.01).fit(held.where(F.col("f") != i)).transform(held.where(F.col("f") == i)).collect()}
+    assert {r.id: r.prediction for r in got.where("model = 'linear'").collect()} == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+
+
+def test_draws_have_their_means():
+    keys = np.random.default_rng(11).integers(0, 1 << 64, 40_000, np.uint64)
+    for mean in (1.0, 7.0, 64.0, 500.0):
+        got = models.poisson(keys, np.full(len(keys), mean))
+        assert got.mean() == pytest.approx(mean, rel=0.03) and got.var() == pytest.approx(mean, rel=0.05) and (got == models.poisson(keys, np.full(len(keys), mean))).all()
