@@ -102,3 +102,17 @@ def test_grades_of_equal_links_are_one_test(spark, monkeypatch):
     got = models.fisher_udf().func(pd.Series(s), pd.Series(a), pd.Series(b), pd.Series(np.full(150, 20000)))
     assert got.tolist() == [stats.fisher_greater(int(x), int(y - x), int(z - x), int(20000 - y - z + x)) for x, y, z in zip(s, a, b, strict=True)]
     assert len(calls) == 3 and len(models.fisher_udf().func(*[pd.Series([], dtype=int)] * 4)) == 0
+
+
+def test_partners_by_single_precision(monkeypatch):
+    """Rows apart go by single precision only; where it tells too few apart, by double precision, with the same partners."""
+    rng, kinds = np.random.default_rng(12), []
+    right = ward._right
+    monkeypatch.setattr(ward, "_right", lambda b, kind: kinds.append(kind) or right(b, kind))
+    ids, one = np.arange(500), np.ones((500, 1))
+    for x, want in ((rng.normal(1e4, 1, (500, 16)), [np.float32]), (np.concatenate([rng.normal(0, 1e-6, (499, 16)), np.full((1, 16), 1e3)]), [np.float32, float])):
+        kinds.clear()
+        got = ward._partners([ids, one, x], [ids, one, x]).to_pydict()
+        cost = np.stack([ward._exact(row, x) for row in x])
+        np.fill_diagonal(cost, np.inf)
+        assert kinds == want and got["id"] == ids.tolist() and got["cost"] == cost.min(1).tolist()
